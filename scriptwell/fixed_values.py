@@ -71,6 +71,7 @@ CONTRACT_FIELDS = [
     ("claim_timestamp", "string"),
 ]
 CONTRACT_MESSAGES = {
+    "malformed": "malformed JSON",
     "missing": "Missing required field: %s",
     "wrong_type": "Field '%s' has wrong type: expected %s, got %s",
     "state": "Invalid state code: %s",

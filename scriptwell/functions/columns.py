@@ -96,3 +96,14 @@ def amount_band(amount: Column | str) -> Column:
     top = F.call_function("shiftright", cents, F.greatest(bits - 6, F.lit(0)))
     band = (bits * 32 + top.bitwiseAND(F.lit(31))).cast("int")
     return F.when(col(amount) < 0, -band).otherwise(band)
+
+
+def hold(df: DataFrame, *columns: str) -> DataFrame:
+    """Fix the given columns as computed values of each row.
+
+    Spark moves a filter below the projections it depends on and repeats their
+    expressions in it, once per reference. A one-element generator stays in between, so
+    expensive columns are computed once however often they are read afterwards.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)

@@ -1,8 +1,12 @@
-"""Claim-event contract: JSON decoding and the list of violations."""
+"""Claim-event contract: JSON decoding and the list of violations.
+
+Decoding goes in projections of one step each, because every step is read several times
+by the next one and Spark then computes it once per row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptwell.fixed_values import (
@@ -14,6 +18,7 @@ from scriptwell.fixed_values import (
     MIN_NPI,
     STATE_CODES,
 )
+from scriptwell.functions.columns import hold
 
 # SQL type shapes a JSON value has once parsed, by contract type. The shapes are tested on
 # the parsed value because a typed read would silently convert "7" and true to numbers.
@@ -25,21 +30,7 @@ _SHAPES = {
 }
 
 
-def decode(value: Column | str) -> Column:
-    """JSON text as VARIANT, NULL where it is malformed."""
-    return F.try_parse_json(value)
-
-
-def _field(event: Column, name: str) -> Column:
-    return F.try_variant_get(event, f"$.{name}", "variant")
-
-
-def _is(field: Column, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(field).rlike(_SHAPES[kind]), F.lit(False))
-
-
-def _text(event: Column, name: str) -> Column:
-    return F.try_variant_get(event, f"$.{name}", "string")
+_TYPES = {"string": "string", "integer": "bigint", "boolean": "boolean", "number": "double"}
 
 
 def parse_time(text: Column) -> Column:
@@ -47,42 +38,53 @@ def parse_time(text: Column) -> Column:
     return F.when(text.rlike(ISO_TIMESTAMP_PATTERN), F.try_to_timestamp(text))
 
 
-def contract_errors(event: Column) -> Column:
-    """All violations of one decoded event; an empty array means it is valid."""
-    found = []
-    for name, kind in CONTRACT_FIELDS:
-        field = _field(event, name)
-        wrong = F.format_string(CONTRACT_MESSAGES["wrong_type"], F.lit(name), F.lit(kind),
-                                F.lower(F.schema_of_variant(field)))
-        found.append(
-            F.when(field.isNull(), F.lit(CONTRACT_MESSAGES["missing"] % name))
-            .when(~_is(field, kind), wrong))
-
-    state = _field(event, "prscrbr_state_abrvtn")
-    state_text = F.coalesce(_text(event, "prscrbr_state_abrvtn"), F.lit("null"))
-    state_ok = _is(state, "string") & state_text.isin(STATE_CODES)
-    found.append(F.when(state.isNotNull() & ~state_ok,
-                        F.format_string(CONTRACT_MESSAGES["state"], state_text)))
-
-    cost = F.when(_is(_field(event, "drug_cost_usd"), "number"),
-                  F.try_variant_get(event, "$.drug_cost_usd", "double"))
-    found.append(F.when(cost < 0, F.lit(CONTRACT_MESSAGES["negative_cost"])))
-    found.append(F.when(cost > MAX_CLAIM_COST, F.lit(CONTRACT_MESSAGES["cost_too_high"])))
-
-    npi = F.when(_is(_field(event, "prscrbr_npi"), "integer"),
-                 F.try_variant_get(event, "$.prscrbr_npi", "bigint"))
-    found.append(F.when(~npi.between(MIN_NPI, MAX_NPI), F.lit(CONTRACT_MESSAGES["npi"])))
-
-    stamp = _field(event, "claim_timestamp")
-    parsed = F.when(_is(stamp, "string"), parse_time(_text(event, "claim_timestamp")))
-    found.append(F.when(stamp.isNotNull() & parsed.isNull(),
-                        F.lit(CONTRACT_MESSAGES["timestamp"])))
-    return F.array_compact(F.array(*found))
-
-
-def event_fields(event: Column) -> list[Column]:
-    """Typed columns of a valid event."""
-    types = {"string": "string", "integer": "bigint", "boolean": "boolean", "number": "double"}
-    columns = [F.try_variant_get(event, f"$.{name}", types[kind]).alias(name)
-               for name, kind in CONTRACT_FIELDS]
-    return [*columns, parse_time(_text(event, "claim_timestamp")).alias("event_time")]
+def check_events(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Adds the typed claim fields, the event time and all violations of each message.
+
+    A message without violations has an empty `errors` array; malformed JSON has one error.
+    """
+    event, kinds = F.col("__event"), dict(CONTRACT_FIELDS)
+    parsed = messages.withColumn("__event", F.try_parse_json(value))
+    fields = parsed.withColumns({
+        f"__{n}": F.try_variant_get(event, f"$.{n}", "variant") for n in kinds})
+    shaped = fields.withColumns({
+        f"__kind_{n}": F.schema_of_variant(F.col(f"__{n}")) for n in kinds})
+    fits = {n: F.coalesce(F.col(f"__kind_{n}").rlike(_SHAPES[k]), F.lit(False))
+            for n, k in kinds.items()}
+    typed = shaped.withColumns({
+        n: F.when(fits[n], F.try_variant_get(F.col(f"__{n}"), "$", _TYPES[k]))
+        for n, k in kinds.items()})
+    timed = typed.withColumn("event_time", parse_time(F.col("claim_timestamp")))
+    errors = F.when(event.isNull(), F.array(F.lit(CONTRACT_MESSAGES["malformed"]))).otherwise(
+        F.array_compact(F.array(*_violations(fits))))
+    typed_names = [n for n in kinds if n not in messages.columns]
+    return hold(timed.withColumn("errors", errors), "errors").select(
+        *messages.columns, *typed_names, "event_time", "errors")
+
+
+def _violations(fits: dict[str, Column]) -> list[Column]:
+    found = [
+        F.when(F.col(f"__{name}").isNull(), F.lit(CONTRACT_MESSAGES["missing"] % name))
+        .when(~fits[name], F.format_string(
+            CONTRACT_MESSAGES["wrong_type"], F.lit(name), F.lit(kind),
+            F.lower(F.col(f"__kind_{name}"))))
+        for name, kind in CONTRACT_FIELDS
+    ]
+
+    def given(name: str) -> Column:
+        return F.col(f"__{name}").isNotNull()
+
+    state, cost = F.col("prscrbr_state_abrvtn"), F.col("drug_cost_usd")
+    shown = F.coalesce(F.try_variant_get(F.col("__prscrbr_state_abrvtn"), "$", "string"),
+                       F.lit("null"))
+    known = F.coalesce(state.isin(STATE_CODES), F.lit(False))
+    return [
+        *found,
+        F.when(given("prscrbr_state_abrvtn") & ~known,
+               F.format_string(CONTRACT_MESSAGES["state"], shown)),
+        F.when(cost < 0, F.lit(CONTRACT_MESSAGES["negative_cost"])),
+        F.when(cost > MAX_CLAIM_COST, F.lit(CONTRACT_MESSAGES["cost_too_high"])),
+        F.when(~F.col("prscrbr_npi").between(MIN_NPI, MAX_NPI), F.lit(CONTRACT_MESSAGES["npi"])),
+        F.when(given("claim_timestamp") & F.col("event_time").isNull(),
+               F.lit(CONTRACT_MESSAGES["timestamp"])),
+    ]

@@ -22,29 +22,46 @@ from scriptwell.functions.columns import col
 # Unicode character classes, so that \w, \d and \b also cover accented letters.
 _UNICODE = "(?U)"
 
+# What a match can start with. Looked at first, it rejects most positions of a text
+# without the costlier word-boundary test.
+_FIRST = {
+    "ssn": r"\d", "phone": r"[+(\d]", "ip_address": r"\d", "date_full": r"\d",
+    "mrn_like": r"[Mm]", "npi_as_identifier": r"\d",
+}
 
-def redaction_steps(text: Column | str) -> list[tuple[str, Column]]:
-    """(identifier, text as it stands before that identifier is replaced)."""
-    steps, current = [], col(text)
-    for label, pattern in PHI_PATTERNS.items():
-        steps.append((label, current))
-        if label not in PHI_COUNT_ONLY:
-            current = F.regexp_replace(current, _UNICODE + pattern, PHI_REPLACEMENT % label.upper())
-    return [*steps, ("", current)]
 
+def _pattern(label: str) -> str:
+    first = f"(?={_FIRST[label]})" if label in _FIRST else ""
+    return _UNICODE + first + PHI_PATTERNS[label]
+
+
+# Marks without which a text cannot hold an identifier; the other kinds need a digit.
+_MARKS = {"email": "@", "url": "://"}
+
+
+def has_digit(text: Column | str) -> Column:
+    return col(text).rlike(_UNICODE + r"\d")
 
-def redact_phi(text: Column | str) -> Column:
-    """The text with identifiers replaced one kind after the other."""
-    return redaction_steps(text)[-1][1]
 
+def identifier_count(text: Column | str, label: str, digit: Column) -> Column:
+    """How often one kind of identifier occurs; `digit` tells whether the text has one."""
+    possible = col(text).contains(_MARKS[label]) if label in _MARKS else digit
+    found = F.regexp_count(col(text), F.lit(_pattern(label)))
+    return F.when(possible, found).otherwise(F.lit(0))
 
-def phi_findings(text: Column | str) -> Column:
-    """Map from identifier to the number found; identifiers not found are left out."""
-    counts = []
-    for label, before in redaction_steps(text)[:-1]:
-        found = F.regexp_count(before, F.lit(_UNICODE + PHI_PATTERNS[label]))
-        counts += [F.lit(label), F.coalesce(found, F.lit(0))]
-    return F.map_filter(F.create_map(*counts), lambda _, n: n > 0)
+
+def without_identifier(text: Column | str, label: str) -> Column:
+    """The text with one kind of identifier replaced, unless that kind is only counted."""
+    if label in PHI_COUNT_ONLY:
+        return col(text)
+    return F.regexp_replace(col(text), _pattern(label), PHI_REPLACEMENT % label.upper())
+
+
+def redact_phi(text: Column | str) -> Column:
+    """The text with identifiers replaced one kind after the other."""
+    for label in PHI_PATTERNS:
+        text = without_identifier(text, label)
+    return col(text)
 
 
 def words(text: Column | str) -> Column:

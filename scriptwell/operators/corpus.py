@@ -3,20 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptwell.fixed_values import CHUNK_MAX_WORDS, CHUNK_OVERLAP_WORDS
+from scriptwell.fixed_values import CHUNK_MAX_WORDS, CHUNK_OVERLAP_WORDS, PHI_PATTERNS
 from scriptwell.functions import text as tx
+from scriptwell.functions.columns import hold
 
 
 def redacted(df: DataFrame, column: str) -> DataFrame:
-    """Adds the redacted text, the findings and their sum."""
-    return df.withColumns({
-        "redacted": tx.redact_phi(column), "findings": tx.phi_findings(column),
-    }).withColumn("total_found", F.aggregate(
-        F.map_values("findings"), F.lit(0), lambda a, n: a + n))
+    """Adds the redacted text, the non-zero findings and their sum.
+
+    Each identifier is counted in the text that earlier replacements left. The steps are
+    separate projections, so that every pattern runs once per row.
+    """
+    step = df.withColumns({"redacted": F.col(column), "__digit": tx.has_digit(column)})
+    counts = {label: f"__n_{label}" for label in PHI_PATTERNS}
+    for label, count in counts.items():
+        step = step.withColumn(count, tx.identifier_count("redacted", label, F.col("__digit"))).withColumn(
+            "redacted", F.when(F.col(count) > 0, tx.without_identifier("redacted", label))
+            .otherwise(F.col("redacted")))
+    pairs = [x for label, count in counts.items() for x in (F.lit(label), F.col(count))]
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in counts.values()])
+    return hold(step, "redacted", *counts.values()).withColumns({
+        "findings": F.map_filter(F.create_map(*pairs), lambda _, n: n > 0),
+        "total_found": total,
+    }).drop("__digit", *counts.values())
 
 
 def safe_text(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +42,7 @@ def safe_text(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
 def findings_by_category(df: DataFrame, column: str) -> DataFrame:
     """Per identifier kind: how many were found and in how many texts."""
-    found = df.select(F.explode(tx.phi_findings(column)).alias("category", "n"))
+    found = redacted(df, column).select(F.explode("findings").alias("category", "n"))
     return found.groupBy("category").agg(
         F.sum("n").cast("bigint").alias("found"), F.count(F.lit(1)).alias("texts"))
 

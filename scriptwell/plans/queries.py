@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptwell.fixed_values import CACHE_TTL_SECONDS
-from scriptwell.functions.contract import contract_errors, decode
+from scriptwell.functions.contract import check_events
 from scriptwell.operators import (
     cleaning,
     corpus,
@@ -27,6 +27,19 @@ from scriptwell.operators import (
     surveillance,
 )
 from scriptwell.plans import layers, testdata
+from scriptwell.plans.constants import (
+    ARCHIVE_NOW,
+    DRUG_NAME,
+    NOW,
+    OUTLIER_CUT,
+    OVERLAP_QUESTIONS,
+    QUESTION_BY_TURN,
+    REPORT_YEAR,
+    SESSIONS_NOW,
+    SMALL_CHUNK,
+    THRESHOLD,
+    WINDOW_MINUTES,
+)
 from scriptwell.sources import catalog, lake
 from scriptwell.sources.workspace import fresh_path, write_once
 from scriptwell.streaming import events as stream_events
@@ -35,28 +48,6 @@ from scriptwell.streaming import sinks, tracker
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-REPORT_YEAR = 1998
-DRUG_NAME = "large ring"
-OUTLIER_CUT = 1.95
-WINDOW_MINUTES = 24 * 60
-THRESHOLD = 4
-NOW = "2024-01-02 00:00:00"
-SESSIONS_NOW = "2024-01-01 03:00:00"
-ARCHIVE_NOW = "2030-01-15 00:00:00"
-# Question appended to a chat turn, by turn number.
-QUESTION_BY_TURN = {
-    0: "Which STATE had the highest cost in 2023?",
-    1: "top expensive drugs of 2022",
-    2: "generic vs brand",
-    3: "most active prescribers 2021",
-    4: "opioid claims by region in 2020",
-    5: "average cost per claim",
-    6: "highest cost",
-    7: "hello there 1999",
-}
-OVERLAP_QUESTIONS = ["the generic claims", "der Staat", "nothing_shared_here"]
-SMALL_CHUNK = (60, 12)
-
 
 def _at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
@@ -650,11 +641,10 @@ def active_alerts(spark, sf):
 
 @query
 def contract_errors_per_event(spark, sf):
-    messages = testdata.claim_messages(spark, sf)
-    event = decode("value")
-    errors = F.when(event.isNull(), F.array(F.lit("malformed JSON"))).otherwise(
-        contract_errors(event))
-    return messages.select("claim_id", F.array_join(errors, "; ").alias("errors"))
+    checked = check_events(testdata.claim_messages(spark, sf).withColumnRenamed(
+        "claim_id", "message_id"))
+    return checked.select(F.col("message_id").alias("claim_id"),
+                          F.array_join("errors", "; ").alias("errors"))
 
 
 @query

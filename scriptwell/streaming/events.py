@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptwell.functions.contract import contract_errors, decode, event_fields
+from scriptwell.functions.contract import check_events
 
 
 def read_claims(spark: SparkSession, servers: str, topic: str) -> DataFrame:
@@ -28,11 +28,8 @@ def read_claim_files(spark: SparkSession, path: str, schema: StructType | str =
 
 
 def decoded(messages: DataFrame) -> DataFrame:
-    """Raw text, typed fields and contract errors; malformed text has one error."""
-    parsed = messages.select("value", decode("value").alias("__event"))
-    errors = F.when(F.col("__event").isNull(), F.array(F.lit("malformed JSON"))).otherwise(
-        contract_errors(F.col("__event")))
-    return parsed.select("value", *event_fields(F.col("__event")), errors.alias("errors"))
+    """Raw text, typed fields, event time and contract errors."""
+    return check_events(messages.select("value"))
 
 
 def route(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
