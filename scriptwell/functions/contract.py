@@ -20,14 +20,19 @@ from scriptwell.fixed_values import (
 )
 from scriptwell.functions.columns import hold
 
-# SQL type shapes a JSON value has once parsed, by contract type. The shapes are tested on
-# the parsed value because a typed read would silently convert "7" and true to numbers.
-_SHAPES = {
-    "string": r"^STRING$",
-    "integer": r"^BIGINT$",
-    "boolean": r"^BOOLEAN$",
-    "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
-}
+def _fits(shape: Column, kind: str) -> Column:
+    """Whether a parsed JSON value has a contract type.
+
+    The test is on the type of the parsed value, because a typed read would silently
+    convert "7" and true to numbers.
+    """
+    fits = {
+        "string": shape == "STRING",
+        "integer": shape == "BIGINT",
+        "boolean": shape == "BOOLEAN",
+        "number": shape.isin("BIGINT", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL"),
+    }
+    return F.coalesce(fits[kind], F.lit(False))
 
 
 _TYPES = {"string": "string", "integer": "bigint", "boolean": "boolean", "number": "double"}
@@ -49,8 +54,7 @@ def check_events(messages: DataFrame, value: str = "value") -> DataFrame:
         f"__{n}": F.try_variant_get(event, f"$.{n}", "variant") for n in kinds})
     shaped = fields.withColumns({
         f"__kind_{n}": F.schema_of_variant(F.col(f"__{n}")) for n in kinds})
-    fits = {n: F.coalesce(F.col(f"__kind_{n}").rlike(_SHAPES[k]), F.lit(False))
-            for n, k in kinds.items()}
+    fits = {n: _fits(F.col(f"__kind_{n}"), k) for n, k in kinds.items()}
     typed = shaped.withColumns({
         n: F.when(fits[n], F.try_variant_get(F.col(f"__{n}"), "$", _TYPES[k]))
         for n, k in kinds.items()})

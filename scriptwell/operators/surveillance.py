@@ -17,27 +17,29 @@ def opioid_only(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("is_opioid", F.lit(False)))
 
 
+def in_slots(events: DataFrame, ts: str, minutes: int) -> DataFrame:
+    """Each event in the slot of its time, and as past only in the following slot.
+
+    A slot is one window long, which is as far as a trailing window reaches back. Slots of
+    one key can then be counted apart from each other, however busy the key is.
+    """
+    width = minutes * 60 * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    number = F.floor(us / width)
+    return events.withColumn("us", us).select("*", F.inline(F.array(
+        F.struct(number.alias("slot"), F.lit(True).alias("own")),
+        F.struct((number + 1).alias("slot"), F.lit(False).alias("own")))))
+
+
 def trailing_count(events: DataFrame, key: str, ts: str,
                    minutes: int = ALERT_WINDOW_MINUTES,
                    name: str = "claim_count_in_window") -> DataFrame:
-    """Events of the same key in `[ts - minutes, ts]`, for every event.
-
-    A key's timeline is cut into slots one window long. Each event is counted in its own
-    slot and, as past only, in the following one, which is as far as a window reaches.
-    Slots are windowed on their own, so a very busy key spreads over many tasks.
-    """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    """Events of the same key in `[ts - minutes, ts]`, for every event."""
     width = minutes * 60 * 1_000_000
-    placed = events.withColumn("__us", micros).withColumn(
-        "__slot", F.explode(F.array(
-            F.struct(F.floor(F.col("__us") / width).alias("no"), F.lit(True).alias("own")),
-            F.struct((F.floor(F.col("__us") / width) + 1).alias("no"),
-                     F.lit(False).alias("own")))))
-    slots = placed.withColumns({"__no": F.col("__slot.no"), "__own": F.col("__slot.own")})
-    window = Window.partitionBy(key, "__no").orderBy("__us").rangeBetween(-width, 0)
+    window = Window.partitionBy(key, "slot").orderBy("us").rangeBetween(-width, 0)
     return (
-        slots.withColumn(name, F.count(F.lit(1)).over(window))
-        .filter("__own").drop("__us", "__slot", "__no", "__own")
+        in_slots(events, ts, minutes).withColumn(name, F.count(F.lit(1)).over(window))
+        .filter("own").drop("us", "slot", "own")
     )
 
 

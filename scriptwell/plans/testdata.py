@@ -43,9 +43,10 @@ def specialty_of(segment):
     return F.coalesce(by_literal(segment, SPECIALTIES), segment)
 
 
-def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+        "c_custkey",
         (F.lit(NPI_BASE) + F.col("c_custkey")).alias("prscrbr_npi"),
         F.col("c_name").alias("prscrbr_last_org_name"),
         F.lit("PAT").alias("prscrbr_first_name"),
@@ -55,18 +56,18 @@ def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiles(spark, sf_dir).drop("c_custkey")
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw claims: one row per line item, with untidy case and spacing.
 
     Customer columns are joined to the orders before the much larger line items are.
     """
     orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
-    line = table(spark, sf_dir, "lineitem")
-    who = prescribers(spark, sf_dir)
-    ordered = orders.select(
-        "o_orderkey", (F.lit(NPI_BASE) + F.col("o_custkey")).alias("prscrbr_npi"),
-        F.year("o_orderdate").alias("year"),
-    ).join(who, "prscrbr_npi")
+    line, who = table(spark, sf_dir, "lineitem"), _profiles(spark, sf_dir)
+    ordered = orders.join(who, orders.o_custkey == who.c_custkey)
     return (
         line.join(ordered, line.l_orderkey == ordered.o_orderkey)
         .join(part, line.l_partkey == part.p_partkey)
@@ -81,7 +82,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_extendedprice").alias("tot_drug_cst"),
             (F.col("l_quantity").cast("int") * 30).alias("tot_day_suply"),
             F.floor(F.col("l_quantity").cast("int") * 7 / 10).cast("int").alias("tot_benes"),
-            "year",
+            F.year("o_orderdate").alias("year"),
         )
     )
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "snappy",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a Python stack per column expression triples the time to build a wide plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

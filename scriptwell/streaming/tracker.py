@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from scriptwell.fixed_values import ALERT_WINDOW_MINUTES
-from scriptwell.operators.surveillance import opioid_only
+from scriptwell.operators.surveillance import in_slots, opioid_only
 
 STATE_STORE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -24,15 +24,11 @@ COUNT_SCHEMA = StructType([
     StructField("event_time", TimestampType()),
     StructField("claim_count_in_window", LongType()),
 ])
-_SEEN = StructType([StructField("us", LongType()), StructField("n", IntegerType())])
-
-
-def _micros(times: pd.Series) -> np.ndarray:
-    return times.to_numpy(dtype="datetime64[us]").astype(np.int64)
+_SEEN = StructType([StructField("us", LongType()), StructField("n", LongType())])
 
 
 class TrailingCounter(StatefulProcessor):
-    """Keeps the times, with multiplicity, that later events may still count."""
+    """Keeps the event times of one prescriber and slot, each with its multiplicity."""
 
     def __init__(self, window_minutes: int):
         self._window_us = window_minutes * 60 * 1_000_000
@@ -43,35 +39,29 @@ class TrailingCounter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows), ignore_index=True)
-        at = _micros(fresh["event_time"])
-        old = np.array([tuple(r) for r in self._seen.get()] or np.empty((0, 2)), dtype=np.int64)
-        times, inverse = np.unique(np.concatenate([old[:, 0], at]), return_inverse=True)
-        weights = np.concatenate([old[:, 1], np.ones(len(at), dtype=np.int64)])
-        n = np.bincount(inverse, weights=weights, minlength=len(times)).astype(np.int64)
-        running = np.concatenate([[0], np.cumsum(n)])
-        upto = running[np.searchsorted(times, at, side="right")]
-        before = running[np.searchsorted(times, at - self._window_us, side="left")]
-
-        # An accepted event is never older than the watermark, so nothing can count a time
-        # more than one window before it.
-        kept = times >= timerValues.getCurrentWatermarkInMs() * 1000 - self._window_us
+        stored = np.array(list(self._seen.get()), dtype=np.int64).reshape(-1, 2)
+        times, where = np.unique(
+            np.concatenate([stored[:, 0], fresh["us"].to_numpy()]), return_inverse=True)
+        n = np.zeros(len(times), dtype=np.int64)
+        np.add.at(n, where, np.concatenate([stored[:, 1], np.ones(len(fresh), dtype=np.int64)]))
+        upto = np.concatenate([[0], np.cumsum(n)])
+
+        # No accepted event is older than the watermark, so none reaches further back than
+        # one window before it; and once the watermark leaves the slot nothing is counted.
+        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = times >= watermark_us - self._window_us
         self._seen.put([(int(t), int(c)) for t, c in zip(times[kept], n[kept])])
-        self._handle.registerTimer(int(times[-1] + self._window_us) // 1000 + 1)
-        yield pd.DataFrame({
-            "claim_id": fresh["claim_id"],
-            "prscrbr_npi": fresh["prscrbr_npi"],
-            "prscrbr_state_abrvtn": fresh["prscrbr_state_abrvtn"],
-            "event_time": fresh["event_time"],
-            "claim_count_in_window": upto - before,
-        })
+        self._handle.registerTimer((int(key[1]) + 1) * self._window_us // 1000)
+
+        own = fresh[fresh["own"]]
+        at = own["us"].to_numpy()
+        counts = (upto[np.searchsorted(times, at, side="right")]
+                  - upto[np.searchsorted(times, at - self._window_us, side="left")])
+        yield own[["claim_id", "prscrbr_npi", "prscrbr_state_abrvtn", "event_time"]].assign(
+            claim_count_in_window=counts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        oldest = timerValues.getCurrentWatermarkInMs() * 1000 - self._window_us
-        left = [tuple(r) for r in self._seen.get() if r[0] >= oldest]
-        if left:
-            self._seen.put(left)
-        else:
-            self._seen.clear()
+        self._seen.clear()
         yield from ()
 
     def close(self) -> None:
@@ -81,13 +71,14 @@ class TrailingCounter(StatefulProcessor):
 def trailing_counts(events: DataFrame, minutes: int = ALERT_WINDOW_MINUTES) -> DataFrame:
     """Per opioid event its trailing count; the input must carry a watermark.
 
-    Shuffling on the prescriber brings all events of one prescriber to one state, whatever
-    key the messages were published under.
+    State is kept per prescriber and window-long slot, whatever key the messages were
+    published under: one group never holds more than two windows of a prescriber's events.
     """
+    slotted = in_slots(opioid_only(events), "event_time", minutes)
     return (
-        opioid_only(events)
-        .select("claim_id", "prscrbr_npi", "prscrbr_state_abrvtn", "event_time")
-        .groupBy("prscrbr_npi")
+        slotted.select("claim_id", "prscrbr_npi", "prscrbr_state_abrvtn", "event_time", "us",
+                       "slot", "own")
+        .groupBy("prscrbr_npi", "slot")
         .transformWithStateInPandas(
             statefulProcessor=TrailingCounter(minutes), outputStructType=COUNT_SCHEMA,
             outputMode="Append", timeMode="EventTime")
