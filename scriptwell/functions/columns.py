@@ -95,7 +95,7 @@ def amount_band(amount: Column | str) -> Column:
     bits = F.when(cents == 0, F.lit(0)).otherwise(F.length(F.bin(cents)))
     top = F.call_function("shiftright", cents, F.greatest(bits - 6, F.lit(0)))
     band = (bits * 32 + top.bitwiseAND(F.lit(31))).cast("int")
-    return F.when(col(amount) < 0, -band).otherwise(band)
+    return F.when(col(amount) < 0, -band).when(col(amount).isNotNull(), band)
 
 
 def hold(df: DataFrame, *columns: str) -> DataFrame:

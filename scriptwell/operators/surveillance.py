@@ -17,18 +17,26 @@ def opioid_only(df: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("is_opioid", F.lit(False)))
 
 
+WINDOWS_PER_SLOT = 8
+
+
 def in_slots(events: DataFrame, ts: str, minutes: int) -> DataFrame:
-    """Each event in the slot of its time, and as past only in the following slot.
+    """Each event in the slot of its time and, where the next slot's windows reach back to
+    it, as past only in that one as well.
 
-    A slot is one window long, which is as far as a trailing window reaches back. Slots of
-    one key can then be counted apart from each other, however busy the key is.
+    A slot is a few windows long. Slots of one key can be counted apart from each other,
+    so a very busy key spreads over many tasks for about an eighth more rows.
     """
-    width = minutes * 60 * 1_000_000
+    window = minutes * 60 * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    number = F.floor(us / width)
-    return events.withColumn("us", us).select("*", F.inline(F.array(
-        F.struct(number.alias("slot"), F.lit(True).alias("own")),
-        F.struct((number + 1).alias("slot"), F.lit(False).alias("own")))))
+
+    def slot_at(moment: Column) -> Column:
+        return F.floor(moment / (window * WINDOWS_PER_SLOT))
+
+    own = F.struct(slot_at(us).alias("slot"), F.lit(True).alias("own"))
+    past = F.struct(slot_at(us + window).alias("slot"), F.lit(False).alias("own"))
+    placed = F.when(slot_at(us + window) > slot_at(us), F.array(own, past)).otherwise(F.array(own))
+    return events.withColumn("us", us).select("*", F.inline(placed))
 
 
 def trailing_count(events: DataFrame, key: str, ts: str,

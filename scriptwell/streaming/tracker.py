@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from scriptwell.fixed_values import ALERT_WINDOW_MINUTES
-from scriptwell.operators.surveillance import in_slots, opioid_only
+from scriptwell.operators.surveillance import WINDOWS_PER_SLOT, in_slots, opioid_only
 
 STATE_STORE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -51,7 +51,8 @@ class TrailingCounter(StatefulProcessor):
         watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
         kept = times >= watermark_us - self._window_us
         self._seen.put([(int(t), int(c)) for t, c in zip(times[kept], n[kept])])
-        self._handle.registerTimer((int(key[1]) + 1) * self._window_us // 1000)
+        self._handle.registerTimer(
+            (int(key[1]) + 1) * WINDOWS_PER_SLOT * self._window_us // 1000)
 
         own = fresh[fresh["own"]]
         at = own["us"].to_numpy()
@@ -71,8 +72,8 @@ class TrailingCounter(StatefulProcessor):
 def trailing_counts(events: DataFrame, minutes: int = ALERT_WINDOW_MINUTES) -> DataFrame:
     """Per opioid event its trailing count; the input must carry a watermark.
 
-    State is kept per prescriber and window-long slot, whatever key the messages were
-    published under: one group never holds more than two windows of a prescriber's events.
+    State is kept per prescriber and slot of time, whatever key the messages were published
+    under, so that one group holds a few windows of a prescriber's events and no more.
     """
     slotted = in_slots(opioid_only(events), "event_time", minutes)
     return (
