@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from scriptwell.fixed_values import (
+    ANSWER_FORMATS,
     BRONZE_EXPECTATIONS,
     CONTRACT_MESSAGES,
+    DUPLICATE_KEYS_FORMAT,
+    INSIGHT_FORMATS,
+    OUTLIER_FORMAT,
     PHI_COUNT_ONLY,
     PHI_PATTERNS,
     QUESTION_INTENTS,
+    RECOMMENDATION_FORMATS,
+    REPORT_SECTIONS,
     STATE_CODES,
+    SUMMARY_FORMAT,
 )
 from scriptwell.plans import testdata as td
 from scriptwell.plans.constants import (
@@ -829,3 +838,124 @@ ORACLE["lineage_upstream"] = """
         SELECT source, 1 FROM links WHERE target = 'lake/gold/state_kpi'
         UNION ALL SELECT source, distance + 1 FROM up JOIN links ON target = dataset)
     SELECT dataset, distance FROM up"""
+
+# ---- narratives ----------------------------------------------------------------------
+
+
+def _shown(expr: str, digits: int, grouped: bool = False) -> str:
+    return f"format('{{:{',' if grouped else ''}.{digits}f}}', {_half_up(expr, digits)})"
+
+
+def _filled(fmt: str, *values: str) -> str:
+    """Concatenation of a format's text with values that are already text."""
+    parts = re.split(r"%,?[.\d]*[sdf]", fmt.replace("%%", "\0"))
+    pieces = [_quoted(parts[0].replace("\0", "%"))]
+    for value, text in zip(values, parts[1:], strict=True):
+        pieces += [value, _quoted(text.replace("\0", "%"))]
+    return " || ".join(pieces)
+
+
+def _grouped(expr: str) -> str:
+    return f"format('{{:,}}', {expr})"
+
+
+_M1 = "total_cost_usd / 1e6"
+_TOP = {
+    "top_drugs": f"SELECT * FROM drug WHERE {_Y} {_DRUG_ORDER} LIMIT 10",
+    "top_states": f"SELECT * FROM state WHERE {_Y} {_STATE_ORDER} LIMIT 10",
+    "top_people": f"SELECT * FROM prescriber WHERE {_Y} {_PEOPLE_ORDER} LIMIT 10",
+}
+_F = INSIGHT_FORMATS
+_DRUG_TEXT = _filled(_F["top_drug"], "gnrc_name", _shown(_M1, 1),
+                     _shown("CAST(total_claims AS DOUBLE) / 1e3", 1))
+_add("insights", "drug state prescriber", f"""
+    SELECT 1 AS position, {_DRUG_TEXT} AS text FROM (FROM top_drugs {_DRUG_ORDER} LIMIT 1)
+    UNION ALL SELECT 2, {_filled(_F["second_drug"], "gnrc_name", _shown(_M1, 1))}
+    FROM (FROM top_drugs {_DRUG_ORDER} LIMIT 1 OFFSET 1)
+    UNION ALL SELECT 3, {_filled(_F["top_state"], "state_abrvtn", _shown(_M1, 1),
+                                 _shown("cost_per_beneficiary", 2))}
+    FROM (FROM top_states {_STATE_ORDER} LIMIT 1)
+    UNION ALL SELECT 4, {_filled(_F["generic_rate"], _shown("r", 1))}
+    FROM (SELECT {_mean("generic_rate")} AS r FROM prescriber WHERE {_Y})""", **_TOP)
+_SUMMARY = _filled(
+    SUMMARY_FORMAT, "'weekly'", _shown("spend / 1e9", 2), _shown("benes / 1e6", 1), "drug",
+    _shown("drug_cost / 1e6", 1), "state", _shown("state_cost / 1e6", 1))
+_add("executive_summary", "drug state prescriber", f"""
+    SELECT {_SUMMARY} AS text FROM (
+        SELECT (SELECT {_money("total_cost_usd")} FROM state WHERE {_Y}) AS spend,
+               (SELECT CAST(SUM(total_beneficiaries) AS DOUBLE) FROM state WHERE {_Y}) AS benes,
+               (SELECT gnrc_name FROM top_drugs {_DRUG_ORDER} LIMIT 1) AS drug,
+               (SELECT total_cost_usd FROM top_drugs {_DRUG_ORDER} LIMIT 1) AS drug_cost,
+               (SELECT state_abrvtn FROM top_states {_STATE_ORDER} LIMIT 1) AS state,
+               (SELECT total_cost_usd FROM top_states {_STATE_ORDER} LIMIT 1) AS state_cost)""",
+     **_TOP)
+_add("quality_explanation", "drug state prescriber", f"""
+    (SELECT 1 AS position, {_filled(OUTLIER_FORMAT, "state_abrvtn", "CAST(z AS VARCHAR)",
+                                    _shown(_M1, 1))} AS text
+     FROM (SELECT *, {_half_up('(total_cost_usd - m) / d')} AS z
+           FROM state JOIN (SELECT year, AVG(total_cost_usd) AS m,
+                                   stddev_samp(total_cost_usd) AS d
+                            FROM state GROUP BY year) USING (year) WHERE {_Y})
+     WHERE abs(z) >= 1.5 ORDER BY abs(z) DESC, state_abrvtn LIMIT 1)
+    UNION ALL SELECT 2, {_filled(DUPLICATE_KEYS_FORMAT, "CAST(n AS VARCHAR)")}
+    FROM (SELECT SUM(duplicate_key_groups) AS n FROM ({_REPEATED})) WHERE n > 0""")
+_R = RECOMMENDATION_FORMATS
+_SAVED = _shown("potential_savings", 0, True)
+_add("recommendations", "drug prescriber", f"""
+    SELECT CAST(no AS INTEGER) AS position,
+           CASE no WHEN 1 THEN {_filled(_R["first_swap"], "gnrc_name", "brnd_name")}
+                ELSE {_filled(_R["second_swap"], "gnrc_name", "brnd_name")} END AS recommendation,
+           CASE no WHEN 1 THEN {_filled(_R["first_swap_impact"], _SAVED)}
+                ELSE {_filled(_R["second_swap_impact"], _SAVED)} END AS estimated_impact,
+           'high' AS priority
+    FROM (SELECT *, row_number() OVER (ORDER BY potential_savings DESC, gnrc_name, brnd_name) AS no
+          FROM ({_SAVINGS}) WHERE {_Y}) WHERE no <= 2
+    UNION ALL (SELECT 3, {_filled(_R["low_adoption"], "state", _shown("shown", 1))}, NULL, 'medium'
+    FROM (SELECT state, {_half_up(_mean("rate"), 1)} AS shown, {_mean("rate")} AS mean
+          FROM r GROUP BY state)
+    WHERE mean < (SELECT {_mean("rate")} FROM r) * 0.95 ORDER BY shown, state LIMIT 1)""",
+     r="SELECT coalesce(prscrbr_state_abrvtn, 'Unknown') AS state, "
+       f"coalesce(generic_rate, 0.0) AS rate FROM prescriber WHERE {_Y}")
+_A = ANSWER_FORMATS
+_COST = _shown("total_cost_usd", 0, True)
+
+
+def _answer(key: str, rows: str, *values: str) -> str:
+    return f"(SELECT '{key}' AS query, {_filled(_A[key], *values)} AS text FROM ({rows} LIMIT 1))"
+
+
+_add("answers", "drug state prescriber", " UNION ALL ".join([
+    _answer("top_state", f"FROM state WHERE {_Y} {_STATE_ORDER}", "state_abrvtn", _COST,
+            _grouped("total_beneficiaries")),
+    _answer("top_drugs", f"FROM drug WHERE {_Y} {_DRUG_ORDER}", "gnrc_name", "brnd_name", _COST,
+            _grouped("total_claims")),
+    _answer("top_prescribers", f"FROM prescriber WHERE {_Y} {_PEOPLE_ORDER}",
+            "prscrbr_last_org_name", "prscrbr_state_abrvtn", _COST, _shown("generic_rate", 1)),
+    _answer("opioid_by_state",
+            f"FROM state WHERE {_Y} ORDER BY pain_specialty_claims DESC, state_abrvtn",
+            "state_abrvtn", _grouped("pain_specialty_claims"), _grouped("total_claims")),
+    _answer("avg_cost", f"FROM state WHERE {_Y} ORDER BY avg_cost_per_claim DESC, state_abrvtn",
+            "state_abrvtn", _shown("avg_cost_per_claim", 2, True),
+            _shown("cost_per_beneficiary", 2, True)),
+    f"""SELECT 'generic_vs_brand', string_agg(t, '; ' ORDER BY t) FROM (SELECT {_filled(
+        _A["generic_vs_brand"], "CASE WHEN is_generic THEN 'Generic' ELSE 'Brand' END", _COST,
+        _grouped("total_claims"))} AS t FROM ({_SPLIT} WHERE {_Y} GROUP BY is_generic))""",
+]))
+
+
+def _section(number: int, name: str, rows: str, order: str, *values: str) -> str:
+    title, header, rule, fmt = REPORT_SECTIONS[name]
+    heads = ", ".join(f"({number}, {i}, {_quoted(t)})" for i, t in enumerate((title, header, rule)))
+    return (f"SELECT * FROM (VALUES {heads}) h(section, line_no, line) UNION ALL "
+            f"SELECT {number}, CAST(2 + row_number() OVER ({order}) AS INTEGER), "
+            f"{_filled(fmt, *values)} FROM {rows}")
+
+
+_add("report_markdown", "drug state prescriber", " UNION ALL ".join([
+    _section(1, "drugs", "top_drugs", _DRUG_ORDER, "gnrc_name", _COST, _grouped("total_claims"),
+             _grouped("unique_prescribers")),
+    _section(2, "states", "top_states", _STATE_ORDER, "state_abrvtn", _COST,
+             _grouped("total_beneficiaries"), _shown("cost_per_beneficiary", 2, True)),
+    _section(3, "prescribers", "top_people", _PEOPLE_ORDER, "prscrbr_last_org_name",
+             "prscrbr_state_abrvtn", _COST, _shown("generic_rate", 1)),
+]), **_TOP)
