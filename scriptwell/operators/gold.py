@@ -44,13 +44,22 @@ def gold_stamp(df: DataFrame, name: str = "_gold_ts") -> DataFrame:
     return df.withColumn(name, F.current_timestamp())
 
 
-def drug_summary(silver: DataFrame) -> DataFrame:
+def _ranked(df: DataFrame, groups: list[str], name: str, stage: Stage | None) -> DataFrame:
+    """Rank by cost within groups: over a plain window, or, when the rows can be stored
+    first, in bands that keep any group from landing in one task."""
+    if stage is None:
+        return rank_desc(df, groups, "total_cost_usd", name)
+    return banded_rank_desc(stage(df), groups, "total_cost_usd", name)
+
+
+def drug_summary(silver: DataFrame, stage: Stage | None = None) -> DataFrame:
+    """Yearly totals per drug with the rank of its cost within the year."""
     by_drug = silver.groupBy(*DRUG_KEY, "is_generic").agg(
         *_totals(),
         exact_avg("avg_cost_per_claim").alias("avg_cost_per_claim"),
         F.count_distinct("prscrbr_npi").alias("unique_prescribers"),
     )
-    return rank_desc(by_drug, ["year"], "total_cost_usd", "cost_rank")
+    return _ranked(by_drug, ["year"], "cost_rank", stage)
 
 
 def prescriber_totals(silver: DataFrame) -> DataFrame:
@@ -65,21 +74,22 @@ def prescriber_summary(silver: DataFrame, prescribers: DataFrame, how: str = "le
                        stage: Stage | None = None) -> DataFrame:
     """Yearly totals per prescriber with their profile and rank within the state.
 
-    A state may hold any share of the prescribers, hence the banded rank; `stage` stores
-    the unranked rows so that ranking does not aggregate the claims a second time.
+    `stage` stores the unranked rows, so that ranking neither aggregates the claims a second
+    time nor sorts a state with a large share of the prescribers in one task.
     """
     unranked = (
         prescriber_totals(silver)
         .join(prescribers.select(*PRESCRIBER_COLUMNS), "prscrbr_npi", how)
         .withColumn("generic_rate", null_ratio("generic_claims", "total_claims", factor=100))
     )
-    stored = stage(unranked) if stage else unranked
-    return banded_rank_desc(stored, ["prscrbr_state_abrvtn", "year"], "total_cost_usd",
-                            "state_rank")
+    return _ranked(unranked, ["prscrbr_state_abrvtn", "year"], "state_rank", stage)
 
 
 def state_kpi(silver: DataFrame, states: DataFrame | None = None) -> DataFrame:
-    """Yearly totals per state; a state reference adds its columns without adding rows."""
+    """Yearly totals per state; a state reference adds its columns without adding rows.
+
+    States are two-letter codes, so a year has few rows to rank.
+    """
     by_state = silver.groupBy("prscrbr_state_abrvtn", "year").agg(
         *_totals(),
         F.count_distinct("prscrbr_npi").alias("total_prescribers"),

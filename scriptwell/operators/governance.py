@@ -57,6 +57,10 @@ def request_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("method", "path", "status_code").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def query_volume(query_log: DataFrame) -> DataFrame:
+    return query_log.groupBy("status").agg(F.count(F.lit(1)).alias("queries"))
+
+
 def access_rollup(log: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Requests, server errors and request rate per path and time window."""
     slot = F.window(F.col("accessed_at"), window)

@@ -14,6 +14,10 @@ from scriptwell.sources.workspace import StoredTables, write_once
 GOLD_TABLES = ("drug_summary", "prescriber_summary", "state_kpi")
 
 
+def _stage(label: str) -> gold.Stage:
+    return lambda df: write_once(df, label)
+
+
 # ---- dated storage -------------------------------------------------------------------
 
 def build_silver(spark: SparkSession, root: str, date: str) -> dict[str, int]:
@@ -27,14 +31,14 @@ def build_silver(spark: SparkSession, root: str, date: str) -> dict[str, int]:
 
 def build_drug_summary(spark: SparkSession, root: str, date: str) -> int:
     silver = lake.read_layer(spark, root, "silver", "prescriber_drug", date)
-    return lake.write_gold(gold.gold_stamp(gold.drug_summary(silver)), root, "drug_summary", date)
+    ranked = gold.drug_summary(silver, stage=_stage("drug_unranked"))
+    return lake.write_gold(gold.gold_stamp(ranked), root, "drug_summary", date)
 
 
 def build_prescriber_summary(spark: SparkSession, root: str, date: str, how: str = "left") -> int:
     silver = lake.read_layer(spark, root, "silver", "prescriber_drug", date)
     people = lake.read_layer(spark, root, "silver", "prescriber", date)
-    ranked = gold.prescriber_summary(silver, people, how,
-                                     stage=lambda df: write_once(df, "prescriber_unranked"))
+    ranked = gold.prescriber_summary(silver, people, how, stage=_stage("prescriber_unranked"))
     return lake.write_gold(gold.gold_stamp(ranked), root, "prescriber_summary", date)
 
 
@@ -52,6 +56,17 @@ def build_gold(spark: SparkSession, root: str, date: str) -> dict[str, int]:
     }
 
 
+def build_all(spark: SparkSession, bronze_tables: dict[str, DataFrame], root: str,
+              date: str) -> dict[str, dict[str, int]]:
+    """All three layers from given Bronze tables; returns rows written per layer and table."""
+    written = [lake.write_bronze(df, root, name, date) for name, df in bronze_tables.items()]
+    return {
+        "bronze": {w["table"]: w["rows"] for w in written},
+        "silver": build_silver(spark, root, date),
+        "gold": build_gold(spark, root, date),
+    }
+
+
 def record_lineage(spark: SparkSession, path: str, counts: dict[str, dict[str, int]],
                    root: str = "lake") -> None:
     """Append START and COMPLETE rows for each layer transition of one run."""
@@ -90,10 +105,11 @@ def _gold_builders(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], D
     def prescribers() -> DataFrame:
         return gold.prescriber_summary(
             silver_claims(spark, sf_dir), silver_prescribers(spark, sf_dir),
-            stage=lambda df: write_once(df, "prescriber_unranked"))
+            stage=_stage("prescriber_unranked"))
 
     return {
-        "drug_summary": lambda: gold.drug_summary(silver_claims(spark, sf_dir)),
+        "drug_summary": lambda: gold.drug_summary(
+            silver_claims(spark, sf_dir), stage=_stage("drug_unranked")),
         "prescriber_summary": prescribers,
         "state_kpi": lambda: gold.state_kpi(
             silver_claims(spark, sf_dir), testdata.states(spark, sf_dir)

@@ -241,7 +241,18 @@ _add("ingestion_summary", "people claims", f"""
 
 # ---- Gold ----------------------------------------------------------------------------
 
+_add("layer_counts", "claims silver drug prescriber state", " UNION ALL ".join(
+    f"SELECT '{layer}' AS layer, '{table}' AS \"table\", {_count()} AS rows FROM {relation}"
+    for layer, table, relation in (
+        ("bronze", "prescriber_drug", "claims"), ("bronze", "prescriber", "people"),
+        ("bronze", "drug", "part"), ("bronze", "state", "state_rows"),
+        ("silver", "prescriber_drug", "silver"), ("silver", "prescriber", "people"),
+        ("silver", "drug", "(SELECT DISTINCT upper(trim(p_name)) FROM part)"),
+        ("silver", "state", "state_rows"), ("gold", "drug_summary", "drug"),
+        ("gold", "prescriber_summary", "prescriber"), ("gold", "state_kpi", "state"))),
+     state_rows="SELECT s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
 _add("drug_summary", "drug", "SELECT * FROM drug")
+_add("drug_summary_stored", "drug", "SELECT * FROM drug")
 _add("drug_summary_sql", "drug", """
     SELECT gnrc_name AS generic_name, brnd_name AS brand_name, year AS claim_year, is_generic,
            total_claims, total_cost_usd, total_beneficiaries, unique_prescribers, cost_rank
@@ -791,6 +802,10 @@ _add("audit_archive", "access_log", f"""
       AND path <> '/api/rag/chat'""")
 _add("request_counts", "access_log", f"""
     SELECT method, path, status_code, {_count()} AS requests FROM access_log GROUP BY ALL""")
+_add("query_volume", "access_log", f"""
+    SELECT CASE WHEN status_code >= 500 THEN 'failed' WHEN username IS NULL THEN 'rejected'
+                ELSE 'success' END AS status, {_count()} AS queries
+    FROM access_log GROUP BY 1""")
 _add("access_rollup", "access_log", f"""
     SELECT time_bucket(INTERVAL 5 MINUTES, accessed_at) AS window_start, path,
            {_count()} AS requests, COUNT(*) FILTER (WHERE status_code >= 500) AS server_errors,

@@ -144,11 +144,30 @@ def ingestion_summary(spark, sf):
 
 # ---- Gold ----------------------------------------------------------------------------
 
+@query
+def layer_counts(spark, sf):
+    """Rows read back from dated Bronze, Silver and Gold storage after a full build."""
+    root, date = fresh_path(spark, "lake"), "2024-01-01"
+    written = layers.build_all(spark, layers.bronze(spark, sf), root, date)
+    counts = [
+        lake.read_layer(spark, root, layer, name, date).agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(layer).alias("layer"), F.lit(name).alias("table"), "rows")
+        for layer, tables in written.items() for name in tables
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def drug_summary(spark, sf):
     return gold.drug_summary(layers.silver_claims(spark, sf))
 
 
+@query
+def drug_summary_stored(spark, sf):
+    """The same table ranked in bands over stored rows."""
+    return _drugs(spark, sf)
+
+
 @query
 def drug_summary_sql(spark, sf):
     """Rank over an aggregate in one SELECT, on the classified view."""
@@ -709,6 +728,15 @@ def request_counts(spark, sf):
     return governance.request_counts(testdata.access_log(spark, sf))
 
 
+@query
+def query_volume(spark, sf):
+    """Statements by outcome; server errors of the access log stand for failed ones."""
+    log = testdata.access_log(spark, sf).select(
+        F.when(F.col("status_code") >= 500, "failed").when(F.col("username").isNull(), "rejected")
+        .otherwise("success").alias("status"))
+    return governance.query_volume(log)
+
+
 @query
 def access_rollup(spark, sf):
     return governance.access_rollup(testdata.access_log(spark, sf))
