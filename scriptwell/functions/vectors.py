@@ -32,7 +32,7 @@ def _matrix(batch: pa.RecordBatch, column: str, dim: int) -> tuple[pa.RecordBatc
 
 def best_rows(question_ids: list[str], questions: np.ndarray, id_column: str,
               vector_column: str, k: int):
-    """A batch function that keeps, per question, the k best rows of each batch.
+    """A batch function giving, per question, the ids of the k best rows of each batch.
 
     Equal similarities are ordered by id, so copies of one vector never pile up.
     """
@@ -53,10 +53,10 @@ def best_rows(question_ids: list[str], questions: np.ndarray, id_column: str,
                               "i": batch.column(id_column).take(pa.array(candidates))}),
                     sort_keys=[("s", "descending"), ("i", "ascending")])[:n]
                 rows = candidates[order.to_numpy()]
-                hits = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*hits.columns, pa.array([question] * n, pa.string()),
+                    [batch.column(id_column).take(pa.array(rows)),
+                     pa.array([question] * n, pa.string()),
                      pa.array(column[rows], pa.float64())],
-                    names=[*hits.schema.names, "question_id", "similarity"])
+                    names=[id_column, "question_id", "similarity"])
 
     return keep

@@ -8,7 +8,6 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from scriptwell.fixed_values import (
     CACHE_MIN_SIMILARITY,
@@ -53,29 +52,27 @@ def search(collection: DataFrame, questions: Questions, k: int = 5,
            min_similarity: float | None = None) -> DataFrame:
     """The k most similar documents of each question, exact cosine, best first by `rank`.
 
-    Question vectors are arguments. Every task keeps its best k rows per question, and
-    only those are shuffled, so the collection itself never moves.
+    Question vectors are arguments. Tasks compare ids and vectors only and keep their best
+    k rows per question, so the collection never moves; documents and metadata are then
+    looked up for the few hits. Ids must be unique, as `upsert` keeps them.
     """
-    rows = where(collection, conditions).select("id", "document", "metadata", "embedding")
-    schema = StructType([*rows.schema.fields, StructField("question_id", StringType()),
-                         StructField("similarity", DoubleType())])
+    rows = where(collection, conditions)
+    schema = "id string, question_id string, similarity double"
     names = list(questions)
     passes = []
     for start in range(0, len(names), QUESTIONS_PER_PASS):
         block = names[start:start + QUESTIONS_PER_PASS]
         vectors = np.array([questions[n] for n in block], dtype=np.float64)
         kernel = best_rows(block, vectors, "id", "embedding", k)
-        passes.append(rows.mapInArrow(kernel, schema))
-    best_first = [F.desc("similarity"), F.asc("id")]
-    best = top_per_group(reduce(DataFrame.unionByName, passes), ["question_id"], best_first, k)
-    hits = best.select("question_id", "id", "document", "metadata",
-                       F.round("similarity", 4).alias("similarity"),
-                       _position(best_first).alias("rank"))
-    return hits if min_similarity is None else hits.filter(F.col("similarity") >= min_similarity)
-
-
-def _position(order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
+        passes.append(rows.select("id", "embedding").mapInArrow(kernel, schema))
+    best_first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.asc("id"))
+    ranked = reduce(DataFrame.unionByName, passes).withColumn(
+        "rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    hits = ranked.withColumn("similarity", F.round("similarity", 4))
+    if min_similarity is not None:
+        hits = hits.filter(F.col("similarity") >= min_similarity)
+    return rows.select("id", "document", "metadata").join(hits, "id").select(
+        "question_id", "id", "document", "metadata", "similarity", "rank")
 
 
 def retrieve_knowledge(collection: DataFrame, questions: Questions, k: int = 3) -> DataFrame:
