@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptwell.fixed_values import AUDIT_RETENTION_YEARS, AUDITED_PATH_PREFIXES
 from scriptwell.functions.columns import starts_with_any
+from scriptwell.operators.ranking import quantiles
 from scriptwell.schemas import ACCESS_LOG
 
 
@@ -74,9 +75,6 @@ def access_rollup(log: DataFrame, window: str = "5 minutes") -> DataFrame:
         .alias("requests_per_second"))
 
 
-def latency_quantiles(log: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """p50, p95 and p99 per path from a mergeable summary of fixed size."""
-    wanted = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    return log.groupBy("path").agg(
-        F.percentile_approx("duration_ms", wanted, accuracy).alias("q")
-    ).select("path", *[F.col("q")[i].alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+def latency_quantiles(log: DataFrame) -> DataFrame:
+    """p50, p95 and p99 per path."""
+    return quantiles(log, ["path"], "duration_ms", {"p50": "0.5", "p95": "0.95", "p99": "0.99"})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +44,38 @@ def banded_rank_desc(df: DataFrame, groups: Sequence[str], metric: str, name: st
     return _join_null_safe(keyed, ranks, [*groups, band, metric], "left").drop(band)
 
 
+def quantiles(df: DataFrame, groups: Sequence[str], value: str,
+              wanted: Mapping[str, str]) -> DataFrame:
+    """Exact discrete quantiles per group; `wanted` gives a column name per fraction.
+
+    As in `banded_rank_desc`, equal values collapse before the shuffle. Band totals tell
+    which band holds a quantile, and only values inside that band are put in order.
+    """
+    tallies = (
+        df.filter(F.col(value).isNotNull()).withColumn("__band", amount_band(value))
+        .groupBy(*groups, "__band", value).agg(F.count(F.lit(1)).alias("__n")))
+    group, ordered = Window.partitionBy(*groups), Window.partitionBy(*groups).orderBy("__band")
+    upto = F.sum("__n").over(ordered)
+    fractions = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(p).cast("decimal(9,8)").alias("p"))
+        for name, p in wanted.items()])
+    place = F.greatest(F.ceil(F.col("__q.p") * F.col("__total")), F.lit(1)).cast("bigint")
+    targets = (
+        tallies.groupBy(*groups, "__band").agg(F.sum("__n").alias("__n"))
+        .withColumns({"__before": upto - F.col("__n"), "__total": F.sum("__n").over(group)})
+        .withColumn("__q", F.explode(fractions))
+        .withColumn("__place", place - F.col("__before"))
+        .filter((F.col("__place") > 0) & (F.col("__place") <= F.col("__n")))
+        .select(*groups, "__band", F.col("__q.name").alias("__name"), "__place"))
+    inside = Window.partitionBy(*groups, "__band").orderBy(value)
+    running = tallies.withColumn("__upto", F.sum("__n").over(inside))
+    found = _join_null_safe(running, targets, [*groups, "__band"], "inner").filter(
+        (F.col("__place") <= F.col("__upto"))
+        & (F.col("__place") > F.col("__upto") - F.col("__n")))
+    return found.groupBy(*groups).agg(*[
+        F.max(F.when(F.col("__name") == name, F.col(value))).alias(name) for name in wanted])
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                     how: str) -> DataFrame:
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})

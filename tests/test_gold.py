@@ -85,6 +85,20 @@ def test_banded_rank_equals_window_rank(spark):
     assert got.filter("rank <> expected OR rank IS NULL").count() == 0
 
 
+def test_quantiles_equal_sorting(spark):
+    random.seed(11)
+    rows = [(random.choice(["a", "a", None]), random.choice([None, 5.0, random.randint(-90, 90) / 7,
+                                                             random.random() * 1e6]))
+            for _ in range(900)] + [("one", 3.25)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    got = {r.g: (r.lo, r.mid, r.hi) for r in ranking.quantiles(
+        df, ["g"], "v", {"lo": "0", "mid": "0.5", "hi": "0.99"}).collect()}
+    for g in ("a", None, "one"):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        n = len(v)
+        assert got[g] == (v[0], v[-(-n // 2) - 1], v[-(-99 * n // 100) - 1])
+
+
 def test_bands_keep_order(spark):
     from scriptwell.functions.columns import amount_band
     df = spark.range(0, 200_000, 7).select((F.col("id") * F.col("id") / 100).alias("c"))
