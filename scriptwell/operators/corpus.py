@@ -33,11 +33,17 @@ def redacted(df: DataFrame, column: str) -> DataFrame:
     }).drop("__digit", *counts.values())
 
 
-def safe_text(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(safe, quarantined): quarantined texts are blank or missing after redaction."""
-    checked = redacted(df, column)
+def gate_text(df: DataFrame, column: str) -> DataFrame:
+    """Redaction plus `is_safe`, false for texts that are then blank or missing."""
     has_text = F.coalesce(F.col("redacted").rlike(r"(?U)\S"), F.lit(False))
-    return checked.filter(has_text), checked.filter(~has_text)
+    return redacted(df, column).withColumn("is_safe", has_text)
+
+
+def safe_text(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(safe, quarantined) texts. Writing both reads the texts twice; to store them in one
+    pass, write `gate_text` partitioned by `is_safe`."""
+    gated = gate_text(df, column)
+    return gated.filter("is_safe").drop("is_safe"), gated.filter("NOT is_safe").drop("is_safe")
 
 
 def findings_by_category(df: DataFrame, column: str) -> DataFrame:

@@ -82,9 +82,15 @@ def record_lineage(spark: SparkSession, path: str, counts: dict[str, dict[str, i
 
 # ---- stored tables of a session ------------------------------------------------------
 
+def bronze_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw claims, written once per application so that the joins behind them run once."""
+    return StoredTables.get(spark, sf_dir, "bronze_claims",
+                            lambda: testdata.claims(spark, sf_dir))
+
+
 def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
-        "prescriber_drug": testdata.claims(spark, sf_dir),
+        "prescriber_drug": bronze_claims(spark, sf_dir),
         "prescriber": testdata.prescribers(spark, sf_dir),
         "drug": testdata.drugs(spark, sf_dir),
         "state": testdata.states(spark, sf_dir),
@@ -93,8 +99,9 @@ def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def silver_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean claims, written once per application because all Gold tables read them."""
-    build = lambda: cleaning.clean_prescriber_drug(testdata.claims(spark, sf_dir))
-    return StoredTables.get(spark, sf_dir, "silver_claims", build, ["year"])
+    return StoredTables.get(
+        spark, sf_dir, "silver_claims",
+        lambda: cleaning.clean_prescriber_drug(bronze_claims(spark, sf_dir)), ["year"])
 
 
 def silver_prescribers(spark: SparkSession, sf_dir: str) -> DataFrame:

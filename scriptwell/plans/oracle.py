@@ -624,11 +624,9 @@ _add("phi_corpus_totals", "", f"""
     SELECT f.category AS category, {_count('SUM(f.n)')} AS found, {_count()} AS texts
     FROM (SELECT unnest({_PFOUND}) AS f FROM ({_PSTEPS})) WHERE f.n > 0 GROUP BY 1""")
 _add("safe_text_split", "", f"""
-    SELECT side, {_count('COUNT(doc_id)')} AS texts, {_count('coalesce(SUM(n), 0)')} AS found
-    FROM (VALUES ('safe'), ('quarantined')) sides(side) LEFT JOIN (
-        SELECT doc_id, CASE WHEN trim({_LAST}) <> '' THEN 'safe' ELSE 'quarantined' END AS side,
-               list_sum(list_transform({_FOUND}, lambda f: f.n)) AS n
-        FROM ({_STEPS})) USING (side) GROUP BY side""")
+    SELECT coalesce(trim({_LAST}) <> '', false) AS is_safe, {_count()} AS texts,
+           {_count(f'SUM(list_sum(list_transform({_FOUND}, lambda f: f.n)))')} AS found
+    FROM ({_STEPS}) GROUP BY 1""")
 
 
 def _chunked(table: str, key: str, extra: str, size: int, overlap: int) -> str:

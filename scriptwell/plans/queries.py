@@ -74,12 +74,12 @@ def _states(spark, sf):
 
 @query
 def silver_clean(spark, sf):
-    return cleaning.clean_prescriber_drug(testdata.claims(spark, sf)).drop("_silver_ts")
+    return cleaning.clean_prescriber_drug(layers.bronze_claims(spark, sf)).drop("_silver_ts")
 
 
 @query
 def silver_dedup(spark, sf):
-    clean = cleaning.valid_claims(cleaning.normalize_claims(testdata.claims(spark, sf)))
+    clean = cleaning.valid_claims(cleaning.normalize_claims(layers.bronze_claims(spark, sf)))
     return cleaning.dedup_claims(clean).groupBy("year").agg(
         F.count(F.lit(1)).alias("claims"), F.sum("tot_clms").alias("tot_clms"))
 
@@ -128,7 +128,7 @@ def classify_claims(spark, sf):
 @query
 def landing_union(spark, sf):
     """Bulk claims and the same claims streamed again are no more than the bulk alone."""
-    bulk = cleaning.normalize_claims(testdata.claims(spark, sf))
+    bulk = cleaning.normalize_claims(layers.bronze_claims(spark, sf))
     streamed = bulk.drop("tot_30day_fills", "tot_day_suply")
     both = cleaning.union_landing(bulk, streamed)
     return both.select(*cleaning.CLAIM_KEY).distinct().groupBy("year").agg(
@@ -466,12 +466,9 @@ def phi_corpus_totals(spark, sf):
 
 @query
 def safe_text_split(spark, sf):
-    safe, held = corpus.safe_text(testdata.table(spark, sf, "documents"), "text")
-    parts = [d.agg(F.count(F.lit(1)).alias("texts"), F.sum("total_found").alias("found"))
-             .select(F.lit(k).alias("side"), "texts",
-                     F.coalesce("found", F.lit(0)).cast("bigint").alias("found"))
-             for k, d in (("safe", safe), ("quarantined", held))]
-    return reduce(DataFrame.unionByName, parts)
+    gated = corpus.gate_text(testdata.table(spark, sf, "documents"), "text")
+    return gated.groupBy("is_safe").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("total_found").alias("found"))
 
 
 @query
@@ -669,10 +666,8 @@ def contract_errors_per_event(spark, sf):
 @query
 def routed_claims(spark, sf):
     checked = stream_events.decoded(testdata.claim_messages(spark, sf))
-    valid, invalid = stream_events.route(checked)
-    parts = [d.agg(F.count(F.lit(1)).alias("events")).select(F.lit(k).alias("side"), "events")
-             for k, d in (("valid", valid), ("invalid", invalid))]
-    return parts[0].unionByName(parts[1])
+    return checked.groupBy(stream_events.side().alias("side")).agg(
+        F.count(F.lit(1)).alias("events"))
 
 
 @query
@@ -749,7 +744,7 @@ def latency_quantiles(spark, sf):
 
 def _lineage(spark, sf):
     """Run events of the session's own builds, with measured row counts."""
-    silver, claims = layers.silver_claims(spark, sf), testdata.claims(spark, sf)
+    silver, claims = layers.silver_claims(spark, sf), layers.bronze_claims(spark, sf)
     rows_in, rows_silver = claims.count(), silver.count()
     events = lineage.transition_events(
         spark, "clean_claims", "bronze", "prescriber_drug", "silver", "prescriber_drug",

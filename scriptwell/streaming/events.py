@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,10 +32,15 @@ def decoded(messages: DataFrame) -> DataFrame:
     return check_events(messages.select("value"))
 
 
+def side(errors: str = "errors") -> Column:
+    """"valid" without errors, else "invalid"."""
+    return F.when(F.size(errors) == 0, "valid").otherwise("invalid")
+
+
 def route(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid) rows."""
-    valid = F.size("errors") == 0
-    return checked.filter(valid).drop("errors"), checked.filter(~valid).select("value", "errors")
+    return (checked.filter(side() == "valid").drop("errors"),
+            checked.filter(side() == "invalid").select("value", "errors"))
 
 
 def with_watermark(df: DataFrame, ts: str = "event_time", delay: str = "60 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptwell.streaming.events import landing_rows, route
+from scriptwell.streaming.events import landing_rows, route, side
 
 # Producer settings: acknowledged by all replicas, no duplicates on retry.
 PRODUCER_OPTIONS = {
@@ -61,14 +61,14 @@ def sink(df: DataFrame, path: str, checkpoint: str, available_now: bool = False)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def routed_sink(checked: DataFrame, valid_path: str, invalid_path: str, checkpoint: str,
+def routed_sink(checked: DataFrame, path: str, checkpoint: str,
                 available_now: bool = False) -> StreamingQuery:
-    """Valid and invalid rows of each micro-batch to two batch-keyed directories."""
+    """Valid and invalid rows of each micro-batch in one pass, apart by the `side` partition."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        valid, invalid = route(batch)
-        for rows, path in ((landing_rows(valid), valid_path), (invalid, invalid_path)):
-            rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+        rows = landing_rows(batch).withColumn("side", side())
+        rows.write.mode("overwrite").partitionBy("side", "date_hour").parquet(
+            f"{path.rstrip('/')}/batch_id={batch_id}")
 
     writer = checked.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

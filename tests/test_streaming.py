@@ -73,10 +73,11 @@ def test_only_valid_opioid_events_are_counted(spark, folder):
 def test_routed_sink_and_landing(spark, folder):
     put(spark, folder, [message(0, 1, T0), "{bad", message(1, 1, T0, state="ZZ")])
     checked = ev.decoded(ev.read_claim_files(spark, f"{folder}/in"))
-    sinks.routed_sink(checked, f"{folder}/ok", f"{folder}/bad", f"{folder}/c1",
+    sinks.routed_sink(checked, f"{folder}/routed", f"{folder}/c1",
                       available_now=True).awaitTermination()
-    assert [r.claim_id for r in spark.read.parquet(f"{folder}/ok").collect()] == ["c0"]
-    assert spark.read.parquet(f"{folder}/bad").count() == 2
+    routed = spark.read.parquet(f"{folder}/routed")
+    assert [r.claim_id for r in routed.filter("side = 'valid'").collect()] == ["c0"]
+    assert routed.filter("side = 'invalid' AND size(errors) > 0").count() == 2
 
     sinks.land(stream(spark, folder), f"{folder}/landed", f"{folder}/c2",
                available_now=True).awaitTermination()
