@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+
+# Tasks carry this module's code with them, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANK_DIGITS = 9
 _TINY = 1e-30

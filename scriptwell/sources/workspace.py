@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptwell.session import shared_folder
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Everything one application stores lies under this folder."""
+    root = shared_folder(spark).rstrip("/")
+    return f"{root}/scriptwell/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/scriptwell/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def write_once(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -40,3 +46,12 @@ class StoredTables:
         if key not in cls._tables:
             cls._tables[key] = write_once(build(), name, partition_by)
         return cls._tables[key]
+
+    @classmethod
+    def discard(cls, spark: SparkSession) -> None:
+        """Delete what this application stored, once nothing reads it any more."""
+        app = spark.sparkContext.applicationId
+        cls._tables = {k: v for k, v in cls._tables.items() if k[0] != app}
+        folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(folder, True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -13,6 +15,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 from scriptwell.fixed_values import ALERT_WINDOW_MINUTES
 from scriptwell.operators.surveillance import WINDOWS_PER_SLOT, in_slots, opioid_only
 
+# Tasks carry this module's code with them, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

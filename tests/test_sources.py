@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +10,7 @@ from scriptwell.operators import gold
 from scriptwell.plans import layers, testdata
 from scriptwell.session import shared_folder
 from scriptwell.sources import catalog, jdbc, lake, reports
-from scriptwell.sources.workspace import write_once
+from scriptwell.sources.workspace import StoredTables, application_folder, write_once
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,5 +131,39 @@ def test_write_once_uses_the_shared_folder(spark):
     assert shared_folder(spark) in stored.inputFiles()[0]
 
 
+def test_stored_tables_are_built_once(spark):
+    builds = []
+
+    def build():
+        builds.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        stored = StoredTables.get(spark, "src/", "numbers", build)
+    assert stored.count() == 3 and len(builds) == 1
+    kept = dict(StoredTables._tables)
+    other = spark.newSession()
+    assert StoredTables.get(other, "src", "numbers", lambda: other.range(4)).count() == 4
+    assert set(kept) < set(StoredTables._tables)
+    assert spark.sparkContext.applicationId in application_folder(spark)
+
+
+def test_task_code_needs_no_package_on_executors(folder):
+    """Unpickle in a process that cannot import this package."""
+    from pyspark.cloudpickle import dumps
+
+    from scriptwell.functions.vectors import best_rows
+    from scriptwell.streaming.tracker import TrailingCounter
+
+    task = (best_rows(["q"], [[1.0, 0.0]], "id", "embedding", 2), TrailingCounter(60))
+    with open(f"{folder}/task", "wb") as out:
+        out.write(dumps(task))
+    code = ("import pickle, sys; fn, counter = pickle.load(open('task', 'rb')); "
+            "assert not [m for m in sys.modules if m.startswith('scriptwell')]; "
+            "assert list(fn([])) == []")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=folder, env=env, check=True)
+
+
 def test_mapping_covers_every_line_item(spark):
     assert testdata.claims(spark, SF).count() == testdata.table(spark, SF, "lineitem").count()
