@@ -159,6 +159,7 @@ RECOMMENDATION_FORMATS = {
     "low_adoption": "Initiate clinical academic detailing for high-volume prescribers in %s "
                     "to lift generic adoption from %.1f%%.",
 }
+NO_DATA_TEXT = "No data found for that year."
 ANSWER_FORMATS = {
     "top_state": "%s had the highest total drug cost at $%,.0f, covering %,d beneficiaries.",
     "top_drugs": "%s (%s) was the top-cost drug at $%,.0f total, across %,d claims.",

@@ -11,12 +11,15 @@ from scriptwell.fixed_values import (
     ANSWER_FORMATS,
     DUPLICATE_KEYS_FORMAT,
     INSIGHT_FORMATS,
+    NO_DATA_TEXT,
     OUTLIER_FORMAT,
     RECOMMENDATION_FORMATS,
     REPORT_SECTIONS,
     SUMMARY_FORMAT,
 )
+from scriptwell.functions.columns import exact_sum, optional_eq
 from scriptwell.operators import findings, serving
+from scriptwell.operators.ranking import top_per_group
 
 
 def _ranked(df: DataFrame, *order: Column) -> DataFrame:
@@ -119,33 +122,50 @@ def recommendations(gold: dict[str, DataFrame], year: int) -> DataFrame:
     return swap_rows.unionByName(low_row)
 
 
-def answers(gold: dict[str, DataFrame], year: int) -> DataFrame:
-    """The sentence behind each canned query for one year."""
-    read = {key: serving.canned_query(key, year, gold) for key in serving.CANNED_QUERIES}
-    columns = {
-        "top_state": ("state_abrvtn", "total_cost_usd", "total_beneficiaries"),
-        "top_drugs": ("gnrc_name", "brnd_name", "total_cost_usd", "total_claims"),
-        "top_prescribers": ("prscrbr_last_org_name", "prscrbr_state_abrvtn", "total_cost_usd",
-                            "generic_rate"),
-        "opioid_by_state": ("state_abrvtn", "pain_specialty_claims", "total_claims"),
-        "avg_cost": ("state_abrvtn", "avg_cost_per_claim", "cost_per_beneficiary"),
-    }
-    parts = [
-        read[key].limit(1).select(
-            F.lit(key).alias("query"),
-            F.format_string(ANSWER_FORMATS[key], *[F.col(c) for c in cols]).alias("text"))
-        for key, cols in columns.items()
-    ]
+# Per canned query: Gold table, columns of the sentence, measure that puts a row first, ties.
+_ANSWERS = {
+    "top_state": ("state_kpi", ("state_abrvtn", "total_cost_usd", "total_beneficiaries"),
+                  "total_cost_usd", ("state_abrvtn",)),
+    "top_drugs": ("drug_summary", ("gnrc_name", "brnd_name", "total_cost_usd", "total_claims"),
+                  "total_cost_usd", ("gnrc_name", "brnd_name")),
+    "top_prescribers": (
+        "prescriber_summary",
+        ("prscrbr_last_org_name", "prscrbr_state_abrvtn", "total_cost_usd", "generic_rate"),
+        "total_cost_usd", ("prscrbr_npi",)),
+    "opioid_by_state": ("state_kpi", ("state_abrvtn", "pain_specialty_claims", "total_claims"),
+                        "pain_specialty_claims", ("state_abrvtn",)),
+    "avg_cost": ("state_kpi", ("state_abrvtn", "avg_cost_per_claim", "cost_per_beneficiary"),
+                 "avg_cost_per_claim", ("state_abrvtn",)),
+}
+
+
+def answers(gold: dict[str, DataFrame], year: int | None = None) -> DataFrame:
+    """The sentence behind each canned query, for one year or for every year."""
+    parts = []
+    for key, (table, columns, measure, ties) in _ANSWERS.items():
+        first = top_per_group(optional_eq(gold[table], "year", year), ["year"],
+                              [F.desc(measure), *[F.asc(t) for t in ties]], 1)
+        text = F.format_string(ANSWER_FORMATS[key], *[F.col(c) for c in columns])
+        parts.append(first.select(F.lit(key).alias("query"), "year", text.alias("text")))
+    spend = optional_eq(gold["drug_summary"], "year", year).groupBy("year", "is_generic").agg(
+        exact_sum("total_cost_usd").alias("cost"), F.sum("total_claims").alias("claims"))
     by_flag = F.format_string(
         ANSWER_FORMATS["generic_vs_brand"],
-        F.when(F.col("is_generic"), "Generic").otherwise("Brand"),
-        F.col("total_cost_usd"), F.col("total_claims"))
-    both = read["generic_vs_brand"].agg(
+        F.when(F.col("is_generic"), "Generic").otherwise("Brand"), F.col("cost"), F.col("claims"))
+    both = spend.groupBy("year").agg(
         F.array_join(F.sort_array(F.collect_list(by_flag)), "; ").alias("text"))
-    parts.append(both.select(F.lit("generic_vs_brand").alias("query"), "text"))
+    parts.append(both.select(F.lit("generic_vs_brand").alias("query"), "year", "text"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def answer_questions(routed: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Adds the answer to each routed question; no answer without a recognised intent."""
+    found = sentences.withColumnRenamed("query", "intent").withColumnRenamed("text", "answer")
+    unknown_year = F.when(F.col("intent").isNotNull(), F.lit(NO_DATA_TEXT))
+    return routed.join(found, ["intent", "year"], "left").withColumn(
+        "answer", F.coalesce("answer", unknown_year))
+
+
 def report_lines(gold: dict[str, DataFrame], year: int) -> DataFrame:
     """Numbered Markdown lines of the three top-10 tables."""
     tables = {

@@ -13,9 +13,9 @@ SMALL_CHUNK = (60, 12)
 # Question appended to a chat turn, by turn number.
 QUESTION_BY_TURN = {
     0: "Which STATE had the highest cost in 2023?",
-    1: "top expensive drugs of 2022",
-    2: "generic vs brand",
-    3: "most active prescribers 2021",
+    1: "top expensive drugs of 2001",
+    2: "generic vs brand in 2000",
+    3: "most active prescribers 2001",
     4: "opioid claims by region in 2020",
     5: "average cost per claim",
     6: "highest cost",

@@ -10,6 +10,7 @@ from scriptwell.fixed_values import (
     CONTRACT_MESSAGES,
     DUPLICATE_KEYS_FORMAT,
     INSIGHT_FORMATS,
+    NO_DATA_TEXT,
     OUTLIER_FORMAT,
     PHI_COUNT_ONLY,
     PHI_PATTERNS,
@@ -649,12 +650,13 @@ _ASKED = " ".join(f"WHEN {k} THEN {_quoted(v)}" for k, v in QUESTION_BY_TURN.ite
 _INTENT = " ".join(
     "WHEN " + " AND ".join(f"list_has_any(w, {_list(g)})" for g in groups) + f" THEN '{name}'"
     for name, groups in QUESTION_INTENTS)
-_add("intent_route", "", f"""
+_ROUTED = f"""
     SELECT conv_id, turn, CASE {_INTENT} END AS intent,
            coalesce(TRY_CAST(regexp_extract(q, '\\b(20\\d{{2}})\\b', 1) AS INTEGER), 2024) AS year
     FROM (SELECT *, regexp_extract_all(lower(q), '[a-z]+') AS w
           FROM (SELECT conv_id, turn, text || ' ' || coalesce(CASE turn {_ASKED} END, '') AS q
-                FROM conversations))""")
+                FROM conversations))"""
+_add("intent_route", "", _ROUTED)
 _add("token_overlap", "", f"""
     SELECT doc_id, question_no FROM (
         SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+') AS w
@@ -933,27 +935,34 @@ _A = ANSWER_FORMATS
 _COST = _shown("total_cost_usd", 0, True)
 
 
-def _answer(key: str, rows: str, *values: str) -> str:
-    return f"(SELECT '{key}' AS query, {_filled(_A[key], *values)} AS text FROM ({rows} LIMIT 1))"
+def _answer(key: str, relation: str, order: str, *values: str) -> str:
+    return (f"SELECT '{key}' AS query, year, {_filled(_A[key], *values)} AS text FROM "
+            f"(FROM {relation} QUALIFY row_number() OVER (PARTITION BY year {order}) = 1)")
 
 
-_add("answers", "drug state prescriber", " UNION ALL ".join([
-    _answer("top_state", f"FROM state WHERE {_Y} {_STATE_ORDER}", "state_abrvtn", _COST,
+_ANSWERS = " UNION ALL ".join([
+    _answer("top_state", "state", _STATE_ORDER, "state_abrvtn", _COST,
             _grouped("total_beneficiaries")),
-    _answer("top_drugs", f"FROM drug WHERE {_Y} {_DRUG_ORDER}", "gnrc_name", "brnd_name", _COST,
+    _answer("top_drugs", "drug", _DRUG_ORDER, "gnrc_name", "brnd_name", _COST,
             _grouped("total_claims")),
-    _answer("top_prescribers", f"FROM prescriber WHERE {_Y} {_PEOPLE_ORDER}",
-            "prscrbr_last_org_name", "prscrbr_state_abrvtn", _COST, _shown("generic_rate", 1)),
-    _answer("opioid_by_state",
-            f"FROM state WHERE {_Y} ORDER BY pain_specialty_claims DESC, state_abrvtn",
+    _answer("top_prescribers", "prescriber", _PEOPLE_ORDER, "prscrbr_last_org_name",
+            "prscrbr_state_abrvtn", _COST, _shown("generic_rate", 1)),
+    _answer("opioid_by_state", "state", "ORDER BY pain_specialty_claims DESC, state_abrvtn",
             "state_abrvtn", _grouped("pain_specialty_claims"), _grouped("total_claims")),
-    _answer("avg_cost", f"FROM state WHERE {_Y} ORDER BY avg_cost_per_claim DESC, state_abrvtn",
+    _answer("avg_cost", "state", "ORDER BY avg_cost_per_claim DESC, state_abrvtn",
             "state_abrvtn", _shown("avg_cost_per_claim", 2, True),
             _shown("cost_per_beneficiary", 2, True)),
-    f"""SELECT 'generic_vs_brand', string_agg(t, '; ' ORDER BY t) FROM (SELECT {_filled(
+    f"""SELECT 'generic_vs_brand', year, string_agg(t, '; ' ORDER BY t) FROM (SELECT year, {_filled(
         _A["generic_vs_brand"], "CASE WHEN is_generic THEN 'Generic' ELSE 'Brand' END", _COST,
-        _grouped("total_claims"))} AS t FROM ({_SPLIT} WHERE {_Y} GROUP BY is_generic))""",
-]))
+        _grouped("total_claims"))} AS t FROM (SELECT year, is_generic,
+        {_count('SUM(total_claims)')} AS total_claims, {_money('total_cost_usd')} AS total_cost_usd
+        FROM drug GROUP BY year, is_generic)) GROUP BY year""",
+])
+_add("answers", "drug state prescriber", _ANSWERS)
+_add("answered_questions", "drug state prescriber", f"""
+    SELECT conv_id, turn, r.intent, r.year,
+           coalesce(text, CASE WHEN r.intent IS NOT NULL THEN '{NO_DATA_TEXT}' END) AS answer
+    FROM ({_ROUTED}) r LEFT JOIN ({_ANSWERS}) a ON r.intent = a.query AND r.year = a.year""")
 
 
 def _section(number: int, name: str, rows: str, order: str, *values: str) -> str:

@@ -800,7 +800,14 @@ def recommendations(spark, sf):
 
 @query
 def answers(spark, sf):
-    return narratives.answers(layers.gold_tables(spark, sf), REPORT_YEAR)
+    return narratives.answers(layers.gold_tables(spark, sf))
+
+
+@query
+def answered_questions(spark, sf):
+    routed = corpus.route_questions(questions(spark, sf), "question").drop("question")
+    return narratives.answer_questions(
+        routed, narratives.answers(layers.gold_tables(spark, sf)))
 
 
 @query

@@ -36,6 +36,16 @@ def test_summary_and_answers(tables):
     assert len(answers) == 6 and re.search(r"Brand: \$[\d,]+ total cost", answers["generic_vs_brand"])
 
 
+def test_answered_questions(spark, tables):
+    routed = spark.createDataFrame(
+        [(1, "top_state", 2001), (2, "top_state", 2024), (3, None, 2024)],
+        "id int, intent string, year int")
+    rows = {r.id: r.answer for r in narratives.answer_questions(
+        routed, narratives.answers(tables)).collect()}
+    assert "had the highest total drug cost" in rows[1]
+    assert rows[2] == "No data found for that year." and rows[3] is None
+
+
 def test_recommendations_are_ordered_and_data_driven(tables):
     rows = narratives.recommendations(tables, YEAR).orderBy("position").collect()
     assert [r.priority for r in rows] == ["high", "high", "medium"]
