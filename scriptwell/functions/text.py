@@ -22,6 +22,9 @@ from scriptwell.functions.columns import col
 # Unicode character classes, so that \w, \d and \b also cover accented letters.
 _UNICODE = "(?U)"
 
+# Runs of what Python's str.split takes for whitespace.
+_SPACES = _UNICODE + r"[\s\x1c-\x1f]+"
+
 # What a match can start with. Looked at first, it rejects most positions of a text
 # without the costlier word-boundary test.
 _FIRST = {
@@ -66,7 +69,7 @@ def redact_phi(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Whitespace-separated words, none of them empty."""
-    return F.filter(F.split(col(text), _UNICODE + r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(col(text), _SPACES), "")
 
 
 def chunks(text: Column | str, max_words: int = CHUNK_MAX_WORDS,

@@ -98,6 +98,13 @@ def test_chunk_whitespace_and_small_windows(spark):
         tx.chunks("text", 3, 3)
 
 
+def test_every_kind_of_whitespace_splits(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    text = "".join(f"w{i}{s}" for i, s in enumerate(spaces)) + "a\u200bb\ufeffc"
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(tx.words("text")).first()[0] == text.split()
+
+
 def test_chunk_rows(spark):
     df = spark.createDataFrame([("kb", "x", "a b c d e")], "id string, category string, text string")
     rows = corpus.chunk_rows(df, "id", "text", ["category"], 3, 1).orderBy("chunk_no").collect()
