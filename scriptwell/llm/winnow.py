@@ -135,13 +135,15 @@ def segments(named: DataFrame, units_of: Callable, window: int, gram: int) -> Da
 
 def recurring(found: DataFrame, label: str) -> DataFrame:
     """Segments whose anchor has others, with first_place (least document of the anchor) and alike
-    (whether all segments of the anchor are equal); found and the result are stored tables."""
+    (whether all segments of the anchor are equal); found and the result are stored tables.
+
+    The anchors are stored before the join, so that Spark can split a task with a hot anchor."""
     place = F.coalesce("doc_id", F.lit(LAST_ID))
     anchors = found.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"),
         F.min(place).alias("first_place")).where("n > 1") \
         .select("anchor", "first_place", (F.col("low") == F.col("high")).alias("alike"))
-    return write_once(found.join(anchors, "anchor"), label)
+    return write_once(found.join(write_once(anchors, f"{label}-anchors"), "anchor"), label)
 
 
 def classes(again: DataFrame) -> DataFrame:
