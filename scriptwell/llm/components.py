@@ -26,11 +26,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"),
                                                          F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Stored before the join, so that Spark can split a task with a hot node.
+        least = write_once(both.groupBy("u").agg(F.min("v").alias("m"))
+                           .select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u AND v > m").select(F.col("v").alias("u"),
                                                                      F.col("m").alias("v"))
         large = write_once(large.distinct(), "large-star")
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        floor = write_once(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         small = large.join(floor, "u")
         edges = write_once(
             small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))

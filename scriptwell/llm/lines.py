@@ -38,11 +38,15 @@ def winnowed(docs: DataFrame, min_lines: int, gram_lines: int) -> DataFrame:
 def later_stretches(named: DataFrame, min_lines: int, gram_lines: int) -> DataFrame:
     """doc_id, text_hash, ranges: the starts of the stretches that an earlier place holds."""
     stretches = write_once(winnowed(named, min_lines, gram_lines), "line-stretches")
-    again = stretches.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # What is joined back is stored first, so that Spark can split a task with a hot key.
+    again = write_once(stretches.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+                       .select("gram"), "line-grams")
     joined = stretches.join(again, "gram")
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "start")
-    earliest = joined.groupBy("gram", "stretch").agg(F.min(place).alias("first"))
-    later = joined.join(earliest, ["gram", "stretch"]).where(place > F.col("first"))
+    earliest = write_once(joined.groupBy("gram", "stretch").agg(
+        F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"),
+        "line-firsts")
+    later = stretches.join(earliest, ["gram", "stretch"]).where(place > F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set("start")).alias("ranges"))
 

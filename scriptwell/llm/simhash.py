@@ -205,9 +205,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row_id")
     firsts = write_once(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct-prints")
     roots = components(close_links(firsts.select("fp"), distance, most_together))
-    rooted = firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left") \
-        .withColumn("root", F.coalesce("root", "fp"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
+    rooted = write_once(
+        firsts.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        .withColumn("root", F.coalesce("root", "fp")), "rooted-prints")
+    heads = write_once(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
     named = rooted.join(heads, "root").select("fp", "head")
     return rows.join(named, "fp").select(
         "doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
