@@ -117,13 +117,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = again.where("NOT alike").join(copied, ["anchor", "content"]) \
         .where(place > F.col("least")).select(*span)
 
-    pieces = write_once(winnow.slices(named, kinds, words_cut, window, crowd), "phrase-slices")
-    shards = winnow.in_shards(pieces.where("anchor IS NOT NULL"), shard_rows)
+    pieces = write_once(winnow.slices(named, kinds, words_cut, winnow.word_units, window,
+                                      crowd, "phrase-kinds"), "phrase-slices")
+    shards = winnow.in_shards(pieces.where("NOT crowded"), shard_rows)
     located = shards.groupBy("shard").applyInArrow(_shard(window), SPANS)
 
-    crowded = pieces.where("anchor IS NULL")
-    firsts = crowded.groupBy("body").agg(F.min("place").alias("least"))
-    crowded = crowded.join(firsts, "body").where("place > least") \
+    crowded = winnow.crowded_windows(pieces, "phrase-crowds")
+    firsts = crowded.groupBy("h").agg(F.min("place").alias("least"))
+    crowded = crowded.join(firsts, "h").where("place > least") \
         .select("doc_id", "text_hash", "a", (F.col("a") + window).alias("b"))
 
     ranges = winnow.spans_by_document(alike, copies, located, crowded)

@@ -5,7 +5,8 @@ several equal segments is repeated as a whole. Where an anchor has other classes
 each goes to the anchor's shard. A shard sorts the suffixes of its segments: buckets of equal
 q-grams are refined by sorting their members on the bucket pointers at later offsets, the pointers
 so updated serve the next refinement, and refinement ends at the length of the searched strings.
-Anchors with too many classes for a shard are taken window by window, by counting.
+Anchors with too many classes for a shard are taken by a finer winnowing and
+settled window by window, by hash.
 """
 
 from __future__ import annotations
@@ -137,13 +138,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     single = kinds.where("n = 1").select("anchor").distinct()
     pieces = write_once(winnow.slices(named, kinds.join(single, "anchor", "left_semi"), bytes_cut,
-                                      length, crowd), "byte-slices")
-    shards = winnow.in_shards(pieces.where("anchor IS NOT NULL"), shard_rows)
+                                      winnow.byte_units, length, crowd, "byte-kinds"), "byte-slices")
+    shards = winnow.in_shards(pieces.where("NOT crowded"), shard_rows)
     located = shards.groupBy("shard").applyInArrow(_shard(length), SPANS)
 
-    crowded = pieces.where("anchor IS NULL")
-    twice = crowded.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = crowded.join(twice, "body") \
+    crowded = winnow.crowded_windows(pieces, "byte-crowds")
+    twice = crowded.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    crowded = crowded.join(twice, "h") \
         .select("doc_id", "text_hash", "a", (F.col("a") + length).alias("b"))
 
     ranges = winnow.spans_by_document(alike, copies, located, crowded)

@@ -26,7 +26,7 @@ from scriptwell.sources.workspace import write_once
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SEGMENTS = "doc_id long, text_hash long, a int, b int, anchor long, content long"
-SLICES = "place long, doc_id long, text_hash long, a int, anchor long, body binary"
+SLICES = "place long, doc_id long, text_hash long, a int, anchor long, crowded boolean, body binary"
 #: Windows worked on at once; longer documents are taken in such stretches.
 STRETCH = 1 << 17
 _PLACE_BITS = np.uint64(20)
@@ -95,17 +95,16 @@ def segments_of(units: np.ndarray, window: int, gram: int):
     return [np.concatenate(x) for x in zip(*found, strict=True)] if found else None
 
 
-def word_units(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+def word_units(text: bytes) -> np.ndarray:
+    words = text.split()
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 _BYTE_UNITS = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64)
 
 
-def byte_units(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return _BYTE_UNITS[raw]
+def byte_units(text: bytes) -> np.ndarray:
+    return _BYTE_UNITS[np.frombuffer(text, np.uint8)]
 
 
 def _segments(units_of: Callable, window: int, gram: int):
@@ -113,7 +112,8 @@ def _segments(units_of: Callable, window: int, gram: int):
         for batch in batches:
             rows, parts = [], []
             for i, text in enumerate(batch.column("text")):
-                found = segments_of(units_of(text.as_py()), window, gram)
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                found = segments_of(units_of(raw), window, gram)
                 if found:
                     rows.append(np.full(len(found[0]), i))
                     parts.append(found)
@@ -174,23 +174,33 @@ def unzip(text: bytes | None) -> bytes:
     return b"" if text is None else zstandard.ZstdDecompressor().decompress(text)
 
 
-def _slices(cut: Callable, window: int, crowd: int):
+def _finer(text: bytes, cut: Callable, units_of: Callable, window: int) -> Iterator[tuple]:
+    """Segments of a crowded anchor's segment by a gram nearly as long as a window: first start,
+    anchor, and a 128-bit hash of each of its windows."""
+    part = cut(text)
+    for a, b, anchor, _ in zip(*segments_of(units_of(text), window, window - max(1, window // 25)),
+                               strict=True):
+        yield int(a), int(anchor.view(np.int64)), b"".join(
+            xxhash.xxh3_128_digest(part(s, s + window)) for s in range(a, b + 1))
+
+
+def _slices(cut: Callable, units_of: Callable, window: int, crowd: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SLICES.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(),
+                 pa.binary()]
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text")):
                 doc, hashed = batch.column("doc_id")[i].as_py(), batch.column("text_hash")[i].as_py()
                 part = cut(unzip(text.as_py()))
                 for x in batch.column("ranges")[i].as_py():
+                    body = part(x["a"], x["b"] + window)
                     if x["kinds"] > crowd:
-                        rows += [(x["place"], doc, hashed, s, None,
-                                  xxhash.xxh3_128_digest(part(s, s + window)))
-                                 for s in range(x["a"], x["b"] + 1)]
+                        rows += [(x["place"], doc, hashed, x["a"] + a, anchor, True, hashes)
+                                 for a, anchor, hashes in _finer(body, cut, units_of, window)]
                     else:
-                        rows.append((x["place"], doc, hashed, x["a"], x["anchor"],
-                                     part(x["a"], x["b"] + window)))
+                        rows.append((x["place"], doc, hashed, x["a"], x["anchor"], False, body))
                 if len(rows) > 20_000:
                     yield _batch(rows, kinds, names)
                     rows = []
@@ -204,14 +214,29 @@ def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
         [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def slices(named: DataFrame, chosen: DataFrame, cut: Callable, window: int,
-           crowd: int) -> DataFrame:
-    """Text of the chosen segments (anchor, content, n, first). Where an anchor has more than crowd
-    classes, a row for each window, without an anchor and with a 128-bit hash for the text."""
-    kinds = chosen.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    wanted = chosen.join(kinds, "anchor").select("anchor", "kinds", "first.*").groupBy("doc_id", "text_hash").agg(F.collect_list(
-        F.struct("place", "a", "b", "anchor", "kinds")).alias("ranges"))
-    return with_ranges(zipped(named), wanted, "inner").mapInArrow(_slices(cut, window, crowd), SLICES)
+def slices(named: DataFrame, chosen: DataFrame, cut: Callable, units_of: Callable, window: int,
+           crowd: int, label: str) -> DataFrame:
+    """Text of the chosen segments (anchor, content, n, first). A segment whose anchor has more
+    than crowd classes gives its finer segments instead, with hashes of their windows."""
+    kinds = write_once(chosen.groupBy("anchor").agg(F.count("*").alias("kinds")), label)
+    wanted = chosen.join(kinds, "anchor").select("anchor", "kinds", "first.*") \
+        .groupBy("doc_id", "text_hash").agg(F.collect_list(
+            F.struct("place", "a", "b", "anchor", "kinds")).alias("ranges"))
+    return with_ranges(zipped(named), wanted, "inner").mapInArrow(
+        _slices(cut, units_of, window, crowd), SLICES)
+
+
+def crowded_windows(pieces: DataFrame, label: str) -> DataFrame:
+    """place, doc_id, text_hash, a, h of the windows of crowded anchors that may recur: those of
+    finer segments whose anchor recurs."""
+    finer = pieces.where("crowded")
+    again = write_once(finer.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+                       .select("anchor"), label)
+    windows = F.transform(
+        F.sequence(F.lit(0), (F.length("body") / 16).cast("int") - 1),
+        lambda i: F.struct((F.col("a") + i).alias("a"),
+                           F.substring(F.col("body"), i * 16 + 1, F.lit(16)).alias("h")))
+    return finer.join(again, "anchor").select("place", "doc_id", "text_hash", F.inline(windows))
 
 
 def in_shards(whole: DataFrame, rows_each: int) -> DataFrame:
