@@ -161,18 +161,19 @@ def held_out(id_column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_training_rows: int = 3_000,
         settings: Settings = Settings()) -> Model:
-    """Learns from at most max_training_rows labelled rows that are not held out, those with the
-    least hash of id and text: the bound of what comes to the driver. Null labels and ids teach
-    nothing; a document with two labels counts with each."""
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")) \
-        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()
-               & ~held_out(F.col("doc_id"))).distinct()
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
-        .join(marks, "doc_id").select("text", F.col("label").cast("int").alias("label"),
-                                      F.xxhash64("doc_id", "text").alias("order")) \
-        .orderBy("order", "label").limit(max_training_rows).drop("order")
-    rows = chosen.collect()
-    return train([r["text"] for r in rows], [int(r["label"] > 0) for r in rows], settings)
+    """Learns from at most max_training_rows labelled documents that are not held out, those with
+    the least hash of their id: the bound of what comes to the driver. Only ids are sorted; the
+    texts are found by a broadcast of the chosen ids. Null labels and ids teach nothing; a document
+    with two labels counts with each, repeated rows count once."""
+    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")) \
+        .where(F.col("_label").isNotNull() & F.col("_id").isNotNull()
+               & ~held_out(F.col("_id"))).distinct() \
+        .orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_training_rows)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")) \
+        .join(F.broadcast(marks), F.col("doc_id") == F.col("_id")) \
+        .groupBy("_id", "_label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: (r["_id"], r["_label"]))
+    return train([r["text"] for r in rows], [int(r["_label"] > 0) for r in rows], settings)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
