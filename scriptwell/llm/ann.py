@@ -148,13 +148,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     sample is the index's; vectors of other lengths cannot be compared with it and take no part
     either. Repeated ids are candidates each; repeated queries count once. Empty tables give an
     empty result; other columns are not read. Centroids come from at most sample_rows rows, those
-    with the least hash of their id; every row is indexed. Euclidean distances are taken in double
+    with the least hash of their id, one row for each id; every row is indexed. Euclidean distances are taken in double
     precision.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
-    sample = [r["vec"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows)
-              .select("vec").collect()]
+    # Only ids are sorted; a broadcast of the chosen ones finds their vectors.
+    chosen = rows.select(F.col("vec_id").alias("_id")).distinct() \
+        .orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    sample = [r["vec"] for r in rows.join(F.broadcast(chosen), F.col("vec_id") == F.col("_id"))
+              .groupBy("vec_id").agg(F.min("vec").alias("vec")).orderBy("vec_id").collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = np.bincount([len(v) for v in sample])

@@ -29,6 +29,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BITS = 64
 SHINGLES_AT_ONCE = 1 << 18
 LINKS_AT_ONCE = 200_000
+#: A block value with at most this many bits left to differ holds 2**FEW_BITS fingerprints at
+#: most, which is compared at once.
+FEW_BITS = 16
 #: Rows of a task's sorted input compared at once; a whole group always stays together.
 ROWS_AT_ONCE = 50_000
 
@@ -143,9 +146,8 @@ def _link_groups(distance: int):
 def _split(mask: int, parts: int) -> list[int]:
     """mask plus one of parts blocks of the other bits, for each block."""
     free = [i for i in range(BITS) if not mask >> i & 1]
-    size = -(-len(free) // parts)
-    blocks = [free[i:i + size] for i in range(0, len(free), size)]
-    return [mask | sum(1 << i for i in block) for block in blocks]
+    edges = [len(free) * i // parts for i in range(parts + 1)]
+    return [mask | sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _signed(x: int) -> int:
@@ -166,7 +168,7 @@ def close_links(prints: DataFrame, distance: int = 3, most_together: int = 4096)
             "fp", F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("value"))
         free = BITS - min(m.bit_count() for m in masks)
         settled, crowded = rows, None
-        if 1 << free > most_together:
+        if free > FEW_BITS:
             counts = rows.groupBy("mask", "value").count().where(F.col("count") > most_together)
             crowded = write_once(counts.drop("count"), "crowded-blocks")
             if crowded.isEmpty():
