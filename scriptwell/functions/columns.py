@@ -34,12 +34,12 @@ def null_ratio(num: Column | str, den: Column | str, scale: int = 2, factor: flo
 
 
 def exact_sum(c: Column | str) -> Column:
-    """Sum of money that does not depend on the order rows arrive in."""
-    return F.sum(col(c).cast("decimal(18,2)")).cast("double")
+    """Sum that does not depend on the order rows arrive in: of values below 1e26, to 12 decimals."""
+    return F.sum(col(c).cast("decimal(38,12)")).cast("double")
 
 
 def exact_avg(c: Column | str) -> Column:
-    """Average of two-decimal values over an exact sum; nulls are skipped."""
+    """Average over an exact sum; nulls are skipped."""
     return F.try_divide(exact_sum(c), F.count(col(c)).cast("double"))
 
 

@@ -23,14 +23,16 @@ def normalised(matrix: np.ndarray) -> np.ndarray:
 
 
 def _matrix(batch: pa.RecordBatch, column: str, dim: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Rows whose vector has dim values, none of them null, and their vectors."""
+    """Rows whose vector has dim values, none of them null or non-finite, and their vectors.
+
+    `retrieval.rejected_vectors` lists the others with the reason."""
     vectors = batch.column(column)
     sized = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
     batch = batch.filter(sized)
     flat = batch.column(column).flatten()
     values = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    if flat.null_count:
-        whole = ~np.isnan(values).any(axis=1)
+    whole = np.isfinite(values).all(axis=1)
+    if not whole.all():
         batch, values = batch.filter(pa.array(whole)), values[whole]
     return batch, values
 

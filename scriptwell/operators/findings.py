@@ -48,7 +48,7 @@ def vs_global(df: DataFrame, key: str, metric: str, factor: float,
     Groups are summed first; the overall mean is then a window over the few sums.
     """
     sums = df.groupBy(*scope, key).agg(
-        F.sum(F.col(metric).cast("decimal(18,2)")).alias("__sum"),
+        F.sum(F.col(metric).cast("decimal(38,12)")).alias("__sum"),
         F.count(metric).alias("__n"))
     everyone = Window.partitionBy(*scope)
     means = sums.select(

@@ -114,11 +114,11 @@ def ranked_drug_sql(classified_view: str) -> str:
     return f"""
         SELECT generic_name, brand_name, claim_year, is_generic,
                CAST(SUM(total_claims) AS BIGINT) AS total_claims,
-               CAST(SUM(CAST(total_cost_usd AS DECIMAL(18,2))) AS DOUBLE) AS total_cost_usd,
+               CAST(SUM(CAST(total_cost_usd AS DECIMAL(38,12))) AS DOUBLE) AS total_cost_usd,
                CAST(SUM(total_beneficiaries) AS BIGINT) AS total_beneficiaries,
                COUNT(DISTINCT prescriber_npi) AS unique_prescribers,
                RANK() OVER (PARTITION BY claim_year
-                            ORDER BY SUM(CAST(total_cost_usd AS DECIMAL(18,2))) DESC) AS cost_rank
+                            ORDER BY SUM(CAST(total_cost_usd AS DECIMAL(38,12))) DESC) AS cost_rank
         FROM {classified_view}
         GROUP BY generic_name, brand_name, claim_year, is_generic
     """

@@ -48,8 +48,13 @@ def archivable(log: DataFrame, archive: DataFrame, now: Column,
 
 def archive_old(log: DataFrame, archive_path: str, now: Column,
                 years: int = AUDIT_RETENTION_YEARS) -> None:
-    """Append to the archive what `archivable` finds; running twice adds nothing."""
-    archive = log.sparkSession.read.schema(ACCESS_LOG).parquet(archive_path)
+    """Append to the archive what `archivable` finds; running twice adds nothing. An archive that
+    isn't there yet is empty."""
+    spark = log.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(archive_path)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    archive = spark.read.schema(ACCESS_LOG).parquet(archive_path) if there \
+        else spark.createDataFrame([], ACCESS_LOG)
     archivable(log, archive, now, years).select(*ACCESS_LOG.fieldNames()).write.mode(
         "append").parquet(archive_path)
 

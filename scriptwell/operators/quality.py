@@ -20,6 +20,7 @@ from scriptwell.fixed_values import (
     SILVER_ROW_BOUNDS,
     STATE_CODES,
 )
+from scriptwell.functions.columns import exact_avg
 from scriptwell.operators.cleaning import CLAIM_KEY
 
 CRITICAL, WARNING = "critical", "warning"
@@ -143,7 +144,7 @@ def expect_in_set(column: str, values: Sequence) -> Check:
 
 
 def expect_mean_between(column: str, low: float, high: float) -> Check:
-    mean = F.avg(F.col(column).cast("decimal(18,2)")).cast("double")
+    mean = exact_avg(column)
     return Check(f"expect_column_mean_to_be_between({column})", CRITICAL, mean,
                  lambda m: F.coalesce(m.between(low, high), F.lit(False)),
                  lambda m: F.format_string("Mean: %.2f", m), (column,))

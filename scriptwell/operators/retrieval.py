@@ -23,6 +23,8 @@ Questions = Mapping[str, Sequence[float]]
 
 # Questions compared in one pass over a collection; more questions take more passes.
 QUESTIONS_PER_PASS = 1024
+# Hits of all questions together that are broadcast to look up their documents; more are shuffled.
+BROADCAST_HITS = 50_000
 
 
 def upsert(collection: DataFrame, changes: DataFrame) -> DataFrame:
@@ -53,8 +55,8 @@ def search(collection: DataFrame, questions: Questions, k: int = 5,
     """The k most similar documents of each question, exact cosine, best first by `rank`.
 
     Question vectors are arguments. Tasks compare ids and vectors only and keep their best
-    k rows per question, so the collection never moves; documents and metadata are then
-    looked up for the few hits. Ids must be unique, as `upsert` keeps them.
+    k rows per question; documents and metadata are then looked up for the few hits, which
+    are broadcast up to BROADCAST_HITS. Ids must be unique, as `upsert` keeps them.
     """
     rows = where(collection, conditions)
     schema = "id string, question_id string, similarity double"
@@ -71,10 +73,21 @@ def search(collection: DataFrame, questions: Questions, k: int = 5,
     hits = ranked.withColumn("similarity", F.round("similarity", 4))
     if min_similarity is not None:
         hits = hits.filter(F.col("similarity") >= min_similarity)
+    if len(names) * k <= BROADCAST_HITS:
+        hits = F.broadcast(hits)  # k rows per question at most
     return rows.select("id", "document", "metadata").join(hits, "id").select(
         "question_id", "id", "document", "metadata", "similarity", "rank")
 
 
+def rejected_vectors(collection: DataFrame, dim: int) -> DataFrame:
+    """Rows that no search of dim dimensions can compare, with the reason."""
+    v = F.col("embedding")
+    odd = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(v.isNull() | F.exists(v, lambda x: x.isNull()), "null") \
+        .when(F.size(v) != dim, "length").when(odd, "not finite")
+    return collection.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def retrieve_knowledge(collection: DataFrame, questions: Questions, k: int = 3) -> DataFrame:
     return search(collection, questions, k, min_similarity=KNOWLEDGE_MIN_SIMILARITY)
 

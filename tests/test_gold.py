@@ -14,23 +14,23 @@ PEOPLE = ("prscrbr_npi long, prscrbr_last_org_name string, prscrbr_first_name st
 @pytest.fixture(scope="module")
 def people(spark):
     return spark.createDataFrame(
-        [(1001, "A", "A", "TX", "Family Medicine", "AUSTIN"),
-         (1002, "B", "B", "TX", "Cardiology", "DALLAS")], PEOPLE)
+        [(2101, "A", "A", "OK", "Internal Medicine", "TULSA"),
+         (2102, "B", "B", "OK", "Oncology", "NORMAN")], PEOPLE)
 
 
 def test_drug_sums(silver):
     rows = {r.gnrc_name: r for r in gold.drug_summary(silver).collect()}
-    assert rows["IBUPROFEN"].total_claims == 100 and rows["IBUPROFEN"].total_cost_usd == 500.0
+    assert rows["LISINOPRIL"].total_claims == 40 and rows["LISINOPRIL"].total_cost_usd == 320.0
     assert {k: r.cost_rank for k, r in rows.items()} == {
-        "OXYCODONE": 1, "GENERIC-X": 2, "IBUPROFEN": 3}
+        "TAPENTADOL": 1, "LISINOPRIL": 2, "METFORMIN": 3}
 
 
 def test_state_sums_and_pain_claims(silver):
     rows = {r.state_abrvtn: r for r in gold.state_kpi(silver).collect()}
-    assert rows["TX"].total_cost_usd == 1500.0
-    assert (rows["TX"].pain_specialty_claims, rows["FL"].pain_specialty_claims) == (0, 50)
-    assert rows["FL"].national_rank == 1
-    assert rows["TX"].cost_per_beneficiary == 6.52
+    assert rows["OK"].total_cost_usd == 410.0
+    assert (rows["OK"].pain_specialty_claims, rows["ID"].pain_specialty_claims) == (0, 25)
+    assert rows["ID"].national_rank == 1
+    assert rows["OK"].cost_per_beneficiary == 10.25
 
 
 def test_zero_denominators_give_null(spark, silver, people):
@@ -42,10 +42,10 @@ def test_zero_denominators_give_null(spark, silver, people):
 def test_left_and_inner_join(silver, people):
     left = {r.prscrbr_npi: r for r in gold.prescriber_summary(silver, people).collect()}
     inner = gold.prescriber_summary(silver, people, "inner")
-    assert set(left) == {1001, 1002, 1003} and inner.count() == 2
-    assert left[1003].prscrbr_state_abrvtn is None and left[1003].state_rank == 1
-    assert left[1002].state_rank == 1 and left[1001].state_rank == 2
-    assert left[1002].generic_rate == 100.0
+    assert set(left) == {2101, 2102, 2103} and inner.count() == 2
+    assert left[2103].prscrbr_state_abrvtn is None and left[2103].state_rank == 1
+    assert left[2101].state_rank == 1 and left[2102].state_rank == 2
+    assert left[2102].generic_rate == 100.0
 
 
 def test_staged_summary_is_the_same(silver, people):
@@ -55,11 +55,11 @@ def test_staged_summary_is_the_same(silver, people):
 
 
 def test_state_reference_adds_no_rows(spark, silver):
-    states = spark.createDataFrame([("TX", "Texas")] * 50 + [("FL", "Florida")],
+    states = spark.createDataFrame([("OK", "Oklahoma")] * 50 + [("ID", "Idaho")],
                                    "state_abrvtn string, state_name string")
     joined = gold.state_kpi(silver, states)
     assert joined.count() == gold.state_kpi(silver).count()
-    assert {r.state_name for r in joined.collect()} == {"Texas", "Florida"}
+    assert {r.state_name for r in joined.collect()} == {"Oklahoma", "Idaho"}
 
 
 def test_gold_never_has_more_rows_than_silver(silver):
@@ -111,4 +111,11 @@ def test_rank_over_aggregate_in_sql(spark, silver):
     staging.classify_claims(staging.stg_prescriber_drug(
         silver.withColumn("_silver_ts", F.current_timestamp()))).createOrReplaceTempView("cc")
     rows = {r.generic_name: r.cost_rank for r in spark.sql(gold.ranked_drug_sql("cc")).collect()}
-    assert rows == {"OXYCODONE": 1, "GENERIC-X": 2, "IBUPROFEN": 3}
+    assert rows == {"TAPENTADOL": 1, "LISINOPRIL": 2, "METFORMIN": 3}
+
+
+def test_sums_keep_small_and_large_values(spark):
+    from scriptwell.functions.columns import exact_avg, exact_sum
+    rows = spark.createDataFrame([(0.004, 1e17)] * 1000, "a double, b double").repartition(3)
+    small, mean, large = rows.agg(exact_sum("a"), exact_avg("a"), exact_sum("b")).first()
+    assert (small, mean, large) == (4.0, 0.004, 1e20)

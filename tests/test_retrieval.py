@@ -149,3 +149,15 @@ def test_idle_sessions(spark):
     df = spark.createDataFrame(rows, TURNS)
     assert [r.session_id for r in sessions.idle_sessions(df, now()).collect()] == ["old"]
     assert [r.session_id for r in sessions.evict_idle(df, now()).collect()] == ["edge"]
+
+
+def test_bad_vectors_are_told_and_do_not_stop_a_search(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [1.0, 0.0]), ("b", [nan, 1.0]), ("c", [inf, 1.0]), ("d", [1.0]), ("e", None),
+            ("f", [None, 1.0]), ("g", [0.0, 1.0])]
+    docs = spark.createDataFrame(
+        [(i, i, {}, v, None) for i, v in rows], COLLECTION)
+    found = retrieval.search(docs, {"q": [1.0, 0.0]}, 5).collect()
+    assert [r.id for r in sorted(found, key=lambda r: r["rank"])] == ["a", "g"]
+    told = {r.id: r.reason for r in retrieval.rejected_vectors(docs, 2).collect()}
+    assert told == {"b": "not finite", "c": "not finite", "d": "length", "e": "null", "f": "null"}

@@ -99,7 +99,7 @@ def test_partitioned_gold_loads_with_its_partition_columns(spark, folder, silver
     lake.write_gold(gold.gold_stamp(gold.state_kpi(silver)), folder, "state_kpi", "d")
     stored = lake.read_layer(spark, folder, "gold", "state_kpi", "d")
     loaded = catalog.match_by_name(stored, schemas.STATE_KPI)
-    assert [r.year for r in loaded.select("year").distinct().collect()] == [2023]
+    assert [r.year for r in loaded.select("year").distinct().collect()] == [2022]
 
 
 def test_read_with_schema(spark, folder, silver):
@@ -167,3 +167,13 @@ def test_task_code_needs_no_package_on_executors(folder):
 
 def test_mapping_covers_every_line_item(spark):
     assert testdata.claims(spark, SF).count() == testdata.table(spark, SF, "lineitem").count()
+
+
+def test_no_private_folder_on_a_cluster():
+    from types import SimpleNamespace as Stub
+    unset = Stub(get=lambda key, default: default)
+    cluster = Stub(conf=unset, sparkContext=Stub(master="spark://host:1", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(cluster)
+    alone = Stub(conf=unset, sparkContext=Stub(master="local[2]", applicationId="a"))
+    assert shared_folder(alone) == shared_folder(alone)
