@@ -28,7 +28,10 @@ CRITICAL, WARNING = "critical", "warning"
 
 @dataclass(frozen=True)
 class Check:
-    """`measure` is aggregated over the table; `verdict` and `details` read the measure."""
+    """`measure` is aggregated over the table; `verdict` and `details` read the measure.
+
+    A table without the columns it `needs` fails the check, or is not checked if it `skips`.
+    """
 
     name: str
     severity: str
@@ -36,6 +39,7 @@ class Check:
     verdict: object
     details: object
     needs: tuple[str, ...] = field(default=())
+    skips: bool = False
 
 
 def _all_rows() -> Column:
@@ -46,10 +50,11 @@ def _zero(label: str):
     return (lambda m: m == 0), (lambda m: F.format_string(f"{label}: %,d", m))
 
 
-def _failing(name: str, severity: str, predicate: Column, label: str, *needs: str) -> Check:
+def _failing(name: str, severity: str, predicate: Column, label: str, *needs: str,
+             skips: bool = False) -> Check:
     """No row may satisfy the predicate; a null predicate passes."""
     verdict, details = _zero(label)
-    return Check(name, severity, F.count_if(predicate), verdict, details, needs)
+    return Check(name, severity, F.count_if(predicate), verdict, details, needs, skips)
 
 
 # ---- scalar checks -------------------------------------------------------------------
@@ -60,7 +65,8 @@ def not_empty() -> Check:
 
 
 def no_null_key(key: str) -> Check:
-    return _failing(f"no_null_{key}", CRITICAL, F.col(key).isNull(), f"Null {key} count", key)
+    return _failing(f"no_null_{key}", CRITICAL, F.col(key).isNull(), f"Null {key} count", key,
+                    skips=True)
 
 
 def no_duplicate_keys(keys: Sequence[str]) -> Check:
@@ -72,7 +78,8 @@ def no_duplicate_keys(keys: Sequence[str]) -> Check:
 
 def value_range(column: str, low, high) -> Check:
     outside = (F.col(column) < low) | (F.col(column) > high)
-    return _failing(f"{column}_in_range", WARNING, outside, f"Rows outside [{low}, {high}]", column)
+    return _failing(f"{column}_in_range", WARNING, outside, f"Rows outside [{low}, {high}]", column,
+                    skips=True)
 
 
 def row_count_floor(expected: int) -> Check:
@@ -93,7 +100,7 @@ def missing_columns(required: Sequence[str], present: Sequence[str]) -> list[str
 
 def valid_state_codes(column: str) -> Check:
     return _failing("valid_state_codes", WARNING, ~F.col(column).isin(STATE_CODES),
-                    "Rows with invalid state code", column)
+                    "Rows with invalid state code", column, skips=True)
 
 
 # ---- expectations --------------------------------------------------------------------
@@ -164,16 +171,19 @@ def expect_min_greater_than(column: str, bound: float) -> Check:
 # ---- running -------------------------------------------------------------------------
 
 def run_checks(df: DataFrame, suite: str, table: str, checks: Sequence[Check]) -> DataFrame:
-    """One result row per check; checks on columns the table lacks are left out."""
-    usable = [c for c in checks if not missing_columns(c.needs, df.columns)]
-    measured = df.agg(*[c.measure.alias(f"m{i}") for i, c in enumerate(usable)])
+    """One result row per check. Where the table lacks a column, a check that skips has no row and
+    any other fails."""
+    absent = [missing_columns(c.needs, df.columns) for c in checks]
+    measures = [c.measure.alias(f"m{i}") for i, c in enumerate(checks) if not absent[i]]
+    measured = df.agg(*measures, _all_rows().alias("rows"))
     results = [
         F.struct(
             F.lit(c.name).alias("check_name"),
-            c.verdict(F.col(f"m{i}")).alias("passed"),
+            (F.lit(False) if absent[i] else c.verdict(F.col(f"m{i}"))).alias("passed"),
             F.lit(c.severity).alias("severity"),
-            c.details(F.col(f"m{i}")).alias("details"),
-        ) for i, c in enumerate(usable)
+            (F.lit(f"Column absent: {', '.join(absent[i])}") if absent[i]
+             else c.details(F.col(f"m{i}"))).alias("details"),
+        ) for i, c in enumerate(checks) if not (absent[i] and c.skips)
     ]
     return measured.select(F.inline(F.array(*results))).select(
         F.lit(suite).alias("suite"), F.lit(table).alias("table"),

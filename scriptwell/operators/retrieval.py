@@ -28,9 +28,10 @@ BROADCAST_HITS = 50_000
 
 
 def upsert(collection: DataFrame, changes: DataFrame) -> DataFrame:
-    """Collection after the changes: the newest row of each id stays."""
-    newest = [F.desc("ts"), F.asc("document")]
-    return top_per_group(collection.unionByName(changes), ["id"], newest, 1)
+    """Collection after the changes: a changed id takes the newest of its changes, whatever the
+    time of the row it replaces. Rows of the collection are only filtered by the changed ids."""
+    newest = top_per_group(changes, ["id"], [F.desc("ts"), F.asc("document")], 1)
+    return collection.join(newest.select("id"), "id", "left_anti").unionByName(newest)
 
 
 def count(collection: DataFrame) -> DataFrame:

@@ -562,6 +562,11 @@ _MODELS = [
             unique=["prscrbr_npi", "year"]),
 ]
 _add("dq_gold_tests", "drug state prescriber", " UNION ALL ".join(_MODELS))
+_LOST = ("total_cost_usd", "national_rank")
+_add("dq_absent_column", "state", " UNION ALL ".join([
+    *_model("state_kpi", "state", ["state_abrvtn"], unique=["state_abrvtn", "year"], codes=True),
+    *[_check("model_tests", "state_kpi", f"expect_column_values_to_not_be_null({c})", "critical",
+             "state", "COUNT(*)", "false", f"'Column absent: {c}'") for c in _LOST]]))
 _C = ("declared_claims", "claims", "claim_events")
 
 

@@ -34,18 +34,30 @@ def write_once(df: DataFrame, label: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def source_state(spark: SparkSession, source: str) -> tuple:
+    """Name, size and time of what lies in a folder; empty for a source that is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return ()
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                        for f in files.listStatus(folder)))
+
+
 class StoredTables:
-    """Tables of one application, each built on first use."""
+    """Tables of one application, each built on first use and anew when its source has changed."""
 
-    _tables: dict[tuple, DataFrame] = {}
+    _tables: dict[tuple, tuple[tuple, DataFrame]] = {}
 
     @classmethod
     def get(cls, spark: SparkSession, source: str, name: str,
             build: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
-        key = (spark.sparkContext.applicationId, id(spark), source.rstrip("/"), name)
-        if key not in cls._tables:
-            cls._tables[key] = write_once(build(), name, partition_by)
-        return cls._tables[key]
+        source = source.rstrip("/")
+        key = (spark.sparkContext.applicationId, id(spark), source, name)
+        state = source_state(spark, source)
+        if key not in cls._tables or cls._tables[key][0] != state:
+            cls._tables[key] = state, write_once(build(), name, partition_by)
+        return cls._tables[key][1]
 
     @classmethod
     def discard(cls, spark: SparkSession) -> None:

@@ -33,12 +33,19 @@ def test_nulls_pass_ranges_but_are_key_values(spark):
         "expect_column_values_to_match_regex(k)": True}
 
 
-def test_checks_on_missing_columns_are_left_out(spark):
+def test_checks_on_missing_columns(spark):
     df = spark.range(1)
     results = q.run_checks(df, "s", "t", [q.not_empty(), q.no_null_key("nope")])
     assert passed(results) == {"table_not_empty": True}
     assert passed(q.run_checks(df, "s", "t", [q.required_columns(df, ["id", "nope"])])) == {
         "required_columns_present": False}
+    lost = q.run_checks(df, "s", "t", [q.expect_not_null("id"), q.expect_unique("nope"),
+                                       q.no_duplicate_keys(["id", "nope"])])
+    assert sorted(map(tuple, lost.select("passed", "details").collect())) == [
+        (False, "Column absent: nope"), (False, "Column absent: nope"),
+        (True, "Unexpected rows: 0")]
+    with pytest.raises(q.QualityGateError):
+        q.gate(lost)
 
 
 def test_bronze_floor_and_empty_table(spark):

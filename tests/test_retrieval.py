@@ -79,6 +79,10 @@ def test_upsert_last_write_wins(spark):
     rows = {r.id: r.document for r in retrieval.upsert(old, new).collect()}
     assert rows == {"1": "new", "2": "d2", "3": "d3"}
     assert retrieval.count(old).first()[0] == 2
+    late = collection(spark, [doc(2, [3.0], NOW - dt.timedelta(1), "late"),
+                              doc(2, [3.0], NOW - dt.timedelta(2), "later")])
+    rows = {r.id: r.document for r in retrieval.upsert(old, late).collect()}
+    assert rows == {"1": "old", "2": "late"}
 
 
 def test_reset(spark, folder):

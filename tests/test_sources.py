@@ -131,6 +131,14 @@ def test_write_once_uses_the_shared_folder(spark):
     assert shared_folder(spark) in stored.inputFiles()[0]
 
 
+def test_stored_tables_follow_their_source(spark, folder):
+    source = f"{folder}/changing"
+    for n in (3, 5):
+        spark.range(n).write.mode("append").parquet(source)
+        stored = StoredTables.get(spark, source, "ids", lambda: spark.read.parquet(source))
+        assert stored.count() == spark.read.parquet(source).count()
+
+
 def test_stored_tables_are_built_once(spark):
     builds = []
 
