@@ -198,12 +198,18 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
               threshold: float = 0.3) -> DataFrame:
     """The documents predicted 1, with all their columns."""
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            views = pa.RecordBatch.from_arrays(
-                [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()),
-                 batch.column(text_col)], names=["doc_id", "text_hash", "text"])
-            for scored in run([views]):
-                yield batch.filter(pa.array(scored.column("score").to_numpy() >= threshold))
+        current: list[pa.RecordBatch] = []
+
+        def views() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                current[:] = [batch]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()),
+                     batch.column(text_col)], names=["doc_id", "text_hash", "text"])
+
+        # One run over all batches, so that words remembered from one serve the next.
+        for scored in run(views()):
+            yield current[0].filter(pa.array(scored.column("score").to_numpy() >= threshold))
 
     shared = docs.sparkSession.sparkContext.broadcast(
         (model.slopes(), float(model.bias[1] - model.bias[0])))
