@@ -5,7 +5,8 @@ but those of the first document go. Where an anchor has different classes, one s
 routed to the anchor's shard; windows equal to one of another document can be nowhere else. A shard
 confirms the windows that recur between documents, compiles them to an Aho-Corasick automaton over
 words and streams its segments past it to locate every occurrence. Anchors with too many classes
-for a shard are taken window by window, in one more round of classes.
+for a shard are taken window by window, in one more round of classes. What is found in the routed
+segment holds for all segments of its class in the same first document.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from scriptwell.sources.workspace import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SPANS = "doc_id long, text_hash long, a int, b int"
+CLASS = ("root", "content")
+HITS = "root long, content long, low int, high int"
 
 
 def words_cut(text: bytes):
@@ -67,12 +69,12 @@ def _shard(window: int):
     def run(key, rows):
         places, bodies = rows["place"].to_pylist(), rows["body"].to_pylist()
         hits = locate(list(zip(places, bodies, strict=True)), window)
-        source = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
+        source = np.array([i for i, x in enumerate(hits) if x], np.int64)
         base = rows["a"].to_numpy()[source]
-        start = (base + np.array([s for x in hits for s in x], base.dtype)).astype(np.int32)
-        return pa.table({"doc_id": rows["doc_id"].take(pa.array(source)),
-                         "text_hash": rows["text_hash"].take(pa.array(source)),
-                         "a": start, "b": start + np.int32(window)})
+        ends = np.array([(min(x), max(x)) for x in hits if x], base.dtype).reshape(-1, 2)
+        return pa.table({"root": rows["root"].take(pa.array(source)),
+                         "content": rows["content"].take(pa.array(source)),
+                         "low": base + ends[:, 0], "high": base + ends[:, 1]})
     return run
 
 
@@ -111,22 +113,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = write_once(winnow.classes(again), "phrase-classes")
     place = F.coalesce("doc_id", F.lit(LAST_ID))
 
-    span = ["doc_id", "text_hash", "a", (F.col("b") + window).alias("b")]
-    alike = again.where("alike").where(place > F.col("first_place")).select(*span)
-    copied = kinds.where("n > 1").select("anchor", "content", F.col("first.place").alias("least"))
-    copies = again.where("NOT alike").join(copied, ["anchor", "content"]) \
-        .where(place > F.col("least")).select(*span)
-
-    pieces = write_once(winnow.slices(named, kinds, words_cut, winnow.word_units, window,
-                                      crowd, "phrase-kinds"), "phrase-slices")
+    pieces = write_once(winnow.slices(
+        named, kinds.withColumn("root", F.col("anchor")), words_cut, winnow.word_units, window,
+        crowd, "phrase-kinds", CLASS), "phrase-slices")
     shards = winnow.in_shards(pieces.where("NOT crowded"), shard_rows)
-    located = shards.groupBy("shard").applyInArrow(_shard(window), SPANS)
+    located = shards.groupBy("shard").applyInArrow(_shard(window), HITS)
 
-    crowded = winnow.crowded_windows(pieces, "phrase-crowds")
+    crowded = winnow.crowded_windows(pieces, "phrase-crowds", CLASS)
     firsts = crowded.groupBy("h").agg(F.min("place").alias("least"))
     crowded = crowded.join(firsts, "h").where("place > least") \
-        .select("doc_id", "text_hash", "a", (F.col("a") + window).alias("b"))
-
-    ranges = winnow.spans_by_document(alike, copies, located, crowded)
+        .select(*CLASS, F.col("a").alias("low"), F.col("a").alias("high"))
+
+    # A segment's windows all overlap, so the outermost two that are found cover the others.
+    hits = located.unionByName(crowded).groupBy(F.col("root").alias("anchor"), "content") \
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # Stored before the join, so that Spark can split a task with a hot class.
+    settled = write_once(
+        kinds.join(hits, ["anchor", "content"], "left").where("n > 1 OR low IS NOT NULL").select(
+            "anchor", "content", F.col("first.place").alias("least"),
+            (F.col("low") - F.col("first.a")).alias("low"),
+            (F.col("high") - F.col("first.a") + window).alias("high")), "phrase-settled")
+
+    alike = again.where("alike").where(place > F.col("first_place")).select(
+        "doc_id", "text_hash", "a", (F.col("b") + window).alias("b"))
+    later = place > F.col("least")
+    other = again.where("NOT alike").join(settled, ["anchor", "content"]) \
+        .where(later | F.col("low").isNotNull()).select(
+            "doc_id", "text_hash",
+            F.when(later, F.col("a")).otherwise(F.col("a") + F.col("low")).alias("a"),
+            F.when(later, F.col("b") + window).otherwise(F.col("a") + F.col("high")).alias("b"))
+
+    ranges = winnow.spans_by_document(alike, other)
     return with_ranges(winnow.zipped(named), ranges).mapInArrow(
         _without, "doc_id long, text_hash long, n_words long, n_removed long, text string")

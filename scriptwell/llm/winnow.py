@@ -184,11 +184,11 @@ def _finer(text: bytes, cut: Callable, units_of: Callable, window: int) -> Itera
             xxhash.xxh3_128_digest(part(s, s + window)) for s in range(a, b + 1))
 
 
-def _slices(cut: Callable, units_of: Callable, window: int, crowd: int):
+def _slices(cut: Callable, units_of: Callable, window: int, crowd: int, carried: tuple):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in SLICES.split(", ")]
+        names = [*(c.split()[0] for c in SLICES.split(", ")), *carried]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(),
-                 pa.binary()]
+                 pa.binary(), *[pa.int64()] * len(carried)]
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text")):
@@ -196,11 +196,13 @@ def _slices(cut: Callable, units_of: Callable, window: int, crowd: int):
                 part = cut(unzip(text.as_py()))
                 for x in batch.column("ranges")[i].as_py():
                     body = part(x["a"], x["b"] + window)
+                    more = [x[c] for c in carried]
                     if x["kinds"] > crowd:
-                        rows += [(x["place"], doc, hashed, x["a"] + a, anchor, True, hashes)
+                        rows += [(x["place"], doc, hashed, x["a"] + a, anchor, True, hashes, *more)
                                  for a, anchor, hashes in _finer(body, cut, units_of, window)]
                     else:
-                        rows.append((x["place"], doc, hashed, x["a"], x["anchor"], False, body))
+                        rows.append((x["place"], doc, hashed, x["a"], x["anchor"], False, body,
+                                     *more))
                 if len(rows) > 20_000:
                     yield _batch(rows, kinds, names)
                     rows = []
@@ -215,19 +217,22 @@ def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def slices(named: DataFrame, chosen: DataFrame, cut: Callable, units_of: Callable, window: int,
-           crowd: int, label: str) -> DataFrame:
-    """Text of the chosen segments (anchor, content, n, first). A segment whose anchor has more
-    than crowd classes gives its finer segments instead, with hashes of their windows."""
+           crowd: int, label: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Text of the chosen segments (anchor, content, n, first), with the long columns carried. A
+    segment whose anchor has more than crowd classes gives its finer segments instead, with hashes
+    of their windows."""
     kinds = write_once(chosen.groupBy("anchor").agg(F.count("*").alias("kinds")), label)
-    wanted = chosen.join(kinds, "anchor").select("anchor", "kinds", "first.*") \
+    wanted = chosen.join(kinds, "anchor").select("anchor", "kinds", "first.*", *carried) \
         .groupBy("doc_id", "text_hash").agg(F.collect_list(
-            F.struct("place", "a", "b", "anchor", "kinds")).alias("ranges"))
+            F.struct("place", "a", "b", "anchor", "kinds", *carried)).alias("ranges"))
     return with_ranges(zipped(named), wanted, "inner").mapInArrow(
-        _slices(cut, units_of, window, crowd), SLICES)
+        _slices(cut, units_of, window, crowd, carried),
+        ", ".join([SLICES, *(f"{c} long" for c in carried)]))
 
 
-def crowded_windows(pieces: DataFrame, label: str) -> DataFrame:
-    """place, doc_id, text_hash, a, h of the windows of crowded anchors that may recur: those of
+def crowded_windows(pieces: DataFrame, label: str,
+                    owner: tuple[str, ...] = ("doc_id", "text_hash")) -> DataFrame:
+    """place, owner columns, a, h of the windows of crowded anchors that may recur: those of
     finer segments whose anchor recurs."""
     finer = pieces.where("crowded")
     again = write_once(finer.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
@@ -236,7 +241,7 @@ def crowded_windows(pieces: DataFrame, label: str) -> DataFrame:
         F.sequence(F.lit(0), (F.length("body") / 16).cast("int") - 1),
         lambda i: F.struct((F.col("a") + i).alias("a"),
                            F.substring(F.col("body"), i * 16 + 1, F.lit(16)).alias("h")))
-    return finer.join(again, "anchor").select("place", "doc_id", "text_hash", F.inline(windows))
+    return finer.join(again, "anchor").select("place", *owner, F.inline(windows))
 
 
 def in_shards(whole: DataFrame, rows_each: int) -> DataFrame:

@@ -164,6 +164,30 @@ def test_substring_dedup(docs, rows, crowd):
     assert collected(found, "doc_id", "n_words", "n_removed", "text") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("crowd", [1, 2_000])
+def test_passages_repeated_inside_the_later_document(spark, crowd):
+    r = random.Random(5)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    p, x, y = fresh(60), fresh(100), fresh(100)
+    texts = [(1, fresh(80) + p + fresh(80)), (2, (x + p + y) * 3), (2, fresh(7) + x + p + y),
+             (3, fresh(90) + p[:55] + fresh(90))]
+    q, u, v = fresh(70), fresh(100), fresh(100)
+    texts += [(4, q + fresh(60)), (None, u + q + v), (None, fresh(3) + u + q + v + u + q + v)]
+    first, want = {}, []
+    for d, w in texts:
+        for s in range(len(w) - 49):
+            key = tuple(w[s:s + 50])
+            first[key] = min(first.get(key, place(d)), place(d))
+    for d, w in texts:
+        gone = {i for s in range(len(w) - 49) if first[tuple(w[s:s + 50])] < place(d)
+                for i in range(s, s + 50)}
+        want.append((d, len(w), len(gone), " ".join(t for i, t in enumerate(w) if i not in gone)))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id long, text string")
+    found = phrases.substring_dedup(frame, crowd=crowd)
+    assert collected(found, "doc_id", "n_words", "n_removed", "text") == sorted(want, key=repr)
+    assert sorted(n for d, _, n, _ in want if d == 2) == [60, 180]
+
+
 @pytest.mark.parametrize("crowd", [1, 1_000])
 def test_suffix_dedup(docs, rows, crowd):
     raw = [(d, (t or "").encode()) for d, t, _ in rows]
