@@ -10,6 +10,7 @@ and each rank finds its pattern, sequence and offset by a join.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the pattern by which the byte-level tokenizer cuts a text before its merges.
 PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Fixed value: what \s means in that pattern.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Longer runs of blanks aren't matched by the pattern, which fails on runs of about a million.
+LONG_RUN = 100_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -40,7 +45,9 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The vocabulary is read from the tokenizer's file. Its ids number the merges in their order, so
-    they serve as the ranks of a faster implementation of the same byte-level BPE.
+    they serve as the ranks of a faster implementation of the same byte-level BPE. A long run of
+    blanks is cut out as the pattern would: one piece but for its last blank, which goes with the
+    text after it.
     """
 
     def __init__(self, path: str):
@@ -57,11 +64,28 @@ class Encoder:
                                        special_tokens=self.special)
 
     def encode(self, text: str) -> bytes:
+        if len(text) <= LONG_RUN:
+            return self._encode(text)
+        parts, done = [], 0
+        for run in BLANKS.finditer(text):
+            start, end = run.span()
+            if end - start > LONG_RUN:
+                alone = end == len(text) or text.startswith(tuple(self.special), end)
+                end -= not alone
+                parts.append(self._encode(text[done:start]))
+                parts.append(_packed(self.codec._encode_single_piece(text[start:end])))
+                done = end
+        parts.append(self._encode(text[done:]))
+        return b"".join(parts)
+
+    def _encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            ids = self.codec.encode(text, allowed_special="all")
-        else:
-            ids = self.codec.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+            return _packed(self.codec.encode(text, allowed_special="all"))
+        return _packed(self.codec.encode_ordinary(text))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}

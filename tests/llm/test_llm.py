@@ -272,6 +272,24 @@ def test_mixing(docs, rows):
     assert words == sum(r["taken"] for r in found.collect())
 
 
+def test_long_runs_of_blanks_are_encoded(spark):
+    from tokenizers import Tokenizer
+
+    codec = Tokenizer.from_file(tokenizer_path())
+    wide, odd = "\u3000" * 150_000, " \n\t \r\n\x85" * 20_000
+    special = next(iter(packing.encoder(tokenizer_path()).special))
+    texts = [" " * 2_000_000, "x" + "\n" * 2_000_000 + " y", f"a b{odd}c  d{odd}\x1c{odd}",
+             f"{wide}1{wide}'s{odd} !", f"{odd}{special}{odd}{special} z{odd}\n",
+             "a " * 60_000 + odd + "b" * 120_000]
+    for text in texts:
+        want = np.array(codec.encode(text, add_special_tokens=False).ids, "<u4")
+        assert np.array_equal(np.frombuffer(packing.encoder(tokenizer_path()).encode(text), "<u4"),
+                              want)
+    frame = spark.createDataFrame([(1, texts[0]), (2, "a b")], "doc_id long, text string")
+    found = packing.pack(frame, tokenizer_path())
+    assert {r["doc_id"] for r in found.collect()} == {1, 2}
+
+
 def test_packing_is_a_partition(docs, rows):
     from tokenizers import Tokenizer
 
