@@ -1,9 +1,10 @@
-"""Line dedup by winnowing.
+"""Line dedup by winnowed stretches.
 
 Line hashes of a document form grams of gram_lines lines; of every stretch of min_lines lines the
-least gram is selected, so equal stretches select equal grams. Positions are joined on grams that
-occur again, the match is extended both ways from the gram to the stretches around it, and the
-runs that an earlier place already holds are deleted.
+least gram is selected, so equal stretches select equal grams. Every stretch is kept, with its gram
+and a hash of its own: stretches whose gram doesn't recur are left out first, the others are
+grouped by their hashes, and the stretches that an earlier place already holds are deleted. Longer
+runs are the overlap of their stretches; no match is extended line by line.
 """
 
 from __future__ import annotations
