@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +43,15 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, how: str = "left") -> DataFr
     right = ranges.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "ranges")
     return docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id"))
                      & (F.col("text_hash") == F.col("_hash")), how).drop("_id", "_hash")
+
+
+def by_size(texts: list[str], most: int) -> Iterator[range]:
+    """Ranges of neighbouring texts that hold about that many characters, one text at least."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > most:
+            yield range(first, i)
+            first, held = i, 0
+        held += len(text)
+    if first < len(texts):
+        yield range(first, len(texts))

@@ -1,12 +1,14 @@
 """SQL each query is checked against, where SQL can express it.
 
-Not here: op1 (XXH64 fingerprints), op2 (approximate), op5 (learned), op8 (strings of bytes), op9
-(token ids). Their tests compare with brute force.
+Not here: op1 (XXH64 fingerprints), op2 (approximate), op5 (learned), op8 (strings of bytes), op9,
+op11 and op13 (token ids), op10 (templates). Their tests compare with brute force.
 """
 
 from __future__ import annotations
 
 WORD, BLANK = r"[^ \t-\r]+", r"[ \t-\r]+"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
     "op3_exact_dedup": f"""
@@ -72,4 +74,18 @@ ORACLE = {
                (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))
                ::BIGINT AS taken
         FROM e""",
+    "op12_lexical_search": f"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TERM}') AS ws FROM documents),
+        d AS (SELECT r, doc_id, ws, len(ws)::BIGINT AS n FROM t WHERE len(ws) > 0),
+        c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+        tf AS (SELECT r, doc_id, n, w, count(*)::BIGINT AS tf FROM d, unnest(ws) u(w) GROUP BY ALL),
+        i AS (SELECT item_id, w, count(*)::BIGINT AS k FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '{TERM}')) AS w FROM benchmark) GROUP BY ALL),
+        df AS (SELECT w, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+               FROM tf, c GROUP BY w, docs),
+        s AS (SELECT item_id, doc_id, r, sum(k * weight * ((1000000000 * tf)
+                     // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+              FROM i JOIN df USING (w) JOIN tf USING (w), c GROUP BY ALL)
+        SELECT item_id, rank, doc_id, score FROM (
+          SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id
+                 ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 20""",
 }

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptwell.llm import (
+    alignment,
     ann,
+    bytetree,
     chat,
     exact,
+    lexical,
     lines,
     mixing,
     packing,
@@ -20,12 +23,20 @@ from scriptwell.llm import (
 from scriptwell.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
+
+
+def splitting_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +91,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(turns.unionByName(more), tokenizer_path()))
 
 
+def op11_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizer_path(RANKS), splitting_pattern()
+    encoded = bytetree.encode(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bytetree.decode(encoded, ranks, pattern).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(),
+                           tokenizer_path(PIECES), digest=True) \
+        .withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict = {f.__name__: f for f in (
     op1_simhash_dedup, op2_ann_adaptive_scan, op3_exact_dedup, op4_substring_dedup,
     op5_quality_classifier, op6_line_dedup, op7_source_mix, op8_suffix_array_dedup, op9_packing,
-    op10_chat_format)}
+    op10_chat_format, op11_byte_bpe_tree, op12_lexical_search, op13_token_alignment)}
