@@ -35,7 +35,7 @@ CUT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*(?:\s+\Z)?|\s+")
 #: A link is one number: the byte-level id times this, plus the piece id.
 PAIR = 1 << 15
 #: Different cuts remembered between blocks of one task.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -47,7 +47,7 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Aligner:
-    """Tokens, groups and links of cuts, by their text."""
+    """Tokens, groups and links of cuts. What is known of a cut lies at its place in the tables."""
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
@@ -56,86 +56,144 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         symbols = byte_of_symbol()
-        self.a_bytes = {i: bytes(map(symbols.__getitem__, t)) for t, i in
-                        self.a.get_vocab(with_added_tokens=False).items()
-                        if all(c in symbols for c in t)}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            if all(c in symbols for c in token):
+                self.a_bytes[i] = bytes(map(symbols.__getitem__, token))
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if len(pieces) > PAIR:
             raise ValueError(f"the piece model has {len(pieces)} ids, at most {PAIR} fit")
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece holds a space after another character")
-        self.fallback = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.fallback = np.array([self.b.is_byte(i) for i in range(len(pieces))])
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if byte else p.replace(SPACE, " ").encode()
                         for p, byte in zip(pieces, self.fallback, strict=True)]
-        self.known: dict[str, tuple | None] = {}
+        self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes,
+                                                                           self.b_bytes))
+        # What an id is written as: A inside and at the end of a group, B likewise.
+        self.written = [f"{i}{mark}" for n, marks in ((len(self.a_bytes), ",|"), (len(pieces), ",;"))
+                        for i in range(n) for mark in marks]
+        self.written_size = np.array([len(x) for x in self.written])
+        self.forget()
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the cuts not known yet."""
-        new = list(dict.fromkeys(c for cuts in texts for c in cuts if c not in self.known))
-        encoded = self.a.encode_batch(new, add_special_tokens=False)
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links
+        self.bad = np.empty(0, bool)
+        self.links = np.empty(0, np.int32)
+
+    def learn(self, cuts: Iterable[str]) -> None:
+        """Encode the cuts not known yet, many neighbours as one text: where they meet is a cut."""
+        new = list(dict.fromkeys(c for c in cuts if c not in self.known))
+        for at in range(0, len(new), 8_192):
+            texts: list[list[str]] = [[]]
+            for cut in new[at:at + 8_192]:
+                if len(texts[-1]) == 64 or texts[-1] and texts[-1][-1][-1].isspace():
+                    texts.append([])
+                texts[-1].append(cut)
+            self._learn(texts)
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        whole = ["".join(cuts) for cuts in texts]
+        encoded = self.a.encode_batch(whole, add_special_tokens=False)
         # The model puts a space before what it gets.
-        protos = self.b.encode([c[1:] for c in new], return_type="proto", num_threads=1)
-        for cut, tokens, proto in zip(new, encoded, protos, strict=True):
-            self.known[cut] = self._aligned(cut, tokens, proto)
-
-    def _aligned(self, cut: str, tokens, proto) -> tuple | None:
-        """n_a, n_b, n_groups, links, groups as text; None if the bytes of either differ."""
-        raw = cut.encode()
-        a_ids, b_ids = tokens.ids, [p.id for p in proto.pieces]
-        if (b"".join(self.a_bytes.get(i, b"") for i in a_ids) != raw
-                or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw):
-            return None
-        a_ends = self._a_ends(cut, a_ids, tokens.offsets)
-        b_ends = self._b_ends(b_ids, proto.pieces)
-        links, groups, i, j = [], [], 0, 0
-        a_from, b_from = 0, 0
-        while i < len(a_ids):
-            links.append(a_ids[i] * PAIR + b_ids[j])
-            a_end, b_end = a_ends[i], b_ends[j]
-            i += a_end <= b_end
-            j += b_end <= a_end
-            if a_end == b_end:
-                groups.append(",".join(map(str, a_ids[a_from:i])) + "|"
-                              + ",".join(map(str, b_ids[b_from:j])))
-                a_from, b_from = i, j
-        return len(a_ids), len(b_ids), len(groups), links, ";".join(groups)
-
-    def _a_ends(self, cut: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
+        protos = self.b.encode([t[1:] for t in whole], return_type="proto", num_threads=1)
+        good, again, base = [], [], 0
+        tokens: list[tuple] = []
+        for cuts, text, a, b in zip(texts, whole, encoded, protos, strict=True):
+            raw, a_ids, b_ids = text.encode(), a.ids, [p.id for p in b.pieces]
+            if (b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw
+                    or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw):
+                again.append(cuts)
+                continue
+            a_ids, b_ids = np.array(a_ids), np.array(b_ids)
+            tokens.append((a_ids, base + self._a_ends(text, a_ids, a.offsets),
+                           b_ids, base + self._b_ends(b_ids, b.pieces)))
+            good += cuts
+            base += len(raw)
+        if good:
+            self._add(good, *(np.concatenate(x) for x in zip(*tokens, strict=True)))
+        for cuts in again:
+            if len(cuts) > 1:
+                self._learn([[c] for c in cuts])
+            else:
+                self.known[cuts[0]] = len(self.known)
+                self.groups.append("")
+                self.counts = np.concatenate([self.counts, np.zeros((1, 4), np.int64)])
+                self.bad = np.append(self.bad, True)
+
+    def _a_ends(self, text: str, ids: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
         """Byte ends: of whole characters by offset, inside a shared character by decoded bytes."""
-        if cut.isascii():
-            return [end for _, end in offsets]
-        byte_at, ends = [0], []
-        for c in cut:
-            byte_at.append(byte_at[-1] + len(c.encode()))
-        for n, (_, end) in enumerate(offsets):
-            shared = n + 1 < len(offsets) and offsets[n + 1][0] < end
-            ends.append((ends[-1] if ends else 0) + len(self.a_bytes[ids[n]]) if shared
-                        else byte_at[end])
+        cut = np.array(offsets)
+        if text.isascii():
+            return cut[:, 1]
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        byte_at = np.cumsum(np.concatenate([[0], 1 + (code > 0x7F) + (code > 0x7FF)
+                                            + (code > 0xFFFF)]))
+        ends = byte_at[cut[:, 1]]
+        for n in np.flatnonzero(cut[1:, 0] < cut[:-1, 1]):
+            ends[n] = (ends[n - 1] if n else 0) + self.a_size[ids[n]]
         return ends
 
-    def _b_ends(self, ids: list[int], pieces) -> list[int]:
+    def _b_ends(self, ids: np.ndarray, pieces) -> np.ndarray:
         """Byte ends: by span, which leaves out the space put before; fallback bytes, whose spans
         are empty but for the last of a character, by decoded bytes."""
-        ends: list[int] = []
-        for i, piece in zip(ids, pieces, strict=True):
-            ends.append((ends[-1] if ends else 0) + len(self.b_bytes[i]) if self.fallback[i]
-                        else piece.end + 1)
+        ends = np.array([p.end for p in pieces]) + 1
+        for n in np.flatnonzero(self.fallback[ids]):
+            ends[n] = (ends[n - 1] if n else 0) + self.b_size[ids[n]]
         return ends
 
-    def documents(self, texts: list[str]) -> Iterator[tuple]:
-        """n_a, n_b, n_groups, groups as text, links; zeros for a text without tokens."""
+    def _add(self, cuts: list[str], a_ids, a_ends, b_ids, b_ends) -> None:
+        """Groups and links of cuts that lie one after another, by the byte ends of their tokens."""
+        cut_ends = np.cumsum([len(c.encode()) for c in cuts])
+        ends = np.unique(np.concatenate([a_ends, b_ends]))
+        a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        a_closes, b_closes = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
+        group_ends = a_ends[a_closes]
+        self.counts = np.concatenate([self.counts, np.stack(
+            [np.diff(np.searchsorted(x, cut_ends, "right"), prepend=0)
+             for x in (a_ends, b_ends, group_ends, ends)], axis=1)])
+        self.bad = np.concatenate([self.bad, np.zeros(len(cuts), bool)])
+        self.links = np.concatenate(
+            [self.links, (a_ids[a_at] * PAIR + b_ids[b_at]).astype(np.int32)])
+        # Group by group, A's tokens before B's.
+        order = np.argsort(np.concatenate([2 * np.searchsorted(group_ends, a_ends),
+                                           2 * np.searchsorted(group_ends, b_ends) + 1]),
+                           kind="stable")
+        written = np.concatenate([2 * a_ids + a_closes, 2 * (len(self.a_bytes) + b_ids)
+                                  + b_closes])[order]
+        text = "".join(map(self.written.__getitem__, written.tolist()))
+        stops = np.cumsum(self.written_size[written])[
+            np.cumsum(self.counts[-len(cuts):, :2].sum(axis=1)) - 1]
+        self.groups += [text[a:b - 1] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(),
+                                                      strict=True)]
+        self.known |= {c: i for i, c in enumerate(cuts, len(self.known))}
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Counts (A tokens, B tokens, groups, links) and groups of each text, and all links, text
+        after text; zeros and an empty string for a text without tokens."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        texts = [CUT.findall(" " + t) if t and SPACE not in t else [] for t in texts]
-        self.learn(texts)
-        for cuts in texts:
-            found = [self.known[c] for c in cuts]
-            if not found or None in found:
-                yield 0, 0, 0, "", []
-                continue
-            a, b, groups, links, parts = zip(*found, strict=True)
-            yield sum(a), sum(b), sum(groups), ";".join(parts), list(chain.from_iterable(links))
+            self.forget()
+        cuts = [CUT.findall(" " + t) if t and SPACE not in t else [] for t in texts]
+        self.learn(chain.from_iterable(cuts))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int64)
+        ends = np.cumsum([0, *map(len, cuts)])
+        wrong = np.diff(np.concatenate([[0], np.cumsum(self.bad[at])])[ends]) > 0
+        at = at[~np.repeat(wrong, np.diff(ends))]
+        ends = np.cumsum(np.concatenate([[0], np.where(wrong, 0, np.diff(ends))]))
+        counts = np.diff(np.concatenate([np.zeros((1, 4), np.int64),
+                                         np.cumsum(self.counts[at], axis=0)])[ends], axis=0)
+        places = at.tolist()
+        groups = [";".join(map(self.groups.__getitem__, places[a:b]))
+                  for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        starts = np.concatenate([[0], np.cumsum(self.counts[:, 3])])[at]
+        sizes = self.counts[at, 3]
+        before = np.cumsum(sizes) - sizes
+        links = self.links[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+        return counts, groups, links
 
 
 ALIGNED = ("doc_id long, n_a long, n_b long, n_groups long, groups string, links array<int>, "
@@ -150,16 +208,14 @@ def _aligned(a_path: str, b_path: str, digest: bool, at_once: int):
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for part in by_size(texts, at_once):
-                a, b, n, groups, links = zip(*aligner.documents([texts[i] for i in part]),
-                                             strict=True)
+                counts, groups, links = aligner.documents([texts[i] for i in part])
                 if digest:
                     groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-                ends = np.cumsum([0, *map(len, links)])
-                codes = np.fromiter(chain.from_iterable(links), np.int32, int(ends[-1]))
+                ends = np.cumsum(np.concatenate([[0], counts[:, 3]])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(part.start, len(part)),
-                     *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(groups, pa.string()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes)),
+                     *(pa.array(counts[:, i]) for i in range(3)), pa.array(groups, pa.string()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(links)),
                      pa.array([block] * len(part), pa.int64())], names=_NAMES)
                 block += 1
     return run
@@ -185,7 +241,7 @@ def _answered(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
-          text_col: str = "text", digest: bool = False, at_once: int = 4_000_000) -> DataFrame:
+          text_col: str = "text", digest: bool = False, at_once: int = 2_000_000) -> DataFrame:
     """One row per input row: doc_id, n_a, n_b, n_groups, groups, n_links, n_best, count_sum.
 
     Tokenizer A (a byte-level file) encodes a space and the text, B (a piece model that puts a

@@ -76,8 +76,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and what is left as a document: text and n_chars. Where a removed run
+    ends inside a character, text holds a replacement character for each part left of it."""
+    text = F.expr("make_valid_utf8(CAST(kept AS STRING))")
     return suffixes.suffix_dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
