@@ -90,3 +90,12 @@ CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 def union_landing(bulk: DataFrame, streamed: DataFrame) -> DataFrame:
     """Nightly bulk rows plus streamed rows; `dedup_claims` later removes repeats."""
     return bulk.unionByName(streamed, allowMissingColumns=True)
+
+
+def event_claims(landed: DataFrame) -> DataFrame:
+    """Landed claim events as bulk rows: one claim each. What events don't tell stays out, and
+    `union_landing` leaves it null."""
+    return landed.select(
+        "prscrbr_npi", "prscrbr_state_abrvtn", "brnd_name", "gnrc_name",
+        F.lit(1).alias("tot_clms"), F.col("drug_cost_usd").alias("tot_drug_cst"),
+        F.year("event_time").alias("year"))

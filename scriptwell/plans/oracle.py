@@ -796,6 +796,46 @@ _add("stream_alerts", "claim_events", f"""
           FROM claim_events WHERE is_opioid AND {_VALID})
     WHERE n >= {THRESHOLD}""")
 
+_add("stream_late_rows", "claim_events", """
+    SELECT claim_id, coalesce(et <= newest - INTERVAL 60 MINUTES, false) AS late
+    FROM timed JOIN marks USING (arrival)""",
+     timed=f"""
+        SELECT claim_id, date_trunc('second', event_time) AS et,
+               floor(epoch(event_time) / (8 * 86400))
+                   + CASE WHEN CAST(claim_id AS BIGINT) % 50 = 0 THEN 1 ELSE 0 END AS arrival
+        FROM claim_events WHERE {_VALID}""",
+     marks="""
+        SELECT arrival, MAX(MAX(et)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING
+                                           AND 1 PRECEDING) AS newest
+        FROM timed GROUP BY arrival""")
+_add("landed_events", "claim_events", f"""
+    SELECT claim_id, {_count('1')} AS landed, {_count('1')} AS filed
+    FROM claim_events WHERE {_VALID}""")
+_ORDERED = ", ".join(f"{c} NULLS FIRST" for c in (
+    "prscrbr_last_org_name", "prscrbr_first_name", "prscrbr_city", "prscrbr_state_abrvtn",
+    "prscrbr_type", "gnrc_name", "tot_clms", "tot_30day_fills", "tot_drug_cst", "tot_day_suply",
+    "tot_benes"))
+_add("landed_claims", "claims claim_events", f"""
+    SELECT *, CASE WHEN tot_clms > 0 THEN {_half_up('tot_drug_cst / tot_clms')} ELSE 0.0 END
+                  AS avg_cost_per_claim,
+           coalesce(brnd_name = gnrc_name, false) AS is_generic
+    FROM (SELECT * FROM both_fixed QUALIFY row_number() OVER (
+        PARTITION BY prscrbr_npi, brnd_name, year ORDER BY {_ORDERED}) = 1)""",
+     both_ways=f"""
+        SELECT * FROM claims UNION ALL BY NAME
+        SELECT {td.NPI_BASE} + user_id AS prscrbr_npi, 'user' || user_id AS prscrbr_last_org_name,
+               lower(({_STATES})[user_id % {len(td.NATION_STATES)} + 1]) AS prscrbr_state_abrvtn,
+               event_type || '-brand ' AS brnd_name, event_type AS gnrc_name, 1 AS tot_clms,
+               value * 2 AS tot_drug_cst, CAST(year(ts) AS INTEGER) AS year
+        FROM events WHERE event_id % 3 = 0 UNION ALL BY NAME
+        SELECT prscrbr_npi, prscrbr_state_abrvtn, gnrc_name || '-brand' AS brnd_name, gnrc_name,
+               1 AS tot_clms, drug_cost_usd AS tot_drug_cst,
+               CAST(year(event_time) AS INTEGER) AS year
+        FROM claim_events WHERE {_VALID}""",
+     both_normal=CTE["normal"].replace("FROM claims", "FROM both_ways").replace(
+         "REPLACE (", "REPLACE (coalesce(tot_benes, 0) AS tot_benes, "),
+     both_fixed=CTE["fixed_case"].replace("FROM normal", "FROM both_normal"))
+
 # ---- governance ----------------------------------------------------------------------
 
 _AUDITED = f"""

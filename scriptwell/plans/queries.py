@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +43,7 @@ from scriptwell.plans.constants import (
     WINDOW_MINUTES,
 )
 from scriptwell.sources import catalog, lake
-from scriptwell.sources.workspace import fresh_path, write_once
+from scriptwell.sources.workspace import StoredTables, fresh_path, write_once
 from scriptwell.streaming import events as stream_events
 from scriptwell.streaming import sinks, tracker
 
@@ -702,29 +703,96 @@ def published_claims(spark, sf):
         F.count(F.lit(1)).alias("messages"), F.count_if(stamped).alias("stamped"))
 
 
+def _arrivals(spark, sf, folder, late=None, replayed=None):
+    """Claim messages as a stream of files in order of time, one for eight days each and read one
+    at a time. Messages of the condition `late` come a file later than their time; those of the
+    condition `replayed` come twice, and once more a file later."""
+    days = F.floor(F.unix_seconds(F.col("event_time").cast("timestamp")) / (8 * 86_400))
+    arrival = days if late is None else days + late.cast("int")
+    arrivals = F.array(arrival) if replayed is None else F.when(
+        replayed, F.array(arrival, arrival, arrival + 1)).otherwise(F.array(arrival))
+    stored = write_once(testdata.claim_messages(spark, sf).select(
+        F.explode(arrivals).alias("arrival"), "value"), "messages")
+    for number in sorted(r[0] for r in stored.select("arrival").distinct().collect()):
+        stored.where(F.col("arrival") == number).select("value").coalesce(1) \
+            .write.mode("append").parquet(f"{folder}/in")
+    return stream_events.read_claim_files(spark, f"{folder}/in", files_per_trigger=1) \
+        .repartition("value")
+
+
+@contextmanager
+def _state_store(spark):
+    """State of streams in the embedded store; the session's settings come back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in tracker.STATE_STORE_SETTINGS}
+    try:
+        for key, value in tracker.STATE_STORE_SETTINGS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 @query
 def stream_alerts(spark, sf):
     """The whole event table through the stream: decode, route, count, alert, sink."""
-    before = {key: spark.conf.get(key, None) for key in tracker.STATE_STORE_SETTINGS}
     folder = fresh_path(spark, "stream")
-    testdata.claim_messages(spark, sf).select("value").write.parquet(f"{folder}/in")
-    messages = stream_events.read_claim_files(spark, f"{folder}/in", files_per_trigger=1_000_000)
-    valid, _ = stream_events.route(stream_events.decoded(messages))
+    valid, _ = stream_events.route(stream_events.decoded(_arrivals(spark, sf, folder)))
     counts = tracker.trailing_counts(stream_events.with_watermark(valid), WINDOW_MINUTES)
     alerts = sinks.alert_messages(surveillance.alerts(counts, THRESHOLD, WINDOW_MINUTES))
-    try:
-        for key, value in tracker.STATE_STORE_SETTINGS.items():
-            spark.conf.set(key, value)
+    with _state_store(spark):
         sinks.sink(alerts, f"{folder}/out", f"{folder}/checkpoint", available_now=True
                    ).awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema("key string, value string").parquet(f"{folder}/out")
     fields = ["prscrbr_state_abrvtn", "claim_count_in_window", "severity"]
     return out.select("key", *[F.get_json_object("value", f"$.{f}").alias(f) for f in fields])
 
 
+@query
+def stream_late_rows(spark, sf):
+    """Every valid claim of the stream with whether it came behind the watermark."""
+    folder = fresh_path(spark, "stream")
+    delayed = F.col("claim_id").cast("bigint") % 50 == 0
+    valid, _ = stream_events.route(stream_events.decoded(
+        _arrivals(spark, sf, folder, late=delayed)))
+    sinks.late_sink(valid, f"{folder}/out", f"{folder}/checkpoint",
+                    available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(
+        "claim_id", F.col("late").cast("boolean").alias("late"))
+
+
+def _landed(spark, sf):
+    """Valid claims of a stream with replays, landed once each and filed by hour of arrival."""
+    def land():
+        folder = fresh_path(spark, "stream")
+        again = F.col("claim_id").cast("bigint") % 20 == 0
+        valid, _ = stream_events.route(stream_events.decoded(
+            _arrivals(spark, sf, folder, replayed=again)))
+        unique = stream_events.dedup_stream(stream_events.with_watermark(valid))
+        with _state_store(spark):
+            sinks.land(unique, f"{folder}/landed", f"{folder}/checkpoint",
+                       available_now=True).awaitTermination()
+        return spark.read.parquet(f"{folder}/landed")
+    return StoredTables.get(spark, sf, "landed_claims", land)
+
+
+@query
+def landed_events(spark, sf):
+    hour = F.col("date_hour").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}-\d{2}$")
+    return _landed(spark, sf).groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("landed"), F.count_if(hour).alias("filed"))
+
+
+@query
+def landed_claims(spark, sf):
+    """Silver claims of both ways in: the bulk, with a nightly extract of the same events at other
+    costs, and what the stream landed."""
+    bulk = layers.bronze_claims(spark, sf).unionByName(
+        testdata.nightly_claims(spark, sf), allowMissingColumns=True)
+    both = cleaning.union_landing(bulk, cleaning.event_claims(_landed(spark, sf)))
+    return cleaning.clean_prescriber_drug(both).drop("_silver_ts", "_silver_version")
+
+
 # ---- governance and lineage ----------------------------------------------------------
 
 @query

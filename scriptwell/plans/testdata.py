@@ -131,12 +131,24 @@ def claim_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     text = F.to_json(whole)
     return c.select(
-        "claim_id",
+        "claim_id", "event_time",
         F.when(F.col("claim_id").endswith("99"), F.concat(F.lit("{"), text)).otherwise(text)
         .alias("value"),
     )
 
 
+def nightly_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bulk extract of every third claim event, valid or not, at twice its cost."""
+    e = table(spark, sf_dir, "events").filter("event_id % 3 = 0")
+    return e.select(
+        (F.lit(NPI_BASE) + F.col("user_id")).alias("prscrbr_npi"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("prscrbr_last_org_name"),
+        F.lower(state_of(F.col("user_id") % len(NATION_STATES))).alias("prscrbr_state_abrvtn"),
+        F.concat(F.col("event_type"), F.lit("-brand ")).alias("brnd_name"),
+        F.col("event_type").alias("gnrc_name"), F.lit(1).alias("tot_clms"),
+        (F.col("value") * 2).alias("tot_drug_cst"), F.year("ts").alias("year"))
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kinds = {i: {k: v[i] for k, v in ACCESS_BY_EVENT.items()} for i in range(3)}

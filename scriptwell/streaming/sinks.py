@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -72,3 +72,36 @@ def routed_sink(checked: DataFrame, path: str, checkpoint: str,
 
     writer = checked.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def late_sink(df: DataFrame, path: str, checkpoint: str, ts: str = "event_time",
+              delay_minutes: int = 60, available_now: bool = False) -> StreamingQuery:
+    """Each micro-batch apart by the `late` partition, so that no row is lost uncounted.
+
+    A row is late if its time is not after the newest time of all earlier batches less the delay. A
+    stateful operator with that watermark drops such rows, but may apply a new watermark one
+    batch later. The newest time is taken from
+    the write of each batch and kept beside it under the batch's number, so a replayed batch is
+    divided as before. Rows without a time are not late.
+    """
+    path, marks = path.rstrip("/"), f"{path.rstrip('/')}-marks"
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark, us = batch.sparkSession, F.unix_micros(F.col(ts).cast("timestamp"))
+        newest = None
+        if batch_id:
+            newest = spark.read.schema("newest long").parquet(
+                f"{marks}/batch_id={batch_id - 1}").first()["newest"]
+        # The engine keeps its watermark in milliseconds.
+        behind = F.lit(None) if newest is None else \
+            us <= (newest // 1000 - delay_minutes * 60_000) * 1000
+        seen = Observation()
+        (batch.withColumn("late", F.coalesce(behind, F.lit(False)))
+         .observe(seen, F.max(us).alias("newest"))
+         .write.mode("overwrite").partitionBy("late").parquet(f"{path}/batch_id={batch_id}"))
+        newest = max((x for x in (newest, seen.get["newest"]) if x is not None), default=None)
+        spark.createDataFrame([(newest,)], "newest long").coalesce(1).write.mode(
+            "overwrite").parquet(f"{marks}/batch_id={batch_id}")
+
+    writer = df.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import (
+    ArrayType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
 
 from scriptwell.fixed_values import ALERT_WINDOW_MINUTES
 from scriptwell.operators.surveillance import WINDOWS_PER_SLOT, in_slots, opioid_only
@@ -29,45 +37,54 @@ COUNT_SCHEMA = StructType([
     StructField("event_time", TimestampType()),
     StructField("claim_count_in_window", LongType()),
 ])
-_SEEN = StructType([StructField("us", LongType()), StructField("n", LongType())])
+_BUCKET = StructType([StructField("bucket", LongType())])
+_TIMES = StructType([StructField("us", ArrayType(LongType())), StructField("n", ArrayType(LongType()))])
 
 
 class TrailingCounter(StatefulProcessor):
-    """Keeps the event times of one prescriber and slot, each with its multiplicity."""
+    """Counts the events of one prescriber and slot in a window that ends at each of them.
+
+    Event times lie in a map of buckets as long as the window, each time with its multiplicity.
+    A batch reads the buckets that its windows reach into and writes those that its events fall
+    into; a timer removes a bucket once no window of an accepted event reaches it any more.
+    """
 
     def __init__(self, window_minutes: int):
         self._window_us = window_minutes * 60 * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._seen = handle.getListState("seen", _SEEN)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows), ignore_index=True)
-        stored = np.array(list(self._seen.get()), dtype=np.int64).reshape(-1, 2)
-        times, where = np.unique(
-            np.concatenate([stored[:, 0], fresh["us"].to_numpy()]), return_inverse=True)
-        n = np.zeros(len(times), dtype=np.int64)
-        np.add.at(n, where, np.concatenate([stored[:, 1], np.ones(len(fresh), dtype=np.int64)]))
-        upto = np.concatenate([[0], np.cumsum(n)])
-
-        # No accepted event is older than the watermark, so none reaches further back than
-        # one window before it; and once the watermark leaves the slot nothing is counted.
-        watermark_us = timerValues.getCurrentWatermarkInMs() * 1000
-        kept = times >= watermark_us - self._window_us
-        self._seen.put([(int(t), int(c)) for t, c in zip(times[kept], n[kept])])
-        self._handle.registerTimer(
-            (int(key[1]) + 1) * WINDOWS_PER_SLOT * self._window_us // 1000)
-
-        own = fresh[fresh["own"]]
-        at = own["us"].to_numpy()
-        counts = (upto[np.searchsorted(times, at, side="right")]
-                  - upto[np.searchsorted(times, at - self._window_us, side="left")])
-        yield own[["claim_id", "prscrbr_npi", "prscrbr_state_abrvtn", "event_time"]].assign(
-            claim_count_in_window=counts)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._seen.clear()
+        self._seen = handle.getMapState("seen", _BUCKET, _TIMES)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        fresh = sorted(rows, key=lambda r: r["us"])
+        by_bucket: dict[int, Counter] = defaultdict(Counter)
+        for row in fresh:
+            by_bucket[row["us"] // self._window_us][row["us"]] += 1
+        reached = {b - back for b in by_bucket for back in (0, 1)}
+        known: Counter = Counter()
+        for bucket in reached:
+            # A bucket's event times; None where nothing is stored.
+            stored = self._seen.getValue((bucket,)) or ((), ())
+            times = Counter(dict(zip(stored[0], stored[1], strict=True)))
+            if bucket in by_bucket:
+                if not times:
+                    self._handle.registerTimer((bucket + 2) * self._window_us // 1000)
+                times += by_bucket[bucket]
+                self._seen.updateValue((bucket,), (list(times), list(times.values())))
+            known += times
+        times = sorted(known)
+        upto = [0, *accumulate(known[t] for t in times)]
+        for row in fresh:
+            if row["own"]:
+                count = (upto[bisect_right(times, row["us"])]
+                         - upto[bisect_left(times, row["us"] - self._window_us)])
+                yield Row(claim_id=row["claim_id"], prscrbr_npi=row["prscrbr_npi"],
+                          prscrbr_state_abrvtn=row["prscrbr_state_abrvtn"],
+                          event_time=row["event_time"], claim_count_in_window=count)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self._seen.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 // self._window_us - 2,))
         yield from ()
 
     def close(self) -> None:
@@ -85,7 +102,7 @@ def trailing_counts(events: DataFrame, minutes: int = ALERT_WINDOW_MINUTES) -> D
         slotted.select("claim_id", "prscrbr_npi", "prscrbr_state_abrvtn", "event_time", "us",
                        "slot", "own")
         .groupBy("prscrbr_npi", "slot")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=TrailingCounter(minutes), outputStructType=COUNT_SCHEMA,
             outputMode="Append", timeMode="EventTime")
     )

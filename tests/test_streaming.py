@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scriptwell.operators import surveillance
+from scriptwell.operators import cleaning, surveillance
 from scriptwell.streaming import events as ev
 from scriptwell.streaming import sinks, tracker
 
@@ -119,3 +119,59 @@ def test_key_by_keeps_states_together(spark):
     placed = ev.key_by(df).withColumn("p", F.spark_partition_id())
     assert placed.groupBy("prscrbr_state_abrvtn").agg(
         F.count_distinct("p").alias("n")).filter("n > 1").count() == 0
+
+
+def test_late_rows_are_those_the_engine_drops(spark, folder):
+    hour = dt.timedelta(hours=1)
+    batches = [[(0, T0), (1, T0 + 3 * hour)],
+               [(2, T0 + 2 * hour), (3, T0 + 2 * hour + dt.timedelta(seconds=1)), (4, T0)],
+               [], [(5, T0 + 2 * hour), (6, T0 + 9 * hour)], [(7, T0 + 7 * hour), (8, T0 + 8.5 * hour)]]
+    for i, rows in enumerate(batches):
+        put(spark, folder, [message(c, 1, at) for c, at in rows] or ["{bad"])
+        sinks.late_sink(stream(spark, folder), f"{folder}/out", f"{folder}/c1",
+                        available_now=True).awaitTermination()
+        # The engine needs a batch without rows, which ends each run, to apply a new watermark.
+        unique = ev.dedup_stream(ev.with_watermark(stream(spark, folder)))
+        sinks.sink(unique, f"{folder}/unique", f"{folder}/c2",
+                   available_now=True).awaitTermination()
+        # A batch that is run again finds the mark of the one before it.
+        assert spark.read.parquet(f"{folder}/out-marks").filter(f"batch_id = {i}").count() == 1
+    out = spark.read.parquet(f"{folder}/out").withColumn("late", F.col("late").cast("boolean"))
+    late = sorted(r.claim_id for r in out.filter("late").collect())
+    assert late == ["c2", "c4", "c5", "c7"] and out.count() == 9
+
+    kept = {r.claim_id for r in spark.read.parquet(f"{folder}/unique").collect()}
+    assert kept == {f"c{i}" for i in range(9)} - set(late)
+
+
+def test_state_is_touched_and_expires(spark, folder):
+    """Buckets are written where events fall, and go once no window reaches them."""
+    def stored():
+        state = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/check")
+        return sorted(r[0] for r in state.select("user_map_key.bucket" if "user_map_key" in
+                                                 state.columns else "key").collect())
+    hour = dt.timedelta(hours=1)
+    put(spark, folder, [message(0, 1, T0), message(1, 1, T0), message(2, 1, T0 + 1.5 * hour)])
+    assert count_now(spark, folder) == {"c0": 2, "c1": 2, "c2": 1}
+    assert len(stored()) == 2
+    put(spark, folder, [message(3, 1, T0 + 6 * hour)])
+    count_now(spark, folder)
+    assert len(stored()) == 1
+
+
+def test_streamed_claims_meet_the_bulk(spark):
+    """A streamed claim and a bulk row of one key leave one Silver row; gaps are filled."""
+    landed = ev.decoded(spark.createDataFrame(
+        [(message(0, 1, T0),), (message(1, 2, T0),)], "value string"))
+    bulk = spark.createDataFrame(
+        [(1_000_000_001, "DOE", "J", "X", "tx", "pain", " b ", "G", 3, 1.0, 9.0, 1, 2, 2024)],
+        "prscrbr_npi long, prscrbr_last_org_name string, prscrbr_first_name string, prscrbr_city "
+        "string, prscrbr_state_abrvtn string, prscrbr_type string, brnd_name string, gnrc_name "
+        "string, tot_clms int, tot_30day_fills double, tot_drug_cst double, tot_day_suply int, "
+        "tot_benes int, year int")
+    both = cleaning.union_landing(bulk, cleaning.event_claims(landed))
+    rows = {r.prscrbr_npi: r for r in cleaning.clean_prescriber_drug(both).collect()}
+    assert len(rows) == 2 and rows[1_000_000_002].tot_benes == 0
+    assert rows[1_000_000_001].prscrbr_last_org_name is None
+    bulk_first = cleaning.clean_prescriber_drug(both, [F.desc_nulls_last("prscrbr_last_org_name")])
+    assert bulk_first.filter("prscrbr_npi = 1000000001").first().tot_clms == 3
