@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scriptwell.fixed_values import CHUNK_MAX_WORDS, CHUNK_OVERLAP_WORDS, PHI_PATTERNS
 from scriptwell.functions import text as tx
 from scriptwell.functions.columns import hold
+from scriptwell.sources.workspace import write_once
 
 
 def redacted(df: DataFrame, column: str) -> DataFrame:
@@ -88,3 +89,29 @@ def token_overlap(docs: DataFrame, text_column: str, questions: Sequence[str]) -
         .withColumn("question_no", F.explode(F.array_compact(F.array(*shared))))
         .drop("__tokens")
     )
+
+
+def shared_tokens(docs: DataFrame, questions: DataFrame, doc_id: str, question_id: str,
+                  text_column: str = "text", rows_together: int = 100_000) -> DataFrame:
+    """(doc_id, question_id, shared) for documents sharing words with a question, with how many.
+
+    An inverted index of the documents' distinct words, as far as questions hold them, is
+    joined to the questions' words. A word of very many documents is split over parts of about
+    rows_together index rows, to each of which its questions go, so no task gets all of one word.
+    Ids must be unique; null texts and texts without words share nothing.
+    """
+    asked = questions.select(F.col(question_id).alias("question_id"),
+                             F.explode(tx.tokens(text_column)).alias("token"))
+    wanted = asked.select("token").distinct()
+    index = write_once(
+        docs.select(F.col(doc_id).alias("doc_id"), F.explode(tx.tokens(text_column)).alias("token"))
+        .join(wanted, "token", "left_semi"), "token-index")
+    parts = index.groupBy("token").agg(
+        F.ceil(F.count(F.lit(1)) / rows_together).cast("int").alias("parts"))
+    spread = asked.join(parts, "token").select(
+        "question_id", "token", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        .alias("part"))
+    placed = index.join(parts, "token").select(
+        "doc_id", "token", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    return placed.join(spread, ["token", "part"]).groupBy("doc_id", "question_id").agg(
+        F.count(F.lit(1)).alias("shared"))

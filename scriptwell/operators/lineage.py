@@ -71,17 +71,25 @@ def upstream(graph: DataFrame, target: str) -> DataFrame:
     """All datasets a dataset is built from, with their distance.
 
     Each round follows the edges of the last one and leaves out what is known, so cycles
-    end. A table written per round keeps the plans short.
+    end. The known datasets are kept with their round; a table written per round keeps the plans
+    short.
     """
-    links = graph.select("source", "target").distinct()
-    spark = graph.sparkSession
-    known = spark.createDataFrame([(target, 0)], "dataset string, distance int")
-    frontier = known
+    links = write_once(graph.select("source", "target").distinct(), "lineage_links")
+    known = graph.sparkSession.createDataFrame([(target, 0)], "dataset string, distance int")
+    round_no = 0
     while True:
-        found = frontier.join(links, frontier.dataset == links.target).select(
-            F.col("source").alias("dataset"), (F.col("distance") + 1).alias("distance")).distinct()
-        frontier = found.join(known.select("dataset"), "dataset", "left_anti")
-        frontier = write_once(frontier, "lineage_frontier")
-        if frontier.isEmpty():
+        last = known.filter(F.col("distance") == round_no)
+        found = last.join(links, last.dataset == links.target).select(
+            F.col("source").alias("dataset")).distinct() \
+            .join(known.select("dataset"), "dataset", "left_anti") \
+            .withColumn("distance", F.lit(round_no + 1))
+        known = write_once(known.unionByName(found), "lineage_known")
+        round_no += 1
+        if known.filter(F.col("distance") == round_no).isEmpty():
             return known.filter(F.col("distance") > 0)
-        known = write_once(known.unionByName(frontier), "lineage_known")
+
+
+def upstream_rows(events: DataFrame, target: str) -> DataFrame:
+    """dataset, distance and last seen row_count of all datasets behind one."""
+    seen = nodes(events).select(F.col("name").alias("dataset"), "row_count")
+    return upstream(edges(events), target).join(seen, "dataset", "left")

@@ -322,3 +322,16 @@ def gate(results: DataFrame) -> list[str]:
     if critical:
         raise QualityGateError("critical checks failed: " + ", ".join(sorted(critical)))
     return sorted(f"{r.table}.{r.check_name}" for r in failed)
+
+
+def gated(df: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of df; a critical failure among the results fails whatever reads them.
+
+    The verdict is one value in the plan, so checks and write are one job: a table written from
+    this either passed its checks or isn't committed.
+    """
+    name = F.concat_ws(".", "table", "check_name")
+    failed = results.filter(~F.col("passed") & (F.col("severity") == CRITICAL)).agg(
+        F.array_join(F.sort_array(F.collect_list(name)), ", ").alias("failed")).scalar()
+    stop = F.raise_error(F.concat(F.lit("critical checks failed: "), failed)).cast("string")
+    return df.filter(F.when(failed != "", stop).isNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,8 @@ from scriptwell.functions.vectors import best_rows
 from scriptwell.operators.ranking import top_per_group
 from scriptwell.schemas import COLLECTION
 
-Questions = Mapping[str, Sequence[float]]
+# Vectors by question id, or a table with columns question_id (unique) and embedding.
+Questions = Mapping[str, Sequence[float]] | DataFrame
 
 # Questions compared in one pass over a collection; more questions take more passes.
 QUESTIONS_PER_PASS = 1024
@@ -50,31 +51,65 @@ def where(collection: DataFrame, conditions: Mapping[str, str] | None) -> DataFr
     return collection
 
 
+def _blocks(questions: Questions) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Ids and vectors of questions, in blocks of about QUESTIONS_PER_PASS of one length. A table
+    is dealt into blocks by a hash of the id, and only one block at a time is on the driver."""
+    if not isinstance(questions, DataFrame):
+        names = list(questions)
+        for at in range(0, len(names), QUESTIONS_PER_PASS):
+            block = names[at:at + QUESTIONS_PER_PASS]
+            yield block, np.array([questions[n] for n in block], dtype=np.float64)
+        return
+    vector = F.col("embedding").cast("array<double>")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = questions.select(F.col("question_id").cast("string").alias("question_id"),
+                             vector.alias("embedding")).filter(finite)
+    for size, n in sorted(whole.groupBy(F.size("embedding")).count().collect()):
+        blocks = -(-n // QUESTIONS_PER_PASS)
+        number = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+        for block in range(blocks):
+            rows = whole.filter((F.size("embedding") == size) & (number == block)).collect()
+            if rows:
+                yield [r["question_id"] for r in rows], np.array([r["embedding"] for r in rows])
+
+
+def _ranked(rows: DataFrame, questions: Questions, k: int,
+            group: str | None = None) -> tuple[DataFrame, int]:
+    """(id, question_id, similarity, rank) of the k best rows of each question, within each value
+    of a group column if there is one; and how many questions there are."""
+    columns = ["id"] + ([group] if group else [])
+    schema = "id string, question_id string, similarity double" + (
+        f", {group} string" if group else "")
+    passes, asked = [], 0
+    for names, vectors in _blocks(questions):
+        kernel = best_rows(names, vectors, "id", "embedding", k, group)
+        passes.append(rows.select(*columns, "embedding").mapInArrow(kernel, schema))
+        asked += len(names)
+    found = reduce(DataFrame.unionByName, passes) if passes else \
+        rows.sparkSession.createDataFrame([], schema)
+    best_first = Window.partitionBy("question_id", *([group] if group else [])).orderBy(
+        F.desc("similarity"), F.asc("id"))
+    return found.withColumn("rank", F.row_number().over(best_first)).filter(
+        F.col("rank") <= k), asked
+
+
 def search(collection: DataFrame, questions: Questions, k: int = 5,
            conditions: Mapping[str, str] | None = None,
            min_similarity: float | None = None) -> DataFrame:
     """The k most similar documents of each question, exact cosine, best first by `rank`.
 
-    Question vectors are arguments. Tasks compare ids and vectors only and keep their best
-    k rows per question; documents and metadata are then looked up for the few hits, which
-    are broadcast up to BROADCAST_HITS. Ids must be unique, as `upsert` keeps them.
+    A block of question vectors goes to the tasks, which compare ids and vectors only and keep
+    their best k rows per question while batches pass; more blocks take more passes. Documents and
+    metadata are then looked up for the few hits, which are broadcast up to BROADCAST_HITS. Ids must
+    be unique, as `upsert` keeps them. Questions whose vector is null or holds null or non-finite
+    values find nothing; no question finds documents of another vector length.
     """
     rows = where(collection, conditions)
-    schema = "id string, question_id string, similarity double"
-    names = list(questions)
-    passes = []
-    for start in range(0, len(names), QUESTIONS_PER_PASS):
-        block = names[start:start + QUESTIONS_PER_PASS]
-        vectors = np.array([questions[n] for n in block], dtype=np.float64)
-        kernel = best_rows(block, vectors, "id", "embedding", k)
-        passes.append(rows.select("id", "embedding").mapInArrow(kernel, schema))
-    best_first = Window.partitionBy("question_id").orderBy(F.desc("similarity"), F.asc("id"))
-    ranked = reduce(DataFrame.unionByName, passes).withColumn(
-        "rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    ranked, asked = _ranked(rows, questions, k)
     hits = ranked.withColumn("similarity", F.round("similarity", 4))
     if min_similarity is not None:
         hits = hits.filter(F.col("similarity") >= min_similarity)
-    if len(names) * k <= BROADCAST_HITS:
+    if asked * k <= BROADCAST_HITS:
         hits = F.broadcast(hits)  # k rows per question at most
     return rows.select("id", "document", "metadata").join(hits, "id").select(
         "question_id", "id", "document", "metadata", "similarity", "rank")
@@ -100,30 +135,44 @@ def retrieve_past_queries(collection: DataFrame, questions: Questions, k: int =
 def context_bundle(questions: Questions, knowledge: DataFrame, schemas: DataFrame,
                    history: DataFrame, k: int = 3,
                    history_similarity: float = PAST_QUERY_MIN_SIMILARITY) -> DataFrame:
-    """Per question the retrieved knowledge, tables and past queries with their counts."""
+    """Per question the retrieved knowledge, tables and past queries with their counts.
+
+    The three collections are scored in one pass, each with its own best rows.
+    """
     spark = knowledge.sparkSession
-    asked = spark.createDataFrame([(q,) for q in questions], "question_id string")
-    parts = {
-        "domain_knowledge": (retrieve_knowledge(knowledge, questions, k), F.col("document")),
-        "relevant_tables": (
-            retrieve_knowledge(schemas, questions, k),
-            F.struct(F.element_at("metadata", "table").alias("table"),
-                     F.col("document").alias("description"))),
-        "similar_past_queries": (
-            search(history, questions, k, min_similarity=history_similarity),
-            F.struct(F.element_at("metadata", "question").alias("question"),
-                     F.element_at("metadata", "sql").alias("sql"), "similarity")),
+    asked = questions.select(F.col("question_id").cast("string").alias("question_id")) if isinstance(
+        questions, DataFrame) else spark.createDataFrame([(q,) for q in questions],
+                                                         "question_id string")
+    shapes = {
+        "domain_knowledge": (knowledge, KNOWLEDGE_MIN_SIMILARITY, "knowledge_chunks",
+                             F.col("document")),
+        "relevant_tables": (schemas, KNOWLEDGE_MIN_SIMILARITY, "schema_chunks", F.struct(
+            F.element_at("metadata", "table").alias("table"),
+            F.col("document").alias("description"))),
+        "similar_past_queries": (history, history_similarity, "query_examples", F.struct(
+            F.element_at("metadata", "question").alias("question"),
+            F.element_at("metadata", "sql").alias("sql"), "similarity")),
     }
-    counts = {"domain_knowledge": "knowledge_chunks", "relevant_tables": "schema_chunks",
-              "similar_past_queries": "query_examples"}
-    bundle = asked
-    for name, (hits, shape) in parts.items():
-        # At most k hits per question are gathered.
-        gathered = hits.groupBy("question_id").agg(
-            F.sort_array(F.collect_list(F.struct("rank", shape.alias("hit")))).alias(name))
-        bundle = bundle.join(gathered, "question_id", "left").withColumn(
+    rows = reduce(DataFrame.unionByName, [
+        df.select("id", "document", "metadata", "embedding", F.lit(name).alias("kind"))
+        for name, (df, _, _, _) in shapes.items()])
+    ranked, n = _ranked(rows, questions, k, "kind")
+    least = reduce(lambda c, x: c.when(F.col("kind") == x[0], x[1][1]), shapes.items(), F)
+    hits = ranked.withColumn("similarity", F.round("similarity", 4)).filter(
+        F.col("similarity") >= least)
+    if n * k * len(shapes) <= BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    found = rows.select("kind", "id", "document", "metadata").join(hits, ["kind", "id"])
+    # At most k hits per question and collection are gathered.
+    gathered = found.groupBy("question_id").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("kind") == name, F.struct(
+            "rank", shape.alias("hit"))))).alias(name)
+        for name, (_, _, _, shape) in shapes.items()])
+    bundle = asked.join(gathered, "question_id", "left")
+    for name, (_, _, counted, _) in shapes.items():
+        bundle = bundle.withColumn(
             name, F.coalesce(F.transform(name, lambda x: x["hit"]), F.array())
-        ).withColumn(counts[name], F.size(name))
+        ).withColumn(counted, F.size(name))
     return bundle
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptwell.operators import cleaning, gold, lineage
 from scriptwell.plans import testdata
 from scriptwell.sources import lake
-from scriptwell.sources.workspace import StoredTables, write_once
+from scriptwell.sources.workspace import StoredTables, fresh_path, write_once
 
 GOLD_TABLES = ("drug_summary", "prescriber_summary", "state_kpi")
 
@@ -69,15 +70,31 @@ def build_all(spark: SparkSession, bronze_tables: dict[str, DataFrame], root: st
 
 def record_lineage(spark: SparkSession, path: str, counts: dict[str, dict[str, int]],
                    root: str = "lake") -> None:
-    """Append START and COMPLETE rows for each layer transition of one run."""
-    for table, rows in counts["silver"].items():
-        lineage.emit_layer_transition(
-            spark, path, f"clean_{table}", "bronze", table, "silver", table,
-            counts["bronze"][table], rows, root=root)
-    for table, rows in counts["gold"].items():
-        lineage.emit_layer_transition(
-            spark, path, f"build_{table}", "silver", "prescriber_drug", "gold", table,
-            counts["silver"]["prescriber_drug"], rows, root=root)
+    """Append START and COMPLETE rows of all layer transitions of one run, in one write; counts are
+    those observed while the layers were written."""
+    moves = [(f"clean_{t}", "bronze", t, "silver", t) for t in counts["silver"]] + [
+        (f"build_{t}", "silver", "prescriber_drug", "gold", t) for t in counts["gold"]]
+    reduce(DataFrame.unionByName, [
+        lineage.transition_events(spark, job, layer_in, table_in, layer_out, table_out,
+                                  counts[layer_in][table_in], counts[layer_out][table_out],
+                                  root=root)
+        for job, layer_in, table_in, layer_out, table_out in moves]
+    ).coalesce(1).write.mode("append").parquet(path)
+
+
+def built_lake(spark: SparkSession, sf_dir: str, date: str = "2024-01-01") -> DataFrame:
+    """root, layer, table, rows of a full build, once per application; the rows are those observed
+    by the writes. The run's lineage lies under the root as well."""
+    def build() -> DataFrame:
+        root = fresh_path(spark, "lake")
+        counts = build_all(spark, bronze(spark, sf_dir), root, date)
+        record_lineage(spark, f"{root}/lineage", counts)
+        return spark.createDataFrame(
+            [(root, layer, table, rows) for layer, tables in counts.items()
+             for table, rows in tables.items()],
+            "root string, layer string, table string, rows long").coalesce(1)
+
+    return StoredTables.get(spark, sf_dir, "built_lake", build)
 
 
 # ---- stored tables of a session ------------------------------------------------------

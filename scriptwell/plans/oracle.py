@@ -33,6 +33,7 @@ from scriptwell.plans.constants import (
     SMALL_CHUNK,
     THRESHOLD,
 )
+from scriptwell.schemas import LAYERS
 
 ORACLE: dict[str, str] = {}
 
@@ -257,6 +258,23 @@ _add("layer_counts", "claims silver drug prescriber state", " UNION ALL ".join(
         ("silver", "state", "state_rows"), ("gold", "drug_summary", "drug"),
         ("gold", "prescriber_summary", "prescriber"), ("gold", "state_kpi", "state"))),
      state_rows="SELECT s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey")
+_add("layer_contract", "", f"""
+    SELECT layer, t AS "table", verdict, CAST(n AS BIGINT) AS columns FROM (VALUES {", ".join(
+        f"('{layer}', '{table}', 'ok', {len(s)})" for (layer, table), s in LAYERS.items())},
+        ('gold', 'state_kpi', 'extra', 2)) v(layer, t, verdict, n)
+    WHERE EXISTS (SELECT 1 FROM lineitem)""")
+_add("layer_by_state", "silver prescriber", f"""
+    SELECT * FROM (SELECT year, prscrbr_state_abrvtn, {_count()} AS claims,
+                          {_count('SUM(tot_clms)')} AS tot_clms FROM silver GROUP BY ALL)
+    JOIN (SELECT year, prscrbr_state_abrvtn, {_count()} AS people FROM prescriber GROUP BY ALL)
+    USING (year, prscrbr_state_abrvtn)""")
+_add("gated_claims", "silver", f"SELECT year, {_count()} AS claims FROM silver GROUP BY year")
+_add("catalog_load", "drug", "SELECT * FROM drug")
+_add("catalog_model", "silver", f"""
+    SELECT CASE WHEN avg_cost_per_claim < 20 THEN 'low' WHEN avg_cost_per_claim < 100 THEN 'medium'
+                WHEN avg_cost_per_claim < 1000 THEN 'high' ELSE 'specialty_tier' END AS cost_tier,
+           {_count()} AS claims
+    FROM silver WHERE year = {REPORT_YEAR} GROUP BY 1""")
 _add("drug_summary", "drug", "SELECT * FROM drug")
 _add("drug_summary_stored", "drug", "SELECT * FROM drug")
 _add("drug_summary_sql", "drug", """
@@ -675,6 +693,15 @@ _add("token_overlap", "", f"""
         asked(question_no, words)
     WHERE list_has_any(w, words)""")
 
+_add("token_overlap_table", "", """
+    SELECT doc_id, question_id, COUNT(*) AS shared
+    FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text),
+              '[\\p{L}\\p{M}\\p{N}_]+')) AS token FROM documents)
+    JOIN (SELECT DISTINCT conv_id || '-' || turn AS question_id, unnest(regexp_extract_all(
+              lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS token
+          FROM conversations WHERE conv_id % 20 = 0) USING (token)
+    GROUP BY doc_id, question_id""")
+
 # ---- retrieval -----------------------------------------------------------------------
 
 _ASK = {
@@ -726,6 +753,20 @@ _add("semantic_cache", "", f"""
     SELECT question_id, id, 'SELECT ' || id AS generated_sql, document AS summary,
            CAST(label AS BIGINT) AS row_count, true AS from_cache, similarity AS cache_similarity
     FROM ({_best(1)}) WHERE similarity >= 0.25 AND vec_id * 5 <= 900""", **_ASK)
+_TABLE = _ASK | {"asked": """
+        SELECT CAST(vec_id AS VARCHAR) AS question_id, CAST(embedding AS DOUBLE[]) AS q
+        FROM embeddings WHERE vec_id % 20 = 0"""}
+_add("knn_question_table", "", f"{_HIT} ({_best(5)})", **_TABLE)
+_add("context_bundle_table", "", f"""
+    SELECT question_id, CAST(coalesce(k, 0) AS INTEGER) AS knowledge_chunks,
+           CAST(coalesce(t, 0) AS INTEGER) AS schema_chunks,
+           CAST(coalesce(h, 0) AS INTEGER) AS query_examples
+    FROM asked {_joined('domain_knowledge', 'document', 0, 'k')}
+    {_joined('tables', 'id', 1, 't')} {_joined('sqls', 'id', 2, 'h')}""", **_TABLE)
+_add("semantic_cache_table", "", f"""
+    SELECT question_id, id, 'SELECT ' || id AS generated_sql, document AS summary,
+           CAST(label AS BIGINT) AS row_count, true AS from_cache, similarity AS cache_similarity
+    FROM ({_best(1)}) WHERE similarity >= 0.93 AND vec_id * 5 <= 900""", **_TABLE)
 _add("cache_evict", "", """
     SELECT CAST(vec_id AS VARCHAR) AS id, 'document ' || vec_id AS document
     FROM embeddings WHERE vec_id * 5 <= 900""")
@@ -867,8 +908,9 @@ _add("latency_quantiles", "access_log", """
     FROM access_log GROUP BY path""")
 
 _RUNS = {
+    "state_rows": "SELECT s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey",
     "runs": """
-        SELECT 'clean_claims' AS job_name, 'lake/bronze/prescriber_drug' AS input,
+        SELECT 'clean_prescriber_drug' AS job_name, 'lake/bronze/prescriber_drug' AS input,
                (SELECT COUNT(*) FROM claims) AS rows_in,
                'lake/silver/prescriber_drug' AS output, (SELECT COUNT(*) FROM silver) AS rows_out
         UNION ALL SELECT 'build_drug_summary', 'lake/silver/prescriber_drug',
@@ -877,7 +919,13 @@ _RUNS = {
                (SELECT COUNT(*) FROM silver), 'lake/gold/prescriber_summary',
                (SELECT COUNT(*) FROM prescriber)
         UNION ALL SELECT 'build_state_kpi', 'lake/silver/prescriber_drug',
-               (SELECT COUNT(*) FROM silver), 'lake/gold/state_kpi', (SELECT COUNT(*) FROM state)""",
+               (SELECT COUNT(*) FROM silver), 'lake/gold/state_kpi', (SELECT COUNT(*) FROM state)
+        UNION ALL SELECT 'clean_prescriber', 'lake/bronze/prescriber',
+               (SELECT COUNT(*) FROM people), 'lake/silver/prescriber', (SELECT COUNT(*) FROM people)
+        UNION ALL SELECT 'clean_drug', 'lake/bronze/drug', (SELECT COUNT(*) FROM part),
+               'lake/silver/drug', (SELECT COUNT(DISTINCT upper(trim(p_name))) FROM part)
+        UNION ALL SELECT 'clean_state', 'lake/bronze/state', (SELECT COUNT(*) FROM state_rows),
+               'lake/silver/state', (SELECT COUNT(*) FROM state_rows)""",
     "datasets": """
         SELECT name, MAX(n) AS n FROM (SELECT input AS name, rows_in AS n FROM runs
             UNION ALL SELECT output, rows_out FROM runs) GROUP BY name""",
@@ -891,18 +939,11 @@ _add("lineage_summary", "drug prescriber state", f"""
     SELECT 'total_nodes' AS measure, {_count()} AS value FROM datasets
     UNION ALL SELECT 'healthy_count', {_count()} FROM datasets WHERE n > 0
     UNION ALL SELECT 'total_edges', {_count()} FROM runs""", **_RUNS)
-ORACLE["lineage_upstream"] = """
-    WITH RECURSIVE links(source, target) AS (
-        SELECT DISTINCT s, t FROM (VALUES
-            ('lake/bronze/prescriber_drug', 'lake/silver/prescriber_drug'),
-            ('lake/silver/prescriber_drug', 'lake/gold/drug_summary'),
-            ('lake/silver/prescriber_drug', 'lake/gold/prescriber_summary'),
-            ('lake/silver/prescriber_drug', 'lake/gold/state_kpi')) v(s, t)
-        WHERE EXISTS (SELECT 1 FROM lineitem)),
-    up(dataset, distance) AS (
-        SELECT source, 1 FROM links WHERE target = 'lake/gold/state_kpi'
-        UNION ALL SELECT source, distance + 1 FROM up JOIN links ON target = dataset)
-    SELECT dataset, distance FROM up"""
+_add("lineage_upstream", "drug prescriber state", """
+    SELECT input AS dataset, 1 AS distance, rows_in AS row_count
+    FROM runs WHERE output = 'lake/gold/state_kpi'
+    UNION ALL SELECT b.input, 2, b.rows_in FROM runs a JOIN runs b ON b.output = a.input
+    WHERE a.output = 'lake/gold/state_kpi'""", **_RUNS)
 
 # ---- narratives ----------------------------------------------------------------------
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptwell import schemas
 from scriptwell.fixed_values import CACHE_TTL_SECONDS
 from scriptwell.functions.columns import exact_sum
 from scriptwell.functions.contract import check_events
@@ -139,9 +141,9 @@ def landing_union(spark, sf):
 
 @query
 def ingestion_summary(spark, sf):
-    counts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
-              for name, t in layers.bronze(spark, sf).items()]
-    return lake.with_total(reduce(DataFrame.unionByName, counts))
+    """Rows per table as the Bronze writes observed them."""
+    written = layers.built_lake(spark, sf).where("layer = 'bronze'")
+    return lake.with_total(written.select("table", "rows"))
 
 
 # ---- Gold ----------------------------------------------------------------------------
@@ -149,16 +151,66 @@ def ingestion_summary(spark, sf):
 @query
 def layer_counts(spark, sf):
     """Rows read back from dated Bronze, Silver and Gold storage after a full build."""
-    root, date = fresh_path(spark, "lake"), "2024-01-01"
-    written = layers.build_all(spark, layers.bronze(spark, sf), root, date)
+    built = layers.built_lake(spark, sf).collect()
     counts = [
-        lake.read_layer(spark, root, layer, name, date).agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(layer).alias("layer"), F.lit(name).alias("table"), "rows")
-        for layer, tables in written.items() for name in tables
-    ]
+        lake.read_layer(spark, r.root, r.layer, r.table, "2024-01-01")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select(F.lit(r.layer).alias("layer"), F.lit(r.table).alias("table"), "rows")
+        for r in built]
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def layer_contract(spark, sf):
+    """Every column of every stored layer against its declared type."""
+    return reduce(DataFrame.unionByName, [
+        lake.layer_contract(spark, r.root, r.layer, r.table, "2024-01-01")
+        for r in layers.built_lake(spark, sf).collect()]
+    ).groupBy("layer", "table", "verdict").agg(F.count(F.lit(1)).alias("columns"))
+
+
+@query
+def layer_by_state(spark, sf):
+    """Silver and Gold read by their folders of year and state."""
+    root = layers.built_lake(spark, sf).first()["root"]
+    silver = lake.read_layer(spark, root, "silver", "prescriber_drug", "2024-01-01")
+    people = lake.read_layer(spark, root, "gold", "prescriber_summary", "2024-01-01")
+    return silver.groupBy("year", "prscrbr_state_abrvtn").agg(
+        F.count(F.lit(1)).alias("claims"), F.sum("tot_clms").cast("bigint").alias("tot_clms")).join(
+        people.groupBy("year", "prscrbr_state_abrvtn").agg(F.count(F.lit(1)).alias("people")),
+        ["year", "prscrbr_state_abrvtn"])
+
+
+@query
+def gated_claims(spark, sf):
+    """Silver rows by year behind their own critical checks, in one plan."""
+    silver = layers.silver_claims(spark, sf)
+    return quality.gated(silver, quality.silver_suite(silver)).groupBy("year").agg(
+        F.count(F.lit(1)).alias("claims"))
+
+
+@query
+def catalog_load(spark, sf):
+    """The drug table appended to a catalog table by name, from columns in another order and case."""
+    name = f"drug_load_{uuid.uuid4().hex}"
+    catalog.create_table(spark, name, schemas.DRUG_SUMMARY)
+    drugs = gold.gold_stamp(_drugs(spark, sf))
+    catalog.load_by_name(
+        drugs.select(*[F.col(c).alias(c.upper()) for c in reversed(drugs.columns)]), name)
+    return spark.table(name).drop("_gold_ts").withColumns(
+        {c: F.col(c).cast("bigint") for c in
+         ("total_claims", "total_beneficiaries", "unique_prescribers")})
+
+
+@query
+def catalog_model(spark, sf):
+    """Classified claims as a catalog table clustered by year, read by year."""
+    name = f"classified_{uuid.uuid4().hex}"
+    model = catalog.materialize(_classified(spark, sf), name, "table", "claim_year")
+    return model.where(F.col("claim_year") == REPORT_YEAR).groupBy("cost_tier").agg(
+        F.count(F.lit(1)).alias("claims"))
+
+
 @query
 def drug_summary(spark, sf):
     return gold.drug_summary(layers.silver_claims(spark, sf),
@@ -511,6 +563,14 @@ def token_overlap(spark, sf):
     return corpus.token_overlap(docs, "text", OVERLAP_QUESTIONS).select("doc_id", "question_no")
 
 
+@query
+def token_overlap_table(spark, sf):
+    """Documents sharing words with the turns of every twentieth conversation."""
+    asked = testdata.table(spark, sf, "conversations").where("conv_id % 20 = 0").withColumn(
+        "question", F.concat_ws("-", "conv_id", "turn"))
+    return corpus.shared_tokens(testdata.table(spark, sf, "documents"), asked, "doc_id", "question")
+
+
 # ---- retrieval -----------------------------------------------------------------------
 
 def _questions(spark, sf) -> dict[str, list[float]]:
@@ -530,6 +590,34 @@ def _hits(df):
     return df.select("question_id", "id", "document", "similarity", "rank")
 
 
+def _question_table(spark, sf):
+    """Every twentieth vector as a question."""
+    return testdata.table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").cast("string").alias("question_id"), "embedding")
+
+
+@query
+def knn_question_table(spark, sf):
+    return _hits(retrieval.search(testdata.vectors(spark, sf), _question_table(spark, sf), 5))
+
+
+@query
+def context_bundle_table(spark, sf):
+    """Knowledge, tables and past queries for a table of questions."""
+    bundle = retrieval.context_bundle(
+        _question_table(spark, sf), _labelled(spark, sf, "0"),
+        _labelled(spark, sf, "1", table=F.col("id")),
+        _labelled(spark, sf, "2", question=F.col("document"), sql=F.col("id")),
+        history_similarity=0.25)
+    return bundle.select("question_id", "knowledge_chunks", "schema_chunks", "query_examples")
+
+
+@query
+def semantic_cache_table(spark, sf):
+    """Cached answers to questions that were asked before, at the default similarity."""
+    return retrieval.cache_lookup(cache(spark, sf), _question_table(spark, sf), _at(NOW))
+
+
 @query
 def knn_topk(spark, sf):
     return _hits(retrieval.search(testdata.vectors(spark, sf), _questions(spark, sf), 5))
@@ -838,17 +926,9 @@ def latency_quantiles(spark, sf):
 
 
 def _lineage(spark, sf):
-    """Run events of the session's own builds, with measured row counts."""
-    silver, claims = layers.silver_claims(spark, sf), layers.bronze_claims(spark, sf)
-    rows_in, rows_silver = claims.count(), silver.count()
-    events = lineage.transition_events(
-        spark, "clean_claims", "bronze", "prescriber_drug", "silver", "prescriber_drug",
-        rows_in, rows_silver, silver, run_id="silver")
-    for name, table in layers.gold_tables(spark, sf).items():
-        events = events.unionByName(lineage.transition_events(
-            spark, f"build_{name}", "silver", "prescriber_drug", "gold", name, rows_silver,
-            table.count(), table, run_id=name))
-    return events
+    """Run events of the layer build, with the rows its writes observed."""
+    root = layers.built_lake(spark, sf).first()["root"]
+    return spark.read.schema(schemas.LINEAGE_EVENT).parquet(f"{root}/lineage")
 
 
 @query
@@ -868,7 +948,7 @@ def lineage_summary(spark, sf):
 
 @query
 def lineage_upstream(spark, sf):
-    return lineage.upstream(lineage.edges(_lineage(spark, sf)), "lake/gold/state_kpi")
+    return lineage.upstream_rows(_lineage(spark, sf), "lake/gold/state_kpi")
 
 
 # ---- narratives ----------------------------------------------------------------------

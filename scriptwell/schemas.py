@@ -37,6 +37,12 @@ PRESCRIBER_DRUG = StructType([
     ).fields,
 ])
 
+_PROFILE = _fields(
+    prscrbr_npi=LongType(), prscrbr_last_org_name=_TEXT, prscrbr_first_name=_TEXT,
+    prscrbr_city=_TEXT, prscrbr_state_abrvtn=_TEXT, prscrbr_type=_TEXT)
+_DRUG = _fields(gnrc_name=_TEXT, brnd_name=_TEXT)
+_STATE = _fields(state_abrvtn=_TEXT, state_name=_TEXT)
+
 SILVER_PRESCRIBER_DRUG = StructType([
     *PRESCRIBER_DRUG.fields,
     *_fields(avg_cost_per_claim=DoubleType(), is_generic=BooleanType(),
@@ -65,6 +71,37 @@ STATE_KPI = _fields(
     cost_per_beneficiary=DoubleType(), national_rank=IntegerType(), _gold_ts=TimestampNTZType(),
 )
 
+
+
+def _with(base: StructType, *stamps: StructType) -> StructType:
+    return StructType([*base.fields, *(f for s in stamps for f in s.fields)])
+
+
+def _stored(contract: StructType) -> StructType:
+    """A Gold contract as its layer stores it: counts as long, text without a width, stamps as
+    instants."""
+    kinds = {DecimalType: LongType(), VarcharType: StringType(), TimestampNTZType: TimestampType()}
+    return StructType([StructField(f.name, kinds.get(type(f.dataType), f.dataType))
+                       for f in contract.fields])
+
+
+_SILVER_STAMP = _fields(_silver_ts=TimestampType())
+
+# What each stored layer holds. Reads enforce it.
+LAYERS = {
+    ("bronze", "prescriber_drug"): _with(PRESCRIBER_DRUG, BRONZE_STAMP),
+    ("bronze", "prescriber"): _with(_PROFILE, BRONZE_STAMP),
+    ("bronze", "drug"): _with(_DRUG, BRONZE_STAMP),
+    ("bronze", "state"): _with(_STATE, BRONZE_STAMP),
+    ("silver", "prescriber_drug"): SILVER_PRESCRIBER_DRUG,
+    ("silver", "prescriber"): _with(_PROFILE, _SILVER_STAMP),
+    ("silver", "drug"): _with(_DRUG, _SILVER_STAMP),
+    ("silver", "state"): _with(_STATE, _SILVER_STAMP),
+    ("gold", "drug_summary"): _stored(DRUG_SUMMARY),
+    ("gold", "prescriber_summary"): _stored(PRESCRIBER_SUMMARY),
+    ("gold", "state_kpi"): _stored(STATE_KPI),
+}
+
 CLAIM_EVENT = _fields(
     claim_id=_TEXT, prscrbr_npi=LongType(), prscrbr_state_abrvtn=_TEXT, gnrc_name=_TEXT,
     brnd_name=_TEXT, is_opioid=BooleanType(), drug_cost_usd=DoubleType(), claim_timestamp=_TEXT,

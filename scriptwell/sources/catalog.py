@@ -27,7 +27,7 @@ def create_table(spark: SparkSession, name: str, schema: StructType) -> None:
 
 
 def load_by_name(df: DataFrame, target: str) -> None:
-    """Append to a catalog table; the single write commits whole or not at all."""
+    """Append to a catalog table by column name; the single write commits whole or not at all."""
     schema = df.sparkSession.table(target).schema
     match_by_name(df, schema).write.insertInto(target)
 

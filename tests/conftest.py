@@ -30,18 +30,29 @@ def folder():
     return tempfile.mkdtemp(prefix="scriptwell-test-")
 
 
+# Six claims over two years. Drugs and states tie in 2021, one row has no claims and no patients,
+# one no patients, and prescriber 34 is in no profile table.
+CLAIMS = """
+    npi state specialty      brand      generic      claims cost  patients year
+    31  GA    Dermatology    ALLEGRA    FEXOFENADINE 12     60.0  6        2020
+    31  GA    Dermatology    CETIRIZINE CETIRIZINE   30     45.0  0        2020
+    32  GA    Anesthesiology ALLEGRA    FEXOFENADINE 8      45.0  4        2020
+    32  GA    Anesthesiology CETIRIZINE CETIRIZINE   10     20.0  5        2021
+    34  ME    Geriatrics     ULTRAM     TRAMADOL     4      20.0  2        2021
+    34  ME    Geriatrics     ZYRTEC     CETIRIZINE   0      0.0   0        2021
+"""
+
+
 @pytest.fixture(scope="session")
 def silver(spark):
-    """Three clean claims: a brand, a generic and a pain specialist."""
+    """The table above as Silver claims."""
+    rows = []
+    for line in CLAIMS.strip().splitlines()[1:]:
+        npi, state, kind, brand, generic, claims, cost, patients, year = line.split()
+        n, usd = int(claims), float(cost)
+        rows.append((int(npi), f"{state} CITY", state, kind, brand, generic, n, usd, int(patients),
+                     int(year), brand == generic, round(usd / n, 2) if n else 0.0))
     return spark.createDataFrame(
-        [
-            (2101, "TULSA", "OK", "Internal Medicine", "ZESTRIL", "LISINOPRIL", 40, 320.0, 16, 2022,
-             False, 8.0),
-            (2102, "NORMAN", "OK", "Oncology", "METFORMIN", "METFORMIN", 60, 90.0, 24, 2022, True,
-             1.5),
-            (2103, "BOISE", "ID", "Pain Management", "NUCYNTA", "TAPENTADOL", 25, 900.0, 10, 2022,
-             False, 36.0),
-        ],
-        "prscrbr_npi long, prscrbr_city string, prscrbr_state_abrvtn string, prscrbr_type string, "
-        "brnd_name string, gnrc_name string, tot_clms long, tot_drug_cst double, tot_benes long, "
-        "year int, is_generic boolean, avg_cost_per_claim double")
+        rows, "prscrbr_npi long, prscrbr_city string, prscrbr_state_abrvtn string, prscrbr_type "
+        "string, brnd_name string, gnrc_name string, tot_clms int, tot_drug_cst double, tot_benes "
+        "int, year int, is_generic boolean, avg_cost_per_claim double")

@@ -95,10 +95,13 @@ def test_landing_union_fills_missing_columns(spark):
 
 
 def test_staging_names_and_classes(spark, silver):
-    staged = staging.stg_prescriber_drug(silver.withColumn("_silver_ts", F.current_timestamp()))
-    rows = {r.prescriber_npi: r for r in staging.classify_claims(staged).collect()}
-    assert rows[2103].is_pain_management_specialty and not rows[2101].is_pain_management_specialty
-    assert rows[2101].cost_tier == "low" and rows[2103].cost_tier == "medium"
+    dearer = silver.withColumns({"_silver_ts": F.current_timestamp(),
+                                 "avg_cost_per_claim": F.col("avg_cost_per_claim") * 4})
+    staged = staging.stg_prescriber_drug(dearer)
+    rows = staging.classify_claims(staged).collect()
+    assert {r.prescriber_npi for r in rows if r.is_pain_management_specialty} == {32}
+    assert {(r.brand_name, r.cost_tier) for r in rows if r.claim_year == 2020} == {
+        ("ALLEGRA", "medium"), ("CETIRIZINE", "low")}
     assert dict(staged.dtypes)["total_claims"] == "decimal(18,0)"
 
 

@@ -13,39 +13,48 @@ PEOPLE = ("prscrbr_npi long, prscrbr_last_org_name string, prscrbr_first_name st
 
 @pytest.fixture(scope="module")
 def people(spark):
-    return spark.createDataFrame(
-        [(2101, "A", "A", "OK", "Internal Medicine", "TULSA"),
-         (2102, "B", "B", "OK", "Oncology", "NORMAN")], PEOPLE)
+    return spark.createDataFrame([(31, "A", "A", "GA", "Dermatology", "GA CITY"),
+                                  (32, "B", "B", "GA", "Anesthesiology", "GA CITY")], PEOPLE)
 
 
-def test_drug_sums(silver):
-    rows = {r.gnrc_name: r for r in gold.drug_summary(silver).collect()}
-    assert rows["LISINOPRIL"].total_claims == 40 and rows["LISINOPRIL"].total_cost_usd == 320.0
+def test_drugs_by_year_with_ties(silver):
+    rows = {(r.brnd_name, r.year): r for r in gold.drug_summary(silver).collect()}
+    allegra = rows["ALLEGRA", 2020]
+    assert (allegra.total_claims, allegra.total_cost_usd, allegra.unique_prescribers) == (20, 105.0, 2)
     assert {k: r.cost_rank for k, r in rows.items()} == {
-        "TAPENTADOL": 1, "LISINOPRIL": 2, "METFORMIN": 3}
+        ("ALLEGRA", 2020): 1, ("CETIRIZINE", 2020): 2, ("CETIRIZINE", 2021): 1, ("ULTRAM", 2021): 1,
+        ("ZYRTEC", 2021): 3}
 
 
-def test_state_sums_and_pain_claims(silver):
-    rows = {r.state_abrvtn: r for r in gold.state_kpi(silver).collect()}
-    assert rows["OK"].total_cost_usd == 410.0
-    assert (rows["OK"].pain_specialty_claims, rows["ID"].pain_specialty_claims) == (0, 25)
-    assert rows["ID"].national_rank == 1
-    assert rows["OK"].cost_per_beneficiary == 10.25
+def test_states_by_year_with_ties_and_pain_claims(silver):
+    rows = {(r.state_abrvtn, r.year): r for r in gold.state_kpi(silver).collect()}
+    assert {k: (r.total_cost_usd, r.cost_per_beneficiary, r.pain_specialty_claims, r.national_rank)
+            for k, r in rows.items()} == {
+        ("GA", 2020): (150.0, 15.0, 8, 1), ("GA", 2021): (20.0, 4.0, 10, 1),
+        ("ME", 2021): (20.0, 10.0, 0, 1)}
 
 
-def test_zero_denominators_give_null(spark, silver, people):
-    none = silver.withColumns({"tot_clms": F.lit(0), "tot_benes": F.lit(0)})
-    assert gold.state_kpi(none).filter("cost_per_beneficiary IS NOT NULL").count() == 0
-    assert gold.prescriber_summary(none, people).filter("generic_rate IS NOT NULL").count() == 0
+def test_claims_without_a_state_are_a_state_of_their_own(silver):
+    lost = silver.filter("prscrbr_npi = 34").withColumn(
+        "prscrbr_state_abrvtn", F.lit(None).cast("string"))
+    rows = {(r.state_abrvtn, r.year): r for r in gold.state_kpi(silver.unionByName(lost)).collect()}
+    assert rows[None, 2021].total_claims == 4 and rows["ME", 2021].total_claims == 4
+    assert rows[None, 2021].national_rank == 1
+
+
+def test_zero_denominators_give_null(silver, people):
+    nobody = silver.filter("tot_benes = 0 AND tot_clms = 0")
+    assert gold.state_kpi(nobody).filter("cost_per_beneficiary IS NOT NULL").count() == 0
+    assert gold.prescriber_summary(nobody, people).filter("generic_rate IS NOT NULL").count() == 0
 
 
 def test_left_and_inner_join(silver, people):
-    left = {r.prscrbr_npi: r for r in gold.prescriber_summary(silver, people).collect()}
-    inner = gold.prescriber_summary(silver, people, "inner")
-    assert set(left) == {2101, 2102, 2103} and inner.count() == 2
-    assert left[2103].prscrbr_state_abrvtn is None and left[2103].state_rank == 1
-    assert left[2101].state_rank == 1 and left[2102].state_rank == 2
-    assert left[2102].generic_rate == 100.0
+    left = {(r.prscrbr_npi, r.year): r for r in gold.prescriber_summary(silver, people).collect()}
+    inner = gold.prescriber_summary(silver, people, "inner").collect()
+    assert {(r.prscrbr_npi, r.year) for r in inner} == set(left) - {(34, 2021)}
+    assert left[34, 2021].prscrbr_state_abrvtn is None
+    assert {k: (r.generic_rate, r.state_rank) for k, r in left.items()} == {
+        (31, 2020): (71.43, 1), (32, 2020): (0.0, 2), (32, 2021): (100.0, 1), (34, 2021): (0.0, 1)}
 
 
 def test_staged_summary_is_the_same(silver, people):
@@ -55,11 +64,11 @@ def test_staged_summary_is_the_same(silver, people):
 
 
 def test_state_reference_adds_no_rows(spark, silver):
-    states = spark.createDataFrame([("OK", "Oklahoma")] * 50 + [("ID", "Idaho")],
+    states = spark.createDataFrame([("GA", "Georgia")] * 50 + [("ME", "Maine")],
                                    "state_abrvtn string, state_name string")
     joined = gold.state_kpi(silver, states)
     assert joined.count() == gold.state_kpi(silver).count()
-    assert {r.state_name for r in joined.collect()} == {"Oklahoma", "Idaho"}
+    assert {r.state_name for r in joined.collect()} == {"Georgia", "Maine"}
 
 
 def test_gold_never_has_more_rows_than_silver(silver):
@@ -110,8 +119,8 @@ def test_rank_over_aggregate_in_sql(spark, silver):
     from scriptwell.operators import staging
     staging.classify_claims(staging.stg_prescriber_drug(
         silver.withColumn("_silver_ts", F.current_timestamp()))).createOrReplaceTempView("cc")
-    rows = {r.generic_name: r.cost_rank for r in spark.sql(gold.ranked_drug_sql("cc")).collect()}
-    assert rows == {"TAPENTADOL": 1, "LISINOPRIL": 2, "METFORMIN": 3}
+    ranks = sorted((r.claim_year, r.cost_rank) for r in spark.sql(gold.ranked_drug_sql("cc")).collect())
+    assert ranks == [(2020, 1), (2020, 2), (2021, 1), (2021, 1), (2021, 3)]
 
 
 def test_sums_keep_small_and_large_values(spark):

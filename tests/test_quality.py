@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +99,11 @@ def test_mean_and_min_on_empty_table_fail(spark):
     empty = spark.createDataFrame([], "v double")
     assert set(passed(q.run_checks(empty, "s", "t", [
         q.expect_mean_between("v", 1, 2), q.expect_min_greater_than("v", 0)])).values()) == {False}
+
+
+def test_gate_inside_the_plan(silver, folder):
+    assert q.gated(silver, q.silver_suite(silver)).count() == silver.count()
+    bad = silver.drop("gnrc_name")
+    with pytest.raises(Exception, match="critical checks failed: .*required_columns_present"):
+        q.gated(bad, q.silver_suite(bad)).write.parquet(f"{folder}/out")
+    assert not os.path.exists(f"{folder}/out/_SUCCESS")

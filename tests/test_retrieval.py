@@ -165,3 +165,40 @@ def test_bad_vectors_are_told_and_do_not_stop_a_search(spark):
     assert [r.id for r in sorted(found, key=lambda r: r["rank"])] == ["a", "g"]
     told = {r.id: r.reason for r in retrieval.rejected_vectors(docs, 2).collect()}
     assert told == {"b": "not finite", "c": "not finite", "d": "length", "e": "null", "f": "null"}
+
+
+def test_questions_as_a_table_in_blocks(spark, monkeypatch):
+    """Blocks, running best rows over many batches, ties by id, and questions that can't be asked."""
+    monkeypatch.setattr(retrieval, "QUESTIONS_PER_PASS", 4)
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-2, 3, size=(300, 3)).astype(float)
+    docs = collection(spark, [doc(i, v.tolist()) for i, v in enumerate(vectors)], 5)
+    asked = {f"q{i}": vectors[i].tolist() for i in range(0, 40, 3)}
+    rows = [*asked.items(), ("null", None), ("hole", [None, 1.0, 0.0]), ("nan", [float("nan")] * 3),
+            ("short", [1.0])]
+    table = spark.createDataFrame(rows, "question_id string, embedding array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = retrieval.search(docs, table, 6).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = retrieval.search(docs, asked, 6).collect()
+    key = lambda r: (r.question_id, r["rank"], r.id, r.similarity)
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 6 * len(asked)
+    unit = lambda v: v / (np.linalg.norm(v, axis=-1, keepdims=True) + 1e-30)
+    for name, q in asked.items():
+        s = np.round(unit(vectors) @ unit(np.array(q)), 9)
+        best = sorted(range(300), key=lambda i: (-s[i], str(i)))[:6]
+        assert [r[2] for r in sorted(map(key, got)) if r[0] == name] == [str(i) for i in best]
+
+
+def test_bundle_of_a_question_table_scores_once(spark):
+    docs = collection(spark, [doc(1, [1.0, 0.0], table="T"), doc(2, [0.0, 1.0])])
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("none", None)],
+                                  "question_id string, embedding array<double>")
+    bundle = retrieval.context_bundle(asked, docs, docs, docs)
+    rows = {r.question_id: r for r in bundle.collect()}
+    assert (rows["a"].knowledge_chunks, rows["a"].query_examples) == (1, 1)
+    assert rows["none"].domain_knowledge == [] and rows["none"].schema_chunks == 0
+    plan = bundle._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -99,20 +99,77 @@ def test_partitioned_gold_loads_with_its_partition_columns(spark, folder, silver
     lake.write_gold(gold.gold_stamp(gold.state_kpi(silver)), folder, "state_kpi", "d")
     stored = lake.read_layer(spark, folder, "gold", "state_kpi", "d")
     loaded = catalog.match_by_name(stored, schemas.STATE_KPI)
-    assert [r.year for r in loaded.select("year").distinct().collect()] == [2022]
+    assert sorted(r.year for r in loaded.select("year").distinct().collect()) == [2020, 2021]
 
 
 def test_read_with_schema(spark, folder, silver):
     lake.write_silver(silver, folder, "prescriber_drug", "d")
     read = lake.read_layer(spark, folder, "silver", "prescriber_drug", "d",
                            schemas.SILVER_PRESCRIBER_DRUG)
-    assert read.count() == 3 and read.filter("tot_30day_fills IS NOT NULL").count() == 0
+    assert read.count() == 6 and read.filter("tot_30day_fills IS NOT NULL").count() == 0
+
+
+def test_wrong_typed_columns_are_refused_by_name(spark, folder):
+    bad = testdata.claims(spark, SF).withColumns({
+        "tot_clms": F.col("tot_clms").cast("string"), "note": F.lit("x")}).drop("tot_day_suply")
+    lake.write_bronze(bad, folder, "prescriber_drug", "d")
+    with pytest.raises(lake.BrokenContract, match="tot_clms: declared int, stored string"):
+        lake.read_layer(spark, folder, "bronze", "prescriber_drug", "d")
+    with pytest.raises(lake.BrokenContract):
+        layers.build_silver(spark, folder, "d")
+    verdicts = {r.column: r.verdict for r in lake.layer_contract(
+        spark, folder, "bronze", "prescriber_drug", "d").collect()}
+    assert {k: v for k, v in verdicts.items() if v != "ok"} == {
+        "tot_clms": "wrong type", "note": "extra", "tot_day_suply": "absent"}
+    good = bad.withColumn("tot_clms", F.col("tot_clms").cast("int"))
+    lake.write_bronze(good, folder, "prescriber_drug", "e")
+    read = lake.read_layer(spark, folder, "bronze", "prescriber_drug", "e")
+    assert "note" not in read.columns and read.filter("tot_day_suply IS NOT NULL").count() == 0
+
+
+def test_folders_get_few_files(spark, folder):
+    """Rows of one folder come from many tasks and end in few files; all of them, null folder too."""
+    df = spark.range(0, 20_000, 1, 40).select(
+        (F.col("id") % 3 + 2020).cast("int").alias("year"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("S"), F.col("id") % 7)).alias("state"), "id")
+    assert lake.write_counted(df, f"{folder}/t", ["year", "state"]) == 20_000
+    stored = spark.read.parquet(f"{folder}/t")
+    assert stored.count() == 20_000 and stored.filter("state IS NULL").count() == 2858
+    files = stored.select("year", "state", F.input_file_name().alias("f")).distinct() \
+        .groupBy("year", "state").count()
+    assert files.count() == 21 and files.filter("count > 2").count() == 0
+
+
+def test_clustered_table_skips_files(spark):
+    df = spark.range(0, 40_000, 1, 8).select((F.col("id") * 7919 % 1000).alias("k"), "id")
+    name = f"clustered_{os.getpid()}"
+    table = catalog.materialize(df, name, "table", "k")
+    spread = table.groupBy(F.input_file_name()).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    ranges = sorted((r.lo, r.hi) for r in spread.collect())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    scan = table.filter("k = 5")
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,5)]" in \
+        scan._jdf.queryExecution().executedPlan().toString()
+    assert scan.count() == 40
+
+
+def test_lineage_comes_from_the_writes(spark):
+    """Counts of the stored events are those of the stored layers."""
+    built = layers.built_lake(spark, SF).collect()
+    rows = {f"lake/{r.layer}/{r.table}": r.rows for r in built}
+    from scriptwell.operators import lineage
+    events = spark.read.schema(schemas.LINEAGE_EVENT).parquet(f"{built[0].root}/lineage")
+    assert events.count() == 2 * (4 + 3)
+    up = {r.dataset: (r.distance, r.row_count)
+          for r in lineage.upstream_rows(events, "lake/gold/state_kpi").collect()}
+    assert up == {"lake/silver/prescriber_drug": (1, rows["lake/silver/prescriber_drug"]),
+                  "lake/bronze/prescriber_drug": (2, rows["lake/bronze/prescriber_drug"])}
 
 
 def test_materialize(spark, silver):
     assert catalog.materialize(silver, "m_inline", "ephemeral") is silver
-    assert catalog.materialize(silver, "m_view", "view").count() == 3
-    assert catalog.materialize(silver, "m_table", "table", "year").count() == 3
+    assert catalog.materialize(silver, "m_view", "view").count() == 6
+    assert catalog.materialize(silver, "m_table", "table", "year").count() == 6
     assert spark.catalog.tableExists("m_table")
     with pytest.raises(ValueError):
         catalog.materialize(silver, "m", "cube")

@@ -1,5 +1,7 @@
 import re
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -137,6 +139,19 @@ def test_word_overlap(spark):
     assert sorted((r.id, r.question_no) for r in rows) == [(1, 1), (2, 0), (2, 1)]
 
 
+@pytest.mark.parametrize("together", [1, 2, 100])
+def test_shared_tokens_of_two_tables(spark, together):
+    texts = ["the end of the road", "The road", None, "", "end!", "the the the", "Généric"]
+    asked = ["the end, the END", "road works", None, "", "généric the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    questions = spark.createDataFrame(list(enumerate(asked)), "q int, text string")
+    got = corpus.shared_tokens(docs, questions, "d", "q", rows_together=together).collect()
+    words = lambda t: set(re.findall(r"\w+", (t or "").lower()))
+    want = {(d, q): len(words(t) & words(a)) for d, t in enumerate(texts)
+            for q, a in enumerate(asked) if words(t) & words(a)}
+    assert {(r.doc_id, r.question_id): r.shared for r in got} == want and len(got) == len(want)
+
+
 def test_patterns_run_once_per_row(spark):
     df = spark.createDataFrame([("x",)], "text string")
     plan = corpus.findings_by_category(df, "text")._jdf.queryExecution().executedPlan().toString()
