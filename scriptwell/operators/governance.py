@@ -28,10 +28,18 @@ def get_phi_audit_logs(log: DataFrame, limit: int = 50) -> DataFrame:
 def append_access(spark: SparkSession, path: str, records: list[dict]) -> None:
     """Append access records, timed by the cluster and given an id."""
     given = [f for f in ACCESS_LOG if f.name not in ("log_id", "accessed_at")]
-    rows = spark.createDataFrame(
+    append_accesses(spark.createDataFrame(
         [Row(**{f.name: r.get(f.name) for f in given}) for r in records],
-        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given))
-    stamped = rows.withColumns({
+        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given)), path)
+
+
+def append_accesses(rows: DataFrame, path: str) -> None:
+    """Append a table of accesses, such as a micro-batch, in one write: ids and times are given by
+    the cluster, fields the rows lack are null."""
+    given = [f for f in ACCESS_LOG if f.name not in ("log_id", "accessed_at")]
+    stamped = rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in given]).withColumns({
         "log_id": F.expr("uuid()"),
         "accessed_at": F.current_timestamp().cast("timestamp_ntz"),
     })

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from scriptwell.fixed_values import DEFAULT_ROW_CAP, FORBIDDEN_SQL_WORDS
@@ -41,6 +42,26 @@ def run_guarded(spark: SparkSession, sql: str, params: dict | None = None) -> Da
     return run_query(spark, validate_sql(sql), params)
 
 
+def run_logged(spark: SparkSession, path: str, username: str, question: str, sql: str,
+               params: dict | None = None) -> DataFrame | None:
+    """Run a guarded statement and append how it went to the log: success with its rows, rejected
+    by the guard, or failed in the engine. The result, or None if there is none."""
+    result, rows, status = None, 0, "success"
+    try:
+        result = run_guarded(spark, sql, params)
+        seen = Observation()
+        # All columns are computed, so that what fails in them is told.
+        result.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode(
+            "overwrite").save()
+        rows = seen.get["rows"]
+    except UnsafeSQLError:
+        status = "rejected"
+    except PySparkException:
+        result, status = None, "failed"
+    log_query(spark, path, username, question, sql, rows, status)
+    return result
+
+
 def query_log_row(spark: SparkSession, username: str, question: str, sql: str,
                   row_count: int, status: str) -> DataFrame:
     """One log entry, ready to append; status is success, rejected or failed."""

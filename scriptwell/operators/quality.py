@@ -170,24 +170,36 @@ def expect_min_greater_than(column: str, bound: float) -> Check:
 
 # ---- running -------------------------------------------------------------------------
 
+Suite = tuple[str, str, Sequence[Check]]
+
+
 def run_checks(df: DataFrame, suite: str, table: str, checks: Sequence[Check]) -> DataFrame:
     """One result row per check. Where the table lacks a column, a check that skips has no row and
     any other fails."""
-    absent = [missing_columns(c.needs, df.columns) for c in checks]
-    measures = [c.measure.alias(f"m{i}") for i, c in enumerate(checks) if not absent[i]]
+    return run_suites(df, [(suite, table, checks)])
+
+
+def run_suites(df: DataFrame, suites: Sequence[Suite]) -> DataFrame:
+    """Result rows of several suites over one table: (suite, name of the table in it, checks).
+
+    All measures are one aggregate, which computes those that suites share once.
+    """
+    checks = [(suite, table, c) for suite, table, own in suites for c in own]
+    absent = [missing_columns(c.needs, df.columns) for _, _, c in checks]
+    measures = [c.measure.alias(f"m{i}") for i, (_, _, c) in enumerate(checks) if not absent[i]]
     measured = df.agg(*measures, _all_rows().alias("rows"))
     results = [
         F.struct(
+            F.lit(suite).alias("suite"), F.lit(table).alias("table"),
             F.lit(c.name).alias("check_name"),
             (F.lit(False) if absent[i] else c.verdict(F.col(f"m{i}"))).alias("passed"),
             F.lit(c.severity).alias("severity"),
             (F.lit(f"Column absent: {', '.join(absent[i])}") if absent[i]
              else c.details(F.col(f"m{i}"))).alias("details"),
-        ) for i, c in enumerate(checks) if not (absent[i] and c.skips)
+        ) for i, (suite, table, c) in enumerate(checks) if not (absent[i] and c.skips)
     ]
     return measured.select(F.inline(F.array(*results))).select(
-        F.lit(suite).alias("suite"), F.lit(table).alias("table"),
-        "check_name", "passed", "severity", "details")
+        "suite", "table", "check_name", "passed", "severity", "details")
 
 
 def _union(reports: Sequence[DataFrame]) -> DataFrame:
@@ -203,18 +215,18 @@ def bronze_suite(tables: dict[str, DataFrame],
     ])
 
 
-def silver_suite(claims: DataFrame) -> DataFrame:
-    return run_checks(claims, "silver", "prescriber_drug", [
+def _silver_suite(claims: DataFrame) -> Suite:
+    return "silver", "prescriber_drug", [
         required_columns(claims, SILVER_REQUIRED_COLUMNS),
         no_duplicate_keys(CLAIM_KEY),
         value_range("tot_clms", 0, 10_000_000),
         value_range("avg_cost_per_claim", 0, 500_000),
         valid_state_codes("prscrbr_state_abrvtn"),
-    ])
+    ]
 
 
-def silver_expectations(claims: DataFrame, rows: tuple[int, int] = SILVER_ROW_BOUNDS) -> DataFrame:
-    return run_checks(claims, "silver_expectations", "prescriber_drug", [
+def _silver_expectations(claims: DataFrame, rows: tuple[int, int]) -> Suite:
+    return "silver_expectations", "prescriber_drug", [
         *[expect_column_to_exist(claims, c) for c in SILVER_REQUIRED_COLUMNS],
         expect_not_null("prscrbr_npi"),
         expect_not_null("gnrc_name"),
@@ -226,7 +238,24 @@ def silver_expectations(claims: DataFrame, rows: tuple[int, int] = SILVER_ROW_BO
         expect_in_set("is_generic", [True, False]),
         expect_mean_between("avg_cost_per_claim", 1, 5000),
         expect_row_count_between(*rows),
-    ])
+    ]
+
+
+def silver_suite(claims: DataFrame) -> DataFrame:
+    return run_suites(claims, [_silver_suite(claims)])
+
+
+def silver_expectations(claims: DataFrame, rows: tuple[int, int] = SILVER_ROW_BOUNDS) -> DataFrame:
+    return run_suites(claims, [_silver_expectations(claims, rows)])
+
+
+def all_suites(claims: DataFrame, models: dict[str, DataFrame],
+               rows: tuple[int, int] = SILVER_ROW_BOUNDS) -> DataFrame:
+    """Results of every suite on Silver claims and of the model tests; each table is scanned once."""
+    shared = "silver_prescriber_drug"
+    return run_suites(claims, [_silver_suite(claims), _silver_expectations(claims, rows),
+                               _model_suite(shared)]).unionByName(
+        all_model_tests({m: df for m, df in models.items() if m != shared}))
 
 
 # Model tests by table, under this library's own column names.
@@ -245,7 +274,7 @@ MODEL_TESTS = {
 }
 
 
-def model_tests(df: DataFrame, model: str) -> DataFrame:
+def _model_suite(model: str) -> Suite:
     null_test, not_null, ranges, unique = MODEL_TESTS[model]
     checks = [null_test(c) for c in not_null]
     checks += [expect_between(c, low, high) for c, low, high in ranges]
@@ -253,7 +282,11 @@ def model_tests(df: DataFrame, model: str) -> DataFrame:
         checks.append(expect_compound_unique(unique))
     if model == "state_kpi":
         checks.append(expect_in_set("state_abrvtn", STATE_CODES))
-    return run_checks(df, "model_tests", model, checks)
+    return "model_tests", model, checks
+
+
+def model_tests(df: DataFrame, model: str) -> DataFrame:
+    return run_suites(df, [_model_suite(model)])
 
 
 def all_model_tests(models: dict[str, DataFrame]) -> DataFrame:

@@ -462,12 +462,16 @@ def dq_silver_expectations(spark, sf):
     return quality.silver_expectations(layers.silver_claims(spark, sf))
 
 
-def _model_results(spark, sf):
-    return quality.all_model_tests({
+def _models(spark, sf):
+    return {
         "silver_prescriber_drug": layers.silver_claims(spark, sf),
         "silver_prescriber": layers.silver_prescribers(spark, sf),
         **layers.gold_tables(spark, sf),
-    })
+    }
+
+
+def _model_results(spark, sf):
+    return quality.all_model_tests(_models(spark, sf))
 
 
 @query
@@ -491,10 +495,8 @@ def dq_declared(spark, sf):
 
 @query
 def dq_scorecard(spark, sf):
-    silver = layers.silver_claims(spark, sf)
-    return quality.scorecard(
-        quality.silver_suite(silver).unionByName(quality.silver_expectations(silver))
-        .unionByName(_model_results(spark, sf)))
+    return quality.scorecard(quality.all_suites(
+        layers.silver_claims(spark, sf), _models(spark, sf)))
 
 
 @query
@@ -908,11 +910,31 @@ def request_counts(spark, sf):
 
 @query
 def query_volume(spark, sf):
-    """Statements by outcome; server errors of the access log stand for failed ones."""
-    log = testdata.access_log(spark, sf).select(
-        F.when(F.col("status_code") >= 500, "failed").when(F.col("username").isNull(), "rejected")
-        .otherwise("success").alias("status"))
-    return governance.query_volume(log)
+    """Statements by outcome, with their rows, from the log that running them wrote."""
+    view, path = f"drugs_{uuid.uuid4().hex}", f"{fresh_path(spark, 'queries')}/log"
+    _drugs(spark, sf).createOrReplaceTempView(view)
+    for sql in (f"SELECT gnrc_name, total_claims FROM {view}",
+                f"SELECT year, COUNT(*) FROM {view} GROUP BY year",
+                f"SELECT gnrc_name FROM {view} WHERE total_claims < 0",
+                f"DROP VIEW {view}", f"SELECT 1; DELETE FROM {view}",
+                f"SELECT no_such_column FROM {view}"):
+        guarded_sql.run_logged(spark, path, "analyst", "", sql)
+    log = spark.read.schema(schemas.QUERY_LOG).parquet(path)
+    return governance.query_volume(log).join(
+        log.groupBy("status").agg(F.sum("row_count").alias("rows")), "status")
+
+
+@query
+def access_appended(spark, sf):
+    """Accesses appended to the log in two batches, read back with the ids and times given there."""
+    path = f"{fresh_path(spark, 'accesses')}/log"
+    log = testdata.access_log(spark, sf).drop("log_id", "accessed_at")
+    for failed in (True, False):
+        governance.append_accesses(log.filter((F.col("status_code") >= 500) == failed), path)
+    stored = spark.read.schema(schemas.ACCESS_LOG).parquet(path)
+    return stored.groupBy("path", "status_code").agg(
+        F.count(F.lit(1)).alias("accesses"), F.count_distinct("log_id").alias("ids"),
+        F.count("accessed_at").alias("timed"), F.count("username").alias("named"))
 
 
 @query

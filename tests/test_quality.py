@@ -68,6 +68,17 @@ def test_one_scan_per_suite(silver):
     assert plan.count("Scan ExistingRDD") == 1
 
 
+def test_all_suites_scan_a_table_once(silver):
+    people = silver.select("prscrbr_npi").distinct()
+    results = q.all_suites(silver, {"silver_prescriber": people, "silver_prescriber_drug": silver},
+                           (1, 10))
+    apart = q.silver_suite(silver).unionByName(q.silver_expectations(silver, (1, 10))).unionByName(
+        q.all_model_tests({"silver_prescriber": people, "silver_prescriber_drug": silver}))
+    assert sorted(map(tuple, results.collect())) == sorted(map(tuple, apart.collect()))
+    plan = results._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2
+
+
 def test_gate(silver):
     assert q.gate(q.silver_suite(silver)) == []
     warned = silver.withColumn("prscrbr_state_abrvtn", F.lit("ZZ"))

@@ -135,3 +135,15 @@ def test_guarded_rows_and_log(spark, folder):
     guarded_sql.log_query(spark, f"{folder}/log", "ann", "how many", "SELECT 1", 1, "success")
     guarded_sql.log_query(spark, f"{folder}/log", "ann", "drop", "DROP", 0, "rejected")
     assert spark.read.parquet(f"{folder}/log").groupBy("status").count().count() == 2
+
+
+def test_logged_runs(spark, folder):
+    """Each outcome leaves its row; a capped statement counts the rows it gave."""
+    spark.range(500).createOrReplaceTempView("many_rows")
+    run = lambda sql: guarded_sql.run_logged(spark, f"{folder}/log", "ann", "?", sql)
+    assert run("SELECT id FROM many_rows").count() == 200
+    assert run("DELETE FROM many_rows") is None and run("SELECT x FROM many_rows") is None
+    assert run("SELECT CAST(raise_error('no') AS INT) AS x FROM many_rows") is None
+    log = spark.read.parquet(f"{folder}/log").collect()
+    assert sorted((r.status, r.row_count) for r in log) == [
+        ("failed", 0), ("failed", 0), ("rejected", 0), ("success", 200)]
