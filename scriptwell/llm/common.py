@@ -55,3 +55,13 @@ def by_size(texts: list[str], most: int) -> Iterator[range]:
         held += len(text)
     if first < len(texts):
         yield range(first, len(texts))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Helper column names that differ, whatever the case, from all columns of an input."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptwell.llm.common import identified
+from scriptwell.llm.common import identified, unused
 from scriptwell.sources.workspace import write_once
 
 
@@ -39,7 +39,7 @@ def winnowed(docs: DataFrame, min_lines: int, gram_lines: int) -> DataFrame:
 def later_stretches(named: DataFrame, min_lines: int, gram_lines: int) -> DataFrame:
     """doc_id, text_hash, ranges: the starts of the stretches that an earlier place holds."""
     stretches = write_once(winnowed(named, min_lines, gram_lines), "line-stretches")
-    # What is joined back is stored first, so that Spark can split a task with a hot key.
+    # A gram of very many stretches is joined and grouped in one task.
     again = write_once(stretches.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
                        .select("gram"), "line-grams")
     joined = stretches.join(again, "gram")
@@ -61,25 +61,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts earlier: in a document with a smaller id, or higher up in the same one. Stretches are
     judged on the input. Lines end at newlines; an empty text is one empty line, a null text has
     none and stays null. Null ids come after all others. Rows that repeat id and text are one
-    document and keep the same lines. Documents shorter than min_lines never change. An empty
-    table gives an empty result.
+    document and keep the same lines. Documents shorter than min_lines never change. A very long
+    text is one row of one task together with its lines. An empty table gives an empty result.
     """
     named = identified(docs, id_col, text_col)
     ranges = later_stretches(named, min_lines, gram_lines)
-    right = ranges.select(F.col("doc_id").alias("_range_id"),
-                          F.col("text_hash").alias("_range_hash"), F.col("ranges").alias("_starts"))
-    joined = docs.join(right, docs[id_col].eqNullSafe(F.col("_range_id"))
-                       & (F.xxhash64(docs[text_col]) == F.col("_range_hash")), "left")
+    own_id, own_hash, starts, all_lines, left = unused(
+        docs.columns, "_range_id", "_range_hash", "_starts", "_lines", "_kept")
+    right = ranges.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash),
+                          F.col("ranges").alias(starts))
+    joined = docs.join(right, docs[id_col].eqNullSafe(F.col(own_id))
+                       & (F.xxhash64(docs[text_col]) == F.col(own_hash)), "left")
 
     lines = F.split(F.col(text_col), "\n", -1)
-    covered = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (min_lines - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    return joined.withColumn("_lines", lines) \
-        .withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept)) \
+    covered = F.flatten(F.transform(starts, lambda s: F.sequence(s, s + (min_lines - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), covered)
+    return joined.withColumn(all_lines, lines) \
+        .withColumn(left, F.when(F.col(starts).isNotNull(), kept)) \
         .withColumns({
-            text_col: F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(
-                F.transform("_kept", lambda i: F.get("_lines", i)), "\n")),
-            "n_lines": F.greatest(F.size("_lines"), F.lit(0)).cast("long"),
-            "n_removed": F.when(F.col("_kept").isNull(), 0)
-            .otherwise(F.size("_lines") - F.size("_kept")).cast("long")}) \
-        .drop("_range_id", "_range_hash", "_starts", "_lines", "_kept")
+            text_col: F.when(F.col(left).isNull(), F.col(text_col)).otherwise(F.array_join(
+                F.transform(left, lambda i: F.get(all_lines, i)), "\n")),
+            "n_lines": F.greatest(F.size(all_lines), F.lit(0)).cast("long"),
+            "n_removed": F.when(F.col(left).isNull(), 0)
+            .otherwise(F.size(all_lines) - F.size(left)).cast("long")}) \
+        .drop(own_id, own_hash, starts, all_lines, left)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptwell.llm.common import WORD, text_or_empty
+from scriptwell.llm.common import WORD, text_or_empty, unused
 from scriptwell.sources.workspace import write_once
 
 KEY_RANGE = 16**15
@@ -111,15 +111,17 @@ def mixture(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """The mixed corpus: each document as often as it was taken, the one at a source's cut
     shortened to its first words (joined by one space). Columns are those of docs."""
+    id_, hash_, size_, taken_, copy_ = unused(
+        docs.columns, "_id", "_hash", "_size", "_taken", "_copy")
     counts = taken.where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
-        F.col("size").alias("_size"), F.col("taken").alias("_taken")).distinct()
-    found = docs.join(counts, docs[id_col].eqNullSafe(F.col("_id"))
-                      & (F.xxhash64(docs[text_col]) == F.col("_hash")))
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    part = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_),
+        F.col("size").alias(size_), F.col("taken").alias(taken_)).distinct()
+    found = docs.join(counts, docs[id_col].eqNullSafe(F.col(id_))
+                      & (F.xxhash64(docs[text_col]) == F.col(hash_)))
+    times = F.ceil(F.col(taken_) / F.col(size_)).cast("int")
+    part = F.col(taken_) - (F.col(copy_) - 1) * F.col(size_)
     words = F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)),
                     F.lit(1), part.cast("int"))
-    cut = F.when(part < F.col("_size"), F.array_join(words, " ")).otherwise(F.col(text_col))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))) \
+    cut = F.when(part < F.col(size_), F.array_join(words, " ")).otherwise(F.col(text_col))
+    return found.withColumn(copy_, F.explode(F.sequence(F.lit(1), times))) \
         .withColumn(text_col, cut).select(*docs.columns)

@@ -21,6 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptwell.llm.common import unused
 from scriptwell.llm.components import components
 from scriptwell.sources.workspace import write_once
 
@@ -223,9 +224,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The documents that represent their group, all columns kept. Rows equal in id and text to
     the representative are merged into one."""
     groups = write_once(simhash_groups(docs, id_col, text_col, shingle, distance), "groups")
-    kept = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")) \
-        .agg(F.count("*").alias("_rows"), F.max("is_representative").alias("_kept")).where("_kept")
-    found = docs.join(kept.drop("_kept"), docs[id_col].eqNullSafe(F.col("_id"))
-                      & (F.xxhash64(docs[text_col]) == F.col("_hash")))
-    repeated = found.where("_rows > 1").dropDuplicates(["_id", "_hash"])
-    return found.where("_rows = 1").unionByName(repeated).select(*docs.columns)
+    own_id, own_hash, copies = unused(docs.columns, "_id", "_hash", "_rows")
+    kept = groups.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)) \
+        .agg(F.count("*").alias(copies), F.max("is_representative").alias("kept")) \
+        .where("kept").drop("kept")
+    found = docs.join(kept, docs[id_col].eqNullSafe(F.col(own_id))
+                      & (F.xxhash64(docs[text_col]) == F.col(own_hash)))
+    repeated = found.where(F.col(copies) > 1).dropDuplicates([own_id, own_hash])
+    return found.where(F.col(copies) == 1).unionByName(repeated).select(*docs.columns)
