@@ -33,12 +33,14 @@ ORACLE = {
         FROM t LEFT JOIN kept USING (doc_id)""",
     "op6_line_dedup": """
         WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-        win AS (SELECT doc_id, s, array_to_string(ls[s:s + 2], chr(10)) AS k
-                FROM t, unnest(range(1, len(ls) - 1)) u(s)
-                WHERE len(list_filter(ls[s:s + 2], lambda x: trim(x, ' ') <> '')) > 0),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM win),
-        gone AS (SELECT DISTINCT doc_id, s + j AS i FROM ranked, unnest([0, 1, 2]) v(j)
-                 WHERE r > 1),
+        win AS (SELECT doc_id, s, r, array_to_string(ls[s:s + r - 1], chr(10)) AS k
+                FROM t, unnest([1, 2, 3]) v(r), unnest(range(1, len(ls) - r + 2)) u(s)
+                WHERE len(list_filter(ls[s:s + r - 1], lambda x: length(trim(x, ' '))
+                          >= CASE WHEN r = 3 THEN 1 ELSE 40 END)) > 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY doc_id, s) AS place
+                   FROM win),
+        gone AS (SELECT DISTINCT doc_id, s + j AS i FROM ranked, unnest(range(0, r)) w(j)
+                 WHERE place > 1),
         every AS (SELECT doc_id, i, ls[i] AS line FROM t, unnest(range(1, len(ls) + 1)) u(i)),
         kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n
                  FROM every ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)

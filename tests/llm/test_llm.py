@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from plain_lines import gone_lines
 
 from scriptwell.llm import (
     ann,
@@ -225,25 +226,36 @@ def test_repeated_windows_of_a_suffix_array():
         assert suffixes.repeated(data, ends, 13).tolist() == want
 
 
-def test_line_dedup(docs, rows):
+@pytest.mark.parametrize("limits", [{}, {"long_chars": 6}, {"min_lines": 2, "long_chars": 1_000},
+                                    {"min_lines": 4, "long_chars": 15}])
+def test_line_dedup(docs, rows, limits):
     texts = [(place(d), t) for d, t, _ in rows]
-    first = {}
-    for d, t in texts:
-        ls = [] if t is None else t.split("\n")
-        for s in range(len(ls) - 2):
-            first[tuple(ls[s:s + 3])] = min(first.get(tuple(ls[s:s + 3]), (d, s)), (d, s))
     want = []
-    for d, t in texts:
+    for (d, t), gone in zip(texts, gone_lines(texts, **limits), strict=True):
         ls = [] if t is None else t.split("\n")
-        gone = {i for s in range(len(ls) - 2) if any(x.strip(" ") for x in ls[s:s + 3])
-                and first[tuple(ls[s:s + 3])] < (d, s) for i in range(s, s + 3)}
         kept = None if t is None else "\n".join(x for i, x in enumerate(ls) if i not in gone)
         want.append((d if d < 2**63 - 1 else None, kept, len(ls), len(gone), "clash"))
-    found = lines.line_dedup(docs)
+    found = lines.line_dedup(docs, **limits)
     assert collected(found, "doc_id", "text", "n_lines", "n_removed", "size") == \
         sorted(want, key=repr)
 
 
+def test_line_dedup_of_frequent_and_tied_lines(spark):
+    """One line in every document, between lines that differ, blank or repeat; runs at both ends."""
+    r = random.Random(3)
+    common, tail = "a line that very many of these documents hold", "Yes."
+    pool = [common, tail, "", "  ", "no", "another line of more than forty characters, rarer"]
+    texts = [(i, "\n".join(r.choices(pool, (6, 3, 2, 1, 2, 1), k=r.randint(1, 9))))
+             for i in range(300)]
+    texts += [(400, common), (401, f"{common}\n{tail}"), (402, f"{tail}\n{common}"), (403, tail)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in lines.line_dedup(frame).collect()}
+    for (d, t), gone in zip(texts, gone_lines(texts), strict=True):
+        assert got[d].text == "\n".join(
+            x for i, x in enumerate(t.split("\n")) if i not in gone), (d, t)
+        assert got[d].n_removed == len(gone)
+
+
 def test_mixing(docs, rows):
     found = mixing.mix_sources(docs, rows_per_range=5)
     again = mixing.mix_sources(docs.repartition(2), rows_per_range=5)

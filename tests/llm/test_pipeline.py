@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from plain_lines import gone_lines
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -59,17 +60,10 @@ def test_stages(spark, sf_dir):
     assert sorted(map(key, good)) == sorted(
         key(r) for r in before if verdict[hashes[r["text"]]] == 1)
 
-    first = {}
-    for r in good:
-        ls = [] if r["text"] is None else r["text"].split("\n")
-        for s in range(len(ls) - 2):
-            k = tuple(ls[s:s + 3])
-            first[k] = min(first.get(k, (place(r["doc_id"]), s)), (place(r["doc_id"]), s))
     want = []
-    for r in good:
+    places = [(place(r["doc_id"]), r["text"]) for r in good]
+    for r, gone in zip(good, gone_lines(places), strict=True):
         ls = [] if r["text"] is None else r["text"].split("\n")
-        gone = {i for s in range(len(ls) - 2) if any(x.strip(" ") for x in ls[s:s + 3])
-                and first[tuple(ls[s:s + 3])] < (place(r["doc_id"]), s) for i in range(s, s + 3)}
         text = None if r["text"] is None else "\n".join(x for i, x in enumerate(ls) if i not in gone)
         if not gone or text.strip(" "):
             want.append(key(r | {"text": text, "n_chars": None if text is None else len(text)}))
