@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by an adaptive dimension scan.
 
-Vectors are rotated at random and assigned to the lists of centroids fitted on a bounded sample.
-Every row is indexed. Within each probed list the rotated vectors lie in blocks of columns. After
-each block a hypothesis test on the partial distance, scaled to all dimensions, abandons candidates
-that are unlikely to beat the query's tenth best; survivors get their exact distance on the
-original vectors. A list of many rows is scanned in parts of bounded size.
+Vectors are rotated at random and assigned to the lists of centroids fitted on one half of a bounded
+sample; the other half tells how many lists a query must probe for the recall wanted. There are about
+as many lists as the square root of the rows, and every row is indexed. Within each probed list the
+rotated vectors lie in blocks of columns. After each block a hypothesis test on the partial distance,
+scaled to all dimensions, abandons candidates that are unlikely to beat the query's tenth best;
+survivors get their exact distance on the original vectors. A list is scanned in parts of its rows by
+blocks of its queries, both of bounded size.
 """
 
 from __future__ import annotations
@@ -54,11 +56,38 @@ def fit_centroids(sample: np.ndarray, lists: int, seed: int, rounds: int = 8) ->
 
 
 def nearest_lists(rows: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    d = (centroids ** 2).sum(axis=1) - 2 * rows @ centroids.T
-    n = min(n, len(centroids))
-    part = np.argpartition(d, n - 1, axis=1)[:, :n]
-    order = np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(part, order, axis=1)
+    """The n nearest centroids of each row, nearest first; rows are taken some thousand at a time."""
+    n, found = min(n, len(centroids)), []
+    for at in range(0, len(rows), 4_096):
+        some = rows[at:at + 4_096]
+        d = (centroids ** 2).sum(axis=1) - 2 * some @ centroids.T
+        part = np.argpartition(d, n - 1, axis=1)[:, :n]
+        order = np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable")
+        found.append(np.take_along_axis(part, order, axis=1))
+    return np.concatenate(found) if found else np.empty((0, n), np.int64)
+
+
+def probes_needed(rows: np.ndarray, centroids: np.ndarray, k: int, recall: float,
+                  queries: int = 256) -> int:
+    """Nearest lists a query must probe to reach that share of its k nearest among rows.
+
+    rows took no part in fitting the centroids. They lie less dense than the table they stand for,
+    so their neighbours lie farther apart, in lists farther off, and the share is on the safe side.
+    """
+    if len(rows) <= 2 * k:
+        return len(centroids)
+    asked = np.linspace(0, len(rows) - 1, min(queries, len(rows))).astype(int)
+    own = nearest_lists(rows, centroids, 1)[:, 0]
+    order = nearest_lists(rows[asked], centroids, len(centroids))
+    steps = []
+    for q, lists in zip(asked, order, strict=True):
+        far = ((rows - rows[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        position = np.empty(len(centroids), np.int64)
+        position[lists] = np.arange(len(lists))
+        steps.append(position[own[np.argpartition(far, k - 1)[:k]]])
+    steps = np.sort(np.concatenate(steps))
+    return int(steps[min(len(steps) - 1, int(np.ceil(recall * len(steps))) - 1)]) + 1
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -137,8 +166,8 @@ def _scan_part(dim: int, k: int, seed: int, block: int, slack: float):
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
-           vector_col: str = "embedding", lists: int = 64, probes: int = 40,
-           sample_rows: int = 8_192, part_rows: int = 2_048, block: int = 16, slack: float = 2.1,
+           vector_col: str = "embedding", recall: float = 0.95, sample_rows: int = 16_384,
+           part_rows: int = 4_096, query_rows: int = 1_024, block: int = 16, slack: float = 2.1,
            seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found by Euclidean distance.
 
@@ -147,9 +176,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     zero or hold null or non-finite components take no part. The commonest vector length of the
     sample is the index's; vectors of other lengths cannot be compared with it and take no part
     either. Repeated ids are candidates each; repeated queries count once. Empty tables give an
-    empty result; other columns are not read. Centroids come from at most sample_rows rows, those
-    with the least hash of their id, one row for each id; every row is indexed. Euclidean distances are taken in double
-    precision.
+    empty result; other columns are not read. Centroids and the number of probed lists come from at
+    most sample_rows rows, those with the least hash of their id, one row for each id; every row is
+    indexed. recall is the share of near rows whose lists are probed; the tests on partial distances
+    lose a little of it. Lists number the square root of the rows, but one to eight rows of the
+    fitted half of the sample at most. Euclidean distances are taken in double precision.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
@@ -162,23 +193,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sizes = np.bincount([len(v) for v in sample])
     dim = int(sizes.argmax())
-    centroids = fit_centroids(np.array([v for v in sample if len(v) == dim]), lists, seed)
+    known = np.array([v for v in sample if len(v) == dim])
+    total = rows.where(F.size("vec") == dim).count()
+    lists = max(1, min(round(total ** 0.5), len(known) // 16))
+    centroids = fit_centroids(known[::2], lists, seed)
+    probes = probes_needed(known[1::2], centroids, k, recall)
     shared = spark.sparkContext.broadcast(centroids)
     schema = "vec_id long, vec array<double>, lists array<int>"
 
     indexed = write_once(
         rows.where(F.size("vec") == dim).mapInArrow(_assign(shared, dim, 1), schema)
         .select("vec_id", "vec", F.col("lists")[0].alias("list")), "ann-index")
-    parts = indexed.groupBy("list").agg(F.ceil(F.count("*") / part_rows).alias("parts"))
-    placed = indexed.join(F.broadcast(parts), "list").select(
-        "list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"), "vec_id", "vec")
-    asked = usable(queries, id_col, vector_col).where(F.size("vec") == dim) \
-        .dropDuplicates(["vec_id"]).mapInArrow(_assign(shared, dim, probes), schema) \
+    asked = write_once(
+        usable(queries, id_col, vector_col).where(F.size("vec") == dim)
+        .dropDuplicates(["vec_id"]).mapInArrow(_assign(shared, dim, probes), schema)
         .select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"),
-                F.explode("lists").alias("list")).join(F.broadcast(parts), "list") \
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-                "query_id", "query")
-    found = placed.groupBy("list", "part").cogroup(asked.groupBy("list", "part")) \
+                F.explode("lists").alias("list")), "ann-queries")
+    # One row for each list that is asked: no more than there are centroids.
+    shape = indexed.groupBy("list").agg(F.ceil(F.count("*") / part_rows).alias("parts")) \
+        .join(asked.groupBy("list").agg(F.ceil(F.count("*") / query_rows).alias("blocks")), "list")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    placed = indexed.join(F.broadcast(shape), "list").select(
+        "list", dealt("vec_id", "parts").alias("part"), up_to("blocks").alias("block"),
+        "vec_id", "vec")
+    asking = asked.join(F.broadcast(shape), "list").select(
+        "list", up_to("parts").alias("part"), dealt("query_id", "blocks").alias("block"),
+        "query_id", "query")
+    cell = ["list", "part", "block"]
+    found = placed.groupBy(*cell).cogroup(asking.groupBy(*cell)) \
         .applyInArrow(_scan_part(dim, k, seed, block, slack), FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \

@@ -373,7 +373,8 @@ def test_chat_round_trip(spark):
     assert chat.chat_digests(chat.format_chats(frame.limit(0), tokenizer_path())).count() == 0
 
 
-def test_search_recall_and_ties(spark):
+@pytest.mark.parametrize("sizes", [{"part_rows": 100}, {"part_rows": 40, "query_rows": 2}])
+def test_search_recall_and_ties(spark, sizes):
     rng = np.random.default_rng(7)
     data = rng.standard_normal((1_500, 24))
     data[100:160] = data[0]
@@ -382,7 +383,7 @@ def test_search_recall_and_ties(spark):
              (2_300, [1.0, None] * 12, 1), (2_400, [float("inf")] * 24, 1), (2_500, [1.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int")
     got = defaultdict(list)
-    for r in ann.search(frame, frame.where("vec_id % 100 = 0"), part_rows=100).collect():
+    for r in ann.search(frame, frame.where("vec_id % 100 = 0"), **sizes).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 1_500, 100))
     hits = 0
@@ -398,6 +399,28 @@ def test_search_recall_and_ties(spark):
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_probes_follow_the_data():
+    """Few lists for vectors in clumps, many for those without structure, never fewer than needed."""
+    rng = np.random.default_rng(4)
+    middles = 20 * rng.standard_normal((30, 16))
+    clumps = middles[rng.integers(0, 30, 3_000)] + rng.standard_normal((3_000, 16))
+    even = rng.standard_normal((3_000, 16))
+    needed = []
+    for data in (clumps, even):
+        centroids = ann.fit_centroids(data[::2], 40, 5)
+        probes = ann.probes_needed(data[1::2], centroids, 10, 0.95)
+        own, hits = ann.nearest_lists(data, centroids, 1)[:, 0], 0
+        for q in range(0, 3_000, 100):
+            far = ((data - data[q]) ** 2).sum(axis=1)
+            far[q] = np.inf
+            near = np.argsort(far)[:10]
+            hits += np.isin(own[near], ann.nearest_lists(data[q:q + 1], centroids, probes)).sum()
+        assert hits >= 0.93 * 300
+        needed.append(probes)
+    assert needed[0] <= 8 < needed[1] <= 40
+    assert ann.probes_needed(even[:15], even[:7], 10, 0.95) == 7
+
+
 def test_quality(spark, docs, rows):
     r = random.Random(8)
     good = [(i, " ".join(r.choice(["the", "of", "and", "house"]) for _ in range(30)), 1)
