@@ -14,7 +14,10 @@ from scriptwell.schemas import QUERY_LOG
 
 _SELECT = re.compile(r"SELECT\b", re.IGNORECASE)
 _FORBIDDEN = re.compile(r"\b(?:%s)\b" % "|".join(FORBIDDEN_SQL_WORDS), re.IGNORECASE)
-_CAPPED_OR_AGGREGATE = re.compile(r"LIMIT|\b(?:COUNT|SUM|AVG)\s*\(", re.IGNORECASE)
+#: Literals, quoted names and comments, whose words say nothing about the statement.
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.DOTALL)
+_CAPPED_OR_AGGREGATE = re.compile(
+    r"\bLIMIT\s*(?:\b(?:ALL|CAST)\b|[\d:?({])|\b(?:COUNT|SUM|AVG)\s*\(", re.IGNORECASE)
 
 
 class UnsafeSQLError(ValueError):
@@ -22,7 +25,11 @@ class UnsafeSQLError(ValueError):
 
 
 def validate_sql(sql: str, cap: int = DEFAULT_ROW_CAP) -> str:
-    """The statement, capped when it neither limits nor aggregates; raises when unsafe."""
+    """The statement, capped when it neither limits nor aggregates; raises when unsafe.
+
+    Words in literals, quoted names and comments don't count as a limit or an aggregate, nor does a
+    column named limit. The cap goes to a line of its own if the last one may end in a comment.
+    """
     statement = sql.strip().rstrip(";")
     if not _SELECT.match(statement.lstrip()):
         raise UnsafeSQLError("only SELECT statements may run")
@@ -31,7 +38,12 @@ def validate_sql(sql: str, cap: int = DEFAULT_ROW_CAP) -> str:
         raise UnsafeSQLError(f"statement contains {word.group(0).upper()}")
     if ";" in statement:
         raise UnsafeSQLError("only one statement may run")
-    return statement if _CAPPED_OR_AGGREGATE.search(statement) else f"{statement} LIMIT {cap}"
+    # A mark stays in place of each, so that the words around it don't join.
+    bare = _QUOTED.sub(" _ ", statement)
+    if _CAPPED_OR_AGGREGATE.search(bare):
+        return statement
+    apart = "\n" if "--" in statement.rpartition("\n")[2] else " "
+    return f"{statement}{apart}LIMIT {cap}"
 
 
 def run_query(spark: SparkSession, sql: str, params: dict | None = None) -> DataFrame:

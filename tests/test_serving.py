@@ -125,6 +125,18 @@ def test_safe_sql():
     assert check(" select a from t ; ") == "select a from t  LIMIT 200"
     assert check("SELECT COUNT(*) FROM t") == "SELECT COUNT(*) FROM t"
     assert check("SELECT updated_at FROM t").endswith("LIMIT 200")
+    assert check("SELECT a FROM t LIMIT :n") == "SELECT a FROM t LIMIT :n"
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT id, 'LIMIT 5' AS note FROM many", "SELECT id AS credit_limit FROM many",
+    "SELECT id AS `limit 5` FROM many", "SELECT id FROM many -- LIMIT 5",
+    "SELECT id FROM many /* count(1)\n */", 'SELECT id, "sum(x)" AS s FROM many',
+    "SELECT id, 'it\\'s LIMIT 3' AS s FROM many", "SELECT id AS limit FROM many",
+])
+def test_quoted_limits_do_not_evade_the_cap(spark, sql):
+    spark.range(500).createOrReplaceTempView("many")
+    assert guarded_sql.run_guarded(spark, sql).count() == 200
 
 
 def test_guarded_rows_and_log(spark, folder):
