@@ -37,10 +37,27 @@ def _fits(shape: Column, kind: str) -> Column:
 
 _TYPES = {"string": "string", "integer": "bigint", "boolean": "boolean", "number": "double"}
 
+_BASIC_FORMS = [
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"^(.{10}[T ]\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
+    (r"^(.{10}[T ]\d{2})(\d{2})(?!\d)", "$1:$2"),
+    (r"^(.{13}[^,]*),", "$1."),
+    (r"^(.{13}.*[+-]\d{2})(\d{2})$", "$1:$2"),
+]
+
 
 def parse_time(text: Column) -> Column:
-    """ISO 8601 timestamp with Z, an offset or neither, else NULL."""
-    return F.when(text.rlike(ISO_TIMESTAMP_PATTERN), F.try_to_timestamp(text))
+    """ISO 8601 timestamp with Z, an offset or neither, else NULL.
+
+    Dates without dashes, times and offsets without colons and a comma before the fraction are
+    accepted as well; week dates and days of the year are not.
+    """
+    plain = F.when(text.rlike(ISO_TIMESTAMP_PATTERN), F.try_to_timestamp(text))
+    # Evaluated for texts only that aren't in the usual form.
+    full = text
+    for basic, extended in _BASIC_FORMS:
+        full = F.regexp_replace(full, basic, extended)
+    return F.coalesce(plain, F.when(full.rlike(ISO_TIMESTAMP_PATTERN), F.try_to_timestamp(full)))
 
 
 def check_events(messages: DataFrame, value: str = "value") -> DataFrame:

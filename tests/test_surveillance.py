@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scriptwell.functions.contract import check_events
+from scriptwell.functions.contract import check_events, parse_time
 from scriptwell.operators import surveillance
 
 T0 = dt.datetime(2024, 1, 1, 12, tzinfo=dt.timezone.utc)
@@ -111,6 +111,23 @@ def test_accepted_edges(spark, changes):
     assert errors(spark, message(**changes)) == []
 
 
+def test_timestamp_forms(spark):
+    """Basic and extended forms name the same instant; what is no timestamp has none."""
+    forms = ["2024-03-05T10:11:12.5+02:00", "20240305T101112.5+0200", "2024-03-05T101112,5+02",
+             "20240305 10:11:12.5+02:00", "2024-03-05T08:11:12.5Z", "20240305T081112,5Z"]
+    short = ["20240305", "2024-03-05T00", "20240305T0000", "2024-03-05 000000Z"]
+    wrong = ["2024-W10-2", "2024030", "20241305", "20240305T2511", "2024-0305", "20240305T1",
+             "20240305x", "1,5", ""]
+    frame = spark.createDataFrame([(t,) for t in [*forms, *short, *wrong]], "t string")
+    found = {r.t: r.at for r in frame.select(
+        "t", F.unix_millis(parse_time(F.col("t"))).alias("at")).collect()}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    assert zone == "UTC"
+    assert {found[t] for t in forms} == {1709626272500}
+    assert {found[t] for t in short} == {1709596800000}
+    assert {found[t] for t in wrong} == {None}
+
+
 def test_all_violations_are_collected(spark):
     found = errors(spark, message(brnd_name=None, prscrbr_state_abrvtn="null", drug_cost_usd="-5"))
     assert found == [
