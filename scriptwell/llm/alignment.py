@@ -1,10 +1,9 @@
 """Alignment of the tokens of two tokenizers.
 
 Texts are cut where both tokenizers must cut: before spaces that follow a character which is no
-white space. Each different cut is encoded once for all texts held together. The byte-level
-tokenizer's character offsets and the piece model's proto spans are coarse cuts; tokens that share
-a character, or are fallback bytes of one, are told apart by the bytes they decode to. Places where
-tokens of both end divide a cut into groups; overlapping tokens are links.
+white space. Each different cut is encoded once for all texts held together. The bytes that tokens
+decode to tell where they end, also those that share a character or are fallback bytes of one.
+Places where tokens of both end divide a cut into groups; overlapping tokens are links.
 
 Counts of linked id pairs need the whole corpus. Texts are held in blocks of bounded size. A block
 asks once for each pair it holds, the pairs are counted and joined back to the blocks that asked,
@@ -17,15 +16,18 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptwell.llm.common import by_size
+from scriptwell.llm.packing import Encoder
 from scriptwell.sources.workspace import write_once
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,16 +36,8 @@ SPACE = "▁"
 CUT = re.compile(r"\s*\S+(?:[^\S ]\s*\S*)*(?:\s+\Z)?|\s+")
 #: A link is one number: the byte-level id times this, plus the piece id.
 PAIR = 1 << 15
-#: Different cuts remembered between blocks of one task.
-REMEMBERED = 300_000
-
-
-def byte_of_symbol() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable characters
-    of Latin-1 for themselves, those from 256 on for the other bytes in order."""
-    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+#: Different cuts remembered between blocks of one task, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 4_000_000
 
 
 class Aligner:
@@ -51,25 +45,18 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        symbols = byte_of_symbol()
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            if all(c in symbols for c in token):
-                self.a_bytes[i] = bytes(map(symbols.__getitem__, token))
+        self.a_path = a_path
+        self.codec = Encoder(a_path, plain=True)
+        self.a_bytes = self.codec.token_bytes()
         self.b = SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if len(pieces) > PAIR:
             raise ValueError(f"the piece model has {len(pieces)} ids, at most {PAIR} fit")
         if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece holds a space after another character")
-        self.fallback = np.array([self.b.is_byte(i) for i in range(len(pieces))])
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if byte else p.replace(SPACE, " ").encode()
-                        for p, byte in zip(pieces, self.fallback, strict=True)]
+        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i)
+                        else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t]) for t in (self.a_bytes,
                                                                            self.b_bytes))
         # What an id is written as: A inside and at the end of a group, B likewise.
@@ -78,8 +65,18 @@ class Aligner:
         self.written_size = np.array([len(x) for x in self.written])
         self.forget()
 
+    @cached_property
+    def a(self):
+        """The library's tokenizer of the same file, whose ids the codec's are."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.a_path)
+        library.encode_special_tokens = True
+        return library
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.known_chars = 0
         self.groups: list[str] = []
         self.counts = np.empty((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.bad = np.empty(0, bool)
@@ -87,95 +84,80 @@ class Aligner:
 
     def learn(self, cuts: Iterable[str]) -> None:
         """Encode the cuts not known yet, many neighbours as one text: where they meet is a cut."""
-        new = list(dict.fromkeys(c for c in cuts if c not in self.known))
+        new = [c for c in dict.fromkeys(cuts) if c not in self.known]
+        self.known_chars += sum(map(len, new))
+        found: list[tuple] = []
         for at in range(0, len(new), 8_192):
             texts: list[list[str]] = [[]]
             for cut in new[at:at + 8_192]:
                 if len(texts[-1]) == 64 or texts[-1] and texts[-1][-1][-1].isspace():
                     texts.append([])
                 texts[-1].append(cut)
-            self._learn(texts)
-
-    def _learn(self, texts: list[list[str]]) -> None:
+            self._learn(texts, found)
+        if found:
+            counts, bad, links = zip(*found, strict=True)
+            self.counts = np.concatenate([self.counts, *counts])
+            self.bad = np.concatenate([self.bad, *bad])
+            self.links = np.concatenate([self.links, *links])
+
+    def _learn(self, texts: list[list[str]], found: list[tuple]) -> None:
         whole = ["".join(cuts) for cuts in texts]
-        encoded = self.a.encode_batch(whole, add_special_tokens=False)
         # The model puts a space before what it gets.
-        protos = self.b.encode([t[1:] for t in whole], return_type="proto", num_threads=1)
-        good, again, base = [], [], 0
-        tokens: list[tuple] = []
-        for cuts, text, a, b in zip(texts, whole, encoded, protos, strict=True):
-            raw, a_ids, b_ids = text.encode(), a.ids, [p.id for p in b.pieces]
-            if (b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw
-                    or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw):
+        pieces = self.b.encode([t[1:] for t in whole], out_type=int, num_threads=1)
+        good, again, a, b = [], [], [], []
+        for cuts, text, b_ids in zip(texts, whole, pieces, strict=True):
+            raw, a_ids = text.encode(), self.codec.ids(text)
+            if (b"".join(map(self.a_bytes.__getitem__, a_ids)) == raw
+                    and b"".join(map(self.b_bytes.__getitem__, b_ids)) == raw):
+                good += cuts
+                a += a_ids
+                b += b_ids
+            else:
                 again.append(cuts)
-                continue
-            a_ids, b_ids = np.array(a_ids), np.array(b_ids)
-            tokens.append((a_ids, base + self._a_ends(text, a_ids, a.offsets),
-                           b_ids, base + self._b_ends(b_ids, b.pieces)))
-            good += cuts
-            base += len(raw)
         if good:
-            self._add(good, *(np.concatenate(x) for x in zip(*tokens, strict=True)))
+            found.append(self._add(good, np.array(a), np.array(b)))
         for cuts in again:
             if len(cuts) > 1:
-                self._learn([[c] for c in cuts])
+                self._learn([[c] for c in cuts], found)
             else:
                 self.known[cuts[0]] = len(self.known)
                 self.groups.append("")
-                self.counts = np.concatenate([self.counts, np.zeros((1, 4), np.int64)])
-                self.bad = np.append(self.bad, True)
-
-    def _a_ends(self, text: str, ids: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
-        """Byte ends: of whole characters by offset, inside a shared character by decoded bytes."""
-        cut = np.array(offsets)
-        if text.isascii():
-            return cut[:, 1]
-        code = np.frombuffer(text.encode("utf-32-le"), "<u4")
-        byte_at = np.cumsum(np.concatenate([[0], 1 + (code > 0x7F) + (code > 0x7FF)
-                                            + (code > 0xFFFF)]))
-        ends = byte_at[cut[:, 1]]
-        for n in np.flatnonzero(cut[1:, 0] < cut[:-1, 1]):
-            ends[n] = (ends[n - 1] if n else 0) + self.a_size[ids[n]]
-        return ends
-
-    def _b_ends(self, ids: np.ndarray, pieces) -> np.ndarray:
-        """Byte ends: by span, which leaves out the space put before; fallback bytes, whose spans
-        are empty but for the last of a character, by decoded bytes."""
-        ends = np.array([p.end for p in pieces]) + 1
-        for n in np.flatnonzero(self.fallback[ids]):
-            ends[n] = (ends[n - 1] if n else 0) + self.b_size[ids[n]]
-        return ends
-
-    def _add(self, cuts: list[str], a_ids, a_ends, b_ids, b_ends) -> None:
-        """Groups and links of cuts that lie one after another, by the byte ends of their tokens."""
+                found.append((np.zeros((1, 4), np.int64), np.ones(1, bool), np.empty(0, np.int32)))
+
+    def _add(self, cuts: list[str], a_ids: np.ndarray, b_ids: np.ndarray) -> tuple:
+        """Groups of cuts that lie one after another; their counts, marks and links.
+
+        How many tokens of either have ended up to a byte tells all places by a look."""
+        a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
+        in_a, in_b = np.zeros((2, a_ends[-1] + 1), bool)
+        in_a[a_ends] = in_b[b_ends] = True
+        ends, group_ends = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b)
+        a_done, b_done = np.cumsum(in_a), np.cumsum(in_b)
+        # The tokens that end at a byte or hold it: those after all that ended before it.
+        links = (a_ids[a_done[ends] - in_a[ends]] * PAIR
+                 + b_ids[b_done[ends] - in_b[ends]]).astype(np.int32)
         cut_ends = np.cumsum([len(c.encode()) for c in cuts])
-        ends = np.unique(np.concatenate([a_ends, b_ends]))
-        a_at, b_at = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
-        a_closes, b_closes = np.isin(a_ends, b_ends), np.isin(b_ends, a_ends)
-        group_ends = a_ends[a_closes]
-        self.counts = np.concatenate([self.counts, np.stack(
-            [np.diff(np.searchsorted(x, cut_ends, "right"), prepend=0)
-             for x in (a_ends, b_ends, group_ends, ends)], axis=1)])
-        self.bad = np.concatenate([self.bad, np.zeros(len(cuts), bool)])
-        self.links = np.concatenate(
-            [self.links, (a_ids[a_at] * PAIR + b_ids[b_at]).astype(np.int32)])
-        # Group by group, A's tokens before B's.
-        order = np.argsort(np.concatenate([2 * np.searchsorted(group_ends, a_ends),
-                                           2 * np.searchsorted(group_ends, b_ends) + 1]),
-                           kind="stable")
-        written = np.concatenate([2 * a_ids + a_closes, 2 * (len(self.a_bytes) + b_ids)
-                                  + b_closes])[order]
+        counts = np.stack([np.diff(np.cumsum(x)[cut_ends], prepend=0)
+                           for x in (in_a, in_b, in_a & in_b, in_a | in_b)], axis=1)
+        # Group by group, A's tokens before B's: each comes after the other's tokens up to there.
+        a_closes, b_closes = in_b[a_ends], in_a[b_ends]
+        a_group, b_group = (np.cumsum(x) - x for x in (a_closes, b_closes))
+        written = np.empty(len(a_ids) + len(b_ids), np.int64)
+        written[np.arange(len(a_ids)) + np.append(0, b_done[group_ends])[a_group]] = \
+            2 * a_ids + a_closes
+        written[np.arange(len(b_ids)) + a_done[group_ends][b_group]] = \
+            2 * (len(self.a_bytes) + b_ids) + b_closes
         text = "".join(map(self.written.__getitem__, written.tolist()))
-        stops = np.cumsum(self.written_size[written])[
-            np.cumsum(self.counts[-len(cuts):, :2].sum(axis=1)) - 1]
+        stops = np.cumsum(self.written_size[written])[np.cumsum(counts[:, :2].sum(axis=1)) - 1]
         self.groups += [text[a:b - 1] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(),
                                                       strict=True)]
         self.known |= {c: i for i, c in enumerate(cuts, len(self.known))}
+        return counts, np.zeros(len(cuts), bool), links
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Counts (A tokens, B tokens, groups, links) and groups of each text, and all links, text
         after text; zeros and an empty string for a text without tokens."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
             self.forget()
         cuts = [CUT.findall(" " + t) if t and SPACE not in t else [] for t in texts]
         self.learn(chain.from_iterable(cuts))
@@ -206,9 +188,11 @@ def _aligned(a_path: str, b_path: str, digest: bool, at_once: int):
         aligner = Aligner(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for part in by_size(texts, at_once):
-                counts, groups, links = aligner.documents([texts[i] for i in part])
+            texts = batch.column("text")
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            for part in by_size(sizes, at_once):
+                held = texts.slice(part.start, len(part)).to_pylist()
+                counts, groups, links = aligner.documents([x or "" for x in held])
                 if digest:
                     groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 ends = np.cumsum(np.concatenate([[0], counts[:, 3]])).astype(np.int32)
@@ -218,6 +202,7 @@ def _aligned(a_path: str, b_path: str, digest: bool, at_once: int):
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(links)),
                      pa.array([block] * len(part), pa.int64())], names=_NAMES)
                 block += 1
+                pa.default_memory_pool().release_unused()  # else what batches took is kept
     return run
 
 

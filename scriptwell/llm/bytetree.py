@@ -146,7 +146,7 @@ def _encoded(path: str, pattern: str, leaf: int, at_once: int):
         tree = tree_encoder(path, pattern, leaf)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for part in by_size(texts, at_once):
+            for part in by_size(list(map(len, texts)), at_once):
                 ids = [tree.encode(texts[i]) for i in part]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(part.start, len(part)),

@@ -47,10 +47,10 @@ class Encoder:
     The vocabulary is read from the tokenizer's file. Its ids number the merges in their order, so
     they serve as the ranks of a faster implementation of the same byte-level BPE. A long run of
     blanks is cut out as the pattern would: one piece but for its last blank, which goes with the
-    text after it.
+    text after it. With plain, strings of special tokens are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -62,6 +62,20 @@ class Encoder:
                  if token not in self.special}
         self.codec = tiktoken.Encoding(path, pat_str=PRE_TOKENS, mergeable_ranks=ranks,
                                        special_tokens=self.special)
+        self.ranks = ranks
+        if plain:
+            self.special = {}
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id, none for a special token."""
+        out = [b""] * self.codec.n_vocab
+        for token, i in self.ranks.items():
+            out[i] = token
+        return out
+
+    def ids(self, text: str) -> list[int]:
+        return self._ids(text) if len(text) <= LONG_RUN else \
+            np.frombuffer(self.encode(text), "<u4").tolist()
 
     def encode(self, text: str) -> bytes:
         if len(text) <= LONG_RUN:
@@ -79,9 +93,12 @@ class Encoder:
         return b"".join(parts)
 
     def _encode(self, text: str) -> bytes:
+        return _packed(self._ids(text))
+
+    def _ids(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
-            return _packed(self.codec.encode(text, allowed_special="all"))
-        return _packed(self.codec.encode_ordinary(text))
+            return self.codec.encode(text, allowed_special="all")
+        return self.codec.encode_ordinary(text)
 
 
 def _packed(ids: list[int]) -> bytes:

@@ -254,3 +254,18 @@ def test_align_rows(docs, aligner, at_once):
 
 def test_align_empty(empty):
     assert alignment.align(empty, tokenizer_path(), tokenizer_path(PIECES)).count() == 0
+
+
+def test_what_an_aligner_remembers_is_bounded():
+    """Texts without spaces are one cut each: few cuts, but of many characters."""
+    own = alignment.Aligner(tokenizer_path(), tokenizer_path(PIECES))
+    for n in range(8):
+        own.documents(["-".join(map(str, range(n * 200_000, n * 200_000 + 120_000)))])
+        assert sum(map(len, own.known)) <= 5_000_000
+    assert len(own.groups) == len(own.known) == len(own.counts)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", " " * 100_001 + "<|endoftext|> x", "\t" * 100_001])
+def test_codec_of_plain_text(aligner, text):
+    """Strings of special tokens are text, and long runs of blanks are cut as the library cuts."""
+    assert aligner.codec.ids(text) == aligner.a.encode(text, add_special_tokens=False).ids
