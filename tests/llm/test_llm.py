@@ -211,6 +211,50 @@ def test_suffix_dedup(docs, rows, crowd):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("crowd", [1, 1_000])
+def test_suffix_dedup_of_texts_that_repeat_themselves(spark, crowd):
+    r = random.Random(8)
+    fresh = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    unit, line = fresh(9), fresh(300)
+    texts = [fresh(500) + unit * 200 + fresh(450), unit * 60, unit * 45, unit * 44 + unit[:3],
+             fresh(60) + unit * 44 + fresh(60), "z" * 401, "y" * 399, "x" * 400, "w" * 140_000,
+             fresh(90) + line * 5 + fresh(90), line + fresh(90) + line * 2, "é" * 201 + unit * 50]
+    raw = [(i, t.encode()) for i, t in enumerate(texts)]
+    count = defaultdict(int)
+    for _, b in raw:
+        for s in range(len(b) - 399):
+            count[hash(b[s:s + 400])] += 1
+    want = []
+    for d, b in raw:
+        gone = np.zeros(len(b) + 2, np.int64)
+        for s in range(len(b) - 399):
+            if count[hash(b[s:s + 400])] > 1:
+                gone[s] += 1
+                gone[s + 400] -= 1
+        gone = np.cumsum(gone) > 0
+        kept = np.frombuffer(b, np.uint8)[~gone[:len(b)]].tobytes()
+        want.append((d, len(b), int(gone.sum()),
+                     int((np.diff(gone.astype(int), prepend=0) == 1).sum()), sha(kept)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = suffixes.suffix_dedup(docs, crowd=crowd, shard_rows=20)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], sha(bytes(r["kept"])))
+           for r in found.collect()]
+    assert sorted(got) == want
+    assert [n for d, _, n, _, _ in want if d in (5, 6, 7, 8)] == [401, 0, 0, 140_000]
+
+
+def test_equal_segments_that_follow_one_another_are_one_row(spark, monkeypatch):
+    """A string that a document repeats is one row of its class, however often it does."""
+    stored = {}
+    keep = suffixes.write_once
+    monkeypatch.setattr(suffixes, "write_once",
+                        lambda df, label: stored.setdefault(label, keep(df, label)))
+    docs = spark.createDataFrame([(1, "ab" * 30_000), (2, "x" + "ab" * 20_000 + "y" * 500)],
+                                 "doc_id long, text string")
+    assert suffixes.suffix_dedup(docs).agg({"n_removed": "sum"}).first()[0] == 100_500
+    assert stored["byte-segments"].count() < 100
+
+
 def test_repeated_windows_of_a_suffix_array():
     r = random.Random(3)
     for _ in range(30):
