@@ -1,13 +1,16 @@
 import re
 
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from scriptwell.fixed_values import PHI_COUNT_ONLY, PHI_PATTERNS
 from scriptwell.functions import text as tx
+from scriptwell.functions.overlap import shared_words
 from scriptwell.operators import corpus
 
 
@@ -152,6 +155,43 @@ def test_shared_tokens_of_two_tables(spark, together):
     assert {(r.doc_id, r.question_id): r.shared for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("limit", [60, 1000])
+def test_shared_tokens_counts_pairs_where_they_arise(spark, monkeypatch, limit):
+    """Every pair comes from one task: one shuffle, of words, and no aggregate after it."""
+    for name in ("WORDS_TOGETHER", "PAIRS_TOGETHER", "DOCS_TOGETHER"):
+        monkeypatch.setattr(corpus, name, limit, raising=False)
+    words, rng = ["Été", "a", "b_1", "ß", "ÀB", "नमस्ते", "7", *"cdefgh"], random.Random(3)
+    texts, asked = ([" - ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(n)]
+                    for n in (60, 25))
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "d string, text string")
+    questions = spark.createDataFrame(list(enumerate(asked)), "q int, text string")
+    got = corpus.shared_tokens(docs, questions, "d", "q", rows_together=7)
+    held = [{w.lower() for w in t.split(" - ") if w} for t in texts]
+    want = {(f"d{i}", j): len(d & q) for i, d in enumerate(held)
+            for j, q in enumerate({w.lower() for w in t.split(" - ") if w} for t in asked) if d & q}
+    rows = got.collect()
+    assert {(r.doc_id, r.question_id): r.shared for r in rows} == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
+@pytest.mark.parametrize("together", [1, 3, 10_000])
+def test_shared_words_of_batches(together):
+    """Questions and documents of a cell may be dealt over batches, and a batch hold many cells."""
+    cells = [(0, False, None, "q0", "a b"), (0, False, None, "q1", "b c"),
+             (0, True, 1, None, "b c x"), (0, True, 2, None, ""), (0, True, 3, None, "a"),
+             (1, True, 9, None, "a"), (2, False, None, "q2", "x"), (2, True, 1, None, "x"),
+             (2, True, 4, None, "y"), (3, False, None, "q3", "a")]
+    names = ["cell", "is_doc", "doc_id", "question_id", "words"]
+    kinds = [pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.string()]
+    for size in (1, 2, 3, len(cells)):
+        batches = [pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*cells[i:i + size]), kinds, strict=True)], names=names)
+            for i in range(0, len(cells), size)]
+        got = [tuple(r.values()) for b in shared_words(together)(batches) for r in b.to_pylist()]
+        assert sorted(got) == [(1, "q0", 1), (1, "q1", 2), (1, "q2", 1), (3, "q0", 1)]
+
+
 def test_patterns_run_once_per_row(spark):
     df = spark.createDataFrame([("x",)], "text string")
     plan = corpus.findings_by_category(df, "text")._jdf.queryExecution().executedPlan().toString()
