@@ -1,10 +1,14 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scriptwell.operators import cleaning, surveillance
+from scriptwell.plans import queries, testdata
 from scriptwell.streaming import events as ev
 from scriptwell.streaming import sinks, tracker
 
@@ -175,3 +179,69 @@ def test_streamed_claims_meet_the_bulk(spark):
     assert rows[1_000_000_001].prscrbr_last_org_name is None
     bulk_first = cleaning.clean_prescriber_drug(both, [F.desc_nulls_last("prscrbr_last_org_name")])
     assert bulk_first.filter("prscrbr_npi = 1000000001").first().tot_clms == 3
+
+
+def test_prescribers_share_state(spark, folder):
+    """State entries, each of which costs messages to the store, are fewer than prescribers."""
+    rows = [(i, i % 1500, T0 + dt.timedelta(minutes=i * 7 % 100)) for i in range(3000)]
+    put(spark, folder, [message(*r) for r in rows])
+    streamed = count_now(spark, folder)
+    batch = surveillance.trailing_count(
+        spark.createDataFrame([(f"c{i}", n, t) for i, n, t in rows],
+                              "claim_id string, npi long, ts timestamp"), "npi", "ts", 60, "n")
+    assert streamed == {r.claim_id: r.n for r in batch.collect()}
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(f"{folder}/check")
+    assert state.count() < 1500
+
+
+def test_counted_events_keep_their_fields(spark, folder):
+    """Missing prescribers count as one, and text of any kind comes back as it was."""
+    before = T0.replace(year=1975)
+    rows = [('a"b\\\n', None, None, T0), (None, None, "T,X", T0), ("é\u2028", 7, "TX", T0),
+            ("x", 7, "", before), ("y", 7, "TX", before + dt.timedelta(microseconds=1))]
+    schema = "claim_id string, prscrbr_npi long, prscrbr_state_abrvtn string, event_time timestamp"
+    spark.createDataFrame(rows, schema).withColumn("is_opioid", F.lit(True)).coalesce(1) \
+        .write.parquet(f"{folder}/in")
+    events = spark.readStream.schema(f"{schema}, is_opioid boolean").parquet(f"{folder}/in")
+    counts = tracker.trailing_counts(ev.with_watermark(events), 60)
+    assert counts.schema == tracker.COUNT_SCHEMA
+    sinks.sink(counts, f"{folder}/out", f"{folder}/check", available_now=True).awaitTermination()
+    out = spark.read.schema(tracker.COUNT_SCHEMA).parquet(f"{folder}/out").collect()
+    assert {tuple(r)[:5] for r in out} == {(*r, n) for r, n in zip(rows, (2, 2, 1, 1, 2), strict=True)}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_events_between(seed):
+    rng = np.random.default_rng(seed)
+    parts = [(rng.integers(-2, 3, n), rng.integers(-50, 50, n), rng.integers(1, 4, n))
+             for n in (0, 7, 80)]
+    known = tracker._merged(parts)
+    plain = [row for part in parts for row in zip(*(x.tolist() for x in part), strict=True)]
+    pairs = list(zip(known[0].tolist(), known[1].tolist(), strict=True))
+    assert pairs == sorted({r[:2] for r in plain}) and known[2].sum() == sum(r[2] for r in plain)
+    npi, last = rng.choice(known[0], 60), rng.integers(-60, 60, 60)
+    got = tracker._events_between(known, npi, last - 20, last)
+    assert got.tolist() == [sum(n for who, at, n in plain if who == i and t - 20 <= at <= t)
+                            for i, t in zip(npi, last, strict=True)]
+
+
+def test_messages_arrive_in_several_files_at_a_time(spark, folder, monkeypatch):
+    """Equally many files for each arrival, in order, with a file in place of each empty part."""
+    monkeypatch.setattr(queries, "MESSAGES_PER_FILE", 10, raising=False)
+    small = "/root/testdata/sf0.001"
+    delayed = F.col("claim_id").cast("bigint") % 50 == 0
+    queries._arrivals(spark, small, folder, late=delayed)
+    days = F.floor(F.unix_seconds(F.col("event_time").cast("timestamp")) / (8 * 86_400))
+    sent = testdata.claim_messages(spark, small).select(
+        (days + delayed.cast("int")).alias("arrival"), "value").collect()
+    arrivals = sorted({r.arrival for r in sent})
+    files = sorted(Path(f"{folder}/in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    together, rest = divmod(len(files), len(arrivals))
+    assert together > 1 and not rest
+    sizes = []
+    for i, arrival in enumerate(arrivals):
+        read = [[r.value for r in spark.read.parquet(str(f)).collect()]
+                for f in files[i * together:(i + 1) * together]]
+        assert sorted(sum(read, [])) == sorted(r.value for r in sent if r.arrival == arrival)
+        sizes += map(len, read)
+    assert 0 in sizes and max(sizes) < 40
